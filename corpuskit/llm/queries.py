@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, mixing, simhash
+from corpuskit.llm import bpe, embdup, langid, linededup, mixing, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,75 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encode_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_shared", "n_removed", "is_copy", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_token_shards": op5_token_shards,
+    "op6_language_id": op6_language_id,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 
-ORACLES: dict[str, str] = {}
+#: White space of the line contract, for DuckDB's trim.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+OP9 = f"""
+WITH doc AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+line AS (SELECT source, trim(unnest(parts), {_BLANKS}) AS line FROM doc),
+bad AS (SELECT line FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {linededup.MIN_SITES}),
+bads AS (SELECT coalesce(list(line), []) AS bads FROM bad),
+marked AS (SELECT doc_id, text, parts, list_filter(parts, lambda p: list_contains(bads, trim(p, {_BLANKS}))) AS shared,
+    list_filter(parts, lambda p: NOT list_contains(bads, trim(p, {_BLANKS}))) AS rest FROM doc, bads),
+counted AS (SELECT *, len(regexp_extract_all(array_to_string(shared, ' '), {_WORD})) AS shared_words, len(regexp_extract_all(text, {_WORD})) AS words FROM marked),
+decided AS (SELECT *, len(shared) > 0 AND shared_words >= {linededup.COPY_SHARE} * words AS is_copy FROM counted),
+done AS (SELECT *, CASE WHEN is_copy THEN text ELSE array_to_string(rest, chr(10)) END AS left_text FROM decided)
+SELECT doc_id, CAST(len(list_filter(parts, lambda p: trim(p, {_BLANKS}) <> '')) AS BIGINT) AS n_lines, CAST(len(shared) AS BIGINT) AS n_shared,
+    CAST(CASE WHEN is_copy THEN 0 ELSE len(shared) END AS BIGINT) AS n_removed, is_copy, CAST(length(left_text) AS BIGINT) AS n_chars, sha256(left_text) AS text_sha256
+FROM done
+"""
+
+OP10 = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP7 = """
+WITH RECURSIVE unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least_reached AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.low, e.vec_id)) AS component_id, least(e.vec_id, coalesce(l.low, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least_reached l ON l.a = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_exact_topk": OP10}
