@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, embdup, langid, linededup, mixing, simhash, sstable, topk
+from corpuskit.llm import bpe, embdup, html, langid, licenses, linededup, mixing, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +46,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_shared", "n_removed", "is_copy", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -54,10 +62,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_text": op3_html_text,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_language_id": op6_language_id,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
