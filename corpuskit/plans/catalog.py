@@ -381,7 +381,7 @@ def k_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tokens.chunks(tokens.offsets(char_tokens(spark, sf_dir)), 512)
-    text = F.array_join(F.transform("tokens", lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32BE")), "")
+    text = F.array_join(F.transform("tokens", lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")), "")
     return rows.select("source", "sample_id", F.md5(text).alias("digest"))
 
 

@@ -49,7 +49,8 @@ def write_packed(tokens: DataFrame, folder: str, order: str = "doc_id", source:
         index = {"num_documents": len(bounds) - 1, "total_tokens": bounds[-1], "dtype": dtype, "document_boundaries": bounds}
         with fs.open_output_stream(f"{base}/{stem}.idx") as out:
             out.write(json.dumps(index | ({"source_distribution": sources} if source else {})).encode())
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/{stem}", "num_documents": len(bounds) - 1, "total_tokens": bounds[-1], "dtype": dtype}])
+        values = (pa.array([part], pa.int32()), pa.array([f"{folder}/{stem}"]), pa.array([len(bounds) - 1]), pa.array([bounds[-1]]), pa.array([dtype]))
+        yield pa.RecordBatch.from_arrays(list(values), ["part", "path", "num_documents", "total_tokens", "dtype"])
 
     rows = tokens.select(*columns).repartitionByRange(parts, order).sortWithinPartitions(order)
     found = rows.mapInArrow(write, "part int, path string, num_documents long, total_tokens long, dtype string").collect()

@@ -68,11 +68,18 @@ def download(spark: SparkSession, dataset: str, root: str, out: str, max_docs: i
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = "text STRING, source STRING", with_file: bool = False) -> DataFrame:
     """Rows of JSONL files; blank and malformed lines are passed over."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.text(path)
     if with_file:
         rows = rows.withColumn("file", F.col("_metadata.file_name"))
-    # Spark forbids a query of the corrupt column alone; the other columns are kept in the plan.
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    return parse_jsonl(rows, schema).select("row.*", *(["file"] if with_file else []))
+
+
+def parse_jsonl(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
+    """Adds ``row``, the fields of each line; blank and malformed lines go. Runs on streams as well."""
+    bare = lines.where(T.strip(F.col(line)).startswith("{"))
+    kind = f"{schema}, _corrupt_record STRING"
+    parsed = bare.withColumn("row", F.from_json(line, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("row IS NOT NULL AND row._corrupt_record IS NULL").withColumn("row", F.col("row").dropFields("_corrupt_record"))
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:

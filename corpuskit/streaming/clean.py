@@ -8,11 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.functions import text as T
 from corpuskit.operators import quality
+from corpuskit.sources.readers import parse_jsonl
 
 
 def read(spark: SparkSession, folder: str, schema: str = "text STRING, source STRING") -> DataFrame:
     """JSONL files as they arrive; malformed lines are passed over."""
-    return spark.readStream.schema(f"{schema}, _corrupt_record STRING").json(folder).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    return parse_jsonl(spark.readStream.text(folder), schema).select("row.*")
 
 
 def cleaned(stream: DataFrame, min_ratio: float = 0.3, script: str = T.CJK, limits: quality.Limits = quality.Limits()) -> DataFrame:
