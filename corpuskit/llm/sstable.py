@@ -19,6 +19,7 @@ import bisect
 import itertools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -181,8 +182,18 @@ def open_shard(uri: str) -> Shard:
     return Shard(fs.open_input_file(path))
 
 
+#: Characters that Python's ``str.split`` takes for white space and the tokenizer does not.
+ODD = re.compile("[\x1c-\x1f]")
+#: A digit is a piece of its own, so between white space it marks where one chunk ends and the next begins.
+MARK, JOINED = "0", 100
+
+
 class _Coder:
-    """Encodes texts with the tokenizers library, a distinct chunk between white space once."""
+    """Encodes texts with the tokenizers library, a distinct chunk between white space once.
+
+    Chunks are kept in two generations: a full one becomes the old one, from which chunks that
+    come up again are taken over, so frequent chunks stay and memory is bounded.
+    """
 
     def __init__(self, blob: str):
         from tokenizers import Tokenizer
@@ -192,24 +203,45 @@ class _Coder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = END_ID.to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = self._ids([MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > WORDS:
-            self.known.clear()
-        kind = f"<u{self.width}"
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(found.ids, kind).tobytes()
+        """Encodes new chunks, many in one call: joined by marks, cut at the marks' ids again."""
+        plain = [c for c in chunks if MARK not in c] if self.mark is not None else []
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups])):
+            data, ends = ids.tobytes(), (np.nonzero(ids == self.mark)[0] * self.width).tolist()
+            if len(ends) == len(group) - 1:
+                starts = [0, *(e + self.width for e in ends)]
+                self.known.update(zip(group, (data[a:b] for a, b in zip(starts, [*ends, len(data)]))))
+        rest = [c for c in chunks if c not in self.known]
+        self.known.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
+            if len(text) < 1_000_000:
+                matches = iter(CHUNKS.findall(text) if ODD.search(text) else text.split())
+            else:
+                matches = (m[0] for m in CHUNKS.finditer(text))
             found = []
-            matches = iter(CHUNKS.findall(text)) if len(text) < 1_000_000 else (m[0] for m in CHUNKS.finditer(text))
             while part := list(itertools.islice(matches, 100_000)):
-                new = [c for c in dict.fromkeys(part) if c not in self.known]
+                if len(self.known) > WORDS:
+                    self.known, self.old = {}, self.known
+                new = []
+                for chunk in dict.fromkeys(part):
+                    if chunk not in self.known:
+                        ids = self.old.get(chunk)
+                        if ids is None:
+                            new.append(chunk)
+                        else:
+                            self.known[chunk] = ids
                 if new:
                     self._learn(new)
-                    if len(self.known) == len(new):  # the store was emptied
-                        self._learn([c for c in dict.fromkeys(part) if c not in self.known])
                 found.append(b"".join(map(self.known.__getitem__, part)))
             yield b"".join(found) + self.end
 
