@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is computed anew for each element; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def characters(text: Column) -> Column:
     """Code points of a text as an array; empty for empty text."""
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -36,6 +46,8 @@ def share_of(ids: Column, item: int) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(scores, lambda x: F.exp(x - top) / total)
+    def shifted(xs: Column) -> Column:
+        powers = let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top)))
+        return let(powers, lambda es: let(F.aggregate(es, F.lit(0.0), lambda s, e: s + e), lambda total: F.transform(es, lambda e: e / total)))
+
+    return let(scores, shifted)

@@ -31,15 +31,21 @@ def _f1(overlap: Column, predicted: Column, wanted: Column) -> Column:
 
 def char_f1(prediction: Column, reference: Column) -> Column:
     """F1 over characters as multisets, of texts already in comparison form."""
-    p, r = A.characters(prediction), A.characters(reference)
-    shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, c: n + F.least(A.occurrences(p, c), A.occurrences(r, c)))
-    return _f1(shared, F.size(p), F.size(r))
+
+    def score(p: Column, r: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, c: n + F.least(A.occurrences(p, c), A.occurrences(r, c)))
+        return A.let(shared, lambda k: _f1(k, F.size(p), F.size(r)))
+
+    return A.let(A.characters(prediction), lambda p: A.let(A.characters(reference), lambda r: score(p, r)))
 
 
 def char_f1_loose(prediction: Column, reference: Column) -> Column:
     """F1 that counts every predicted character which occurs in the reference; recall may pass 1."""
-    p, r = A.characters(prediction), A.characters(reference)
-    return _f1(F.size(F.filter(p, lambda c: F.array_contains(r, c))), F.size(p), F.size(r))
+
+    def score(p: Column, r: Column) -> Column:
+        return A.let(F.size(F.filter(p, lambda c: F.array_contains(r, c))), lambda k: _f1(k, F.size(p), F.size(r)))
+
+    return A.let(A.characters(prediction), lambda p: A.let(A.characters(reference), lambda r: score(p, r)))
 
 
 def exact(prediction: Column, reference: Column) -> Column:
