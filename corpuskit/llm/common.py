@@ -38,8 +38,9 @@ def word_count(text: Column) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node.
 
-    Each round hooks every node to its smallest neighbour, shortens the hooks by one jump and
-    contracts the edges, so the number of rounds grows with the logarithm of the longest chain.
+    Each round hooks every node to its smallest neighbour, shortens the hooks by pointer jumping
+    until they end at roots and contracts the edges to the roots. Jumps double their reach and
+    roots grow fewer by rounds, so both numbers grow with the logarithm of the longest chain.
     Self-loops and repeated edges are allowed; nodes without an edge to another node are not
     returned. Nothing is collected: each round is a partially aggregated group-by and joins that
     adaptive execution can split where one component holds most nodes.
@@ -50,8 +51,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up")
         low = cut(low)
-        jump = low.selectExpr("node AS up", "up AS top")
-        hook = cut(low.join(jump, "up", "left").selectExpr("node", "coalesce(top, up) AS up"))
+        hook, moving = low, True
+        while moving:
+            jump = hook.selectExpr("node AS up", "up AS top")
+            hook = cut(hook.join(jump, "up").selectExpr("node", "top AS up", "top <> up AS moved"))
+            moving = not hook.where("moved").isEmpty()
+            hook = hook.drop("moved")
         hooks.append(hook)
         left = hook.selectExpr("node AS a", "up AS a2")
         right = hook.selectExpr("node AS b", "up AS b2")
