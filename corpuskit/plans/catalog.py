@@ -133,16 +133,16 @@ _LEADS = " || ".join(["c", *(f"lead(c, {i}) OVER w" for i in range(1, 10))])
 _GRAMS = f"""chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS pos FROM documents WHERE length(text) >= 10),
 grams AS (SELECT doc_id, {_LEADS} AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 counted AS (SELECT doc_id, g, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY ALL), rep AS (SELECT doc_id, max(n) / sum(n) AS r FROM counted GROUP BY doc_id)"""
-_JUDGED = f"""{_GRAMS}, judged AS (SELECT d.doc_id, source, CASE WHEN n < 50 OR n > 500000 THEN 'length' WHEN coalesce(r, 0) > 0.2 THEN 'repetition'
+JUDGED = f"""{_GRAMS}, judged AS (SELECT d.doc_id, source, CASE WHEN n < 50 OR n > 500000 THEN 'length' WHEN coalesce(r, 0) > 0.2 THEN 'repetition'
     WHEN coalesce(({_MEAN}) BETWEEN 10 AND 10000, false) THEN NULL ELSE 'mean_line_length' END AS reason FROM {_LINE} d LEFT JOIN rep ON rep.doc_id = d.doc_id)"""
 
 
-@query("f_reason", f"WITH {_JUDGED} SELECT doc_id, reason FROM judged")
+@query("f_reason", f"WITH {JUDGED} SELECT doc_id, reason FROM judged")
 def f_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_reason(load(spark, sf_dir, "documents"), LATIN_LIMITS).select("doc_id", "reason")
 
 
-@query("f_reason_stats", f"WITH {_JUDGED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1")
+@query("f_reason_stats", f"WITH {JUDGED} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1")
 def f_reason_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reason_counts(quality.with_reason(load(spark, sf_dir, "documents"), LATIN_LIMITS))
 
@@ -154,7 +154,7 @@ def f_default_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f_stats_rollup",
-    f"""WITH {_JUDGED} SELECT source, count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, CAST(grouping(source) AS INTEGER) AS is_summary, count(*) FILTER (reason IS NOT NULL) AS filtered,
+    f"""WITH {JUDGED} SELECT source, count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, CAST(grouping(source) AS INTEGER) AS is_summary, count(*) FILTER (reason IS NOT NULL) AS filtered,
     round(count(*) FILTER (reason IS NOT NULL) / count(*), 6) AS filter_rate FROM judged GROUP BY ROLLUP (source)""",
 )
 def f_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,13 @@ def k_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "sample_id", F.md5(text).alias("digest"))
 
 
-@query("k_pack_eos")
+@query(
+    "k_pack_eos",
+    """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, least(length(text), 4096) AS n FROM conversations WHERE text <> ''),
+    w(conv_id, k, used, docs) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM t UNION ALL
+        SELECT t.conv_id, t.k, CASE WHEN used + n + 1 <= 512 THEN used + n + 1 ELSE used END, CASE WHEN used + n + 1 <= 512 THEN docs + 1 ELSE docs END FROM w JOIN t ON t.conv_id = w.conv_id AND t.k = w.k + 1)
+    SELECT conv_id, max(used) AS n_tokens, max(docs) AS n_docs FROM w GROUP BY conv_id""",
+)
 def k_pack_eos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation packed into one sequence: what does not fit is passed over."""
     rows = tokens.tokenise(load(spark, sf_dir, "conversations"), tokens.char_encoder())

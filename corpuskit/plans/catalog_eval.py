@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import text as T
 from corpuskit.operators import chat, mixing, perplexity, sampling, scoring, tokenizer_metrics, tokens, training
 from corpuskit.plans import durable, pipeline
-from corpuskit.plans.catalog import LATIN_LIMITS, char_tokens, load, query
+from corpuskit.plans.catalog import JUDGED, LATIN_LIMITS, char_tokens, load, query, sql_clean, sql_ratio
 from corpuskit.sources import readers
 from corpuskit.streaming import clean as streaming
 
@@ -425,7 +425,13 @@ def x_best_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.tag_best(rows, 300)
 
 
-@query("x_shard_pack")
+@query(
+    "x_shard_pack",
+    """WITH RECURSIVE t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, length(text) AS n FROM documents),
+    w(source, k, doc_id, used, shard) AS (SELECT DISTINCT source, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INTEGER) FROM t UNION ALL
+        SELECT t.source, t.k, t.doc_id, CASE WHEN used + n > 50000 AND used > 0 THEN n ELSE used + n END, shard + CASE WHEN used + n > 50000 AND used > 0 THEN 1 ELSE 0 END FROM w JOIN t ON t.source = w.source AND t.k = w.k + 1)
+    SELECT source, doc_id, shard FROM w WHERE k > 0""",
+)
 def x_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source packed into shards of 50,000 characters in order of id."""
     rows = load(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("size")))).alias("d"))
@@ -492,7 +498,10 @@ def d_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("doc_id", "source", F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@query("st_clean_stream")
+_CLEANED = f"cleaned AS (SELECT * FROM (SELECT doc_id, source, {sql_clean('text')} AS text FROM documents) WHERE text <> '' AND {sql_ratio('text', T.LATIN)} >= 0.3)"
+
+
+@query("st_clean_stream", f"WITH {_CLEANED}, {JUDGED.replace('FROM documents', 'FROM cleaned')} SELECT source, reason, count(*) AS n FROM judged GROUP BY source, reason")
 def st_clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a JSONL stream, cleaned, judged and appended to Parquet."""
     base = f"{durable.shared_dir(spark)}/corpuskit-stream-{uuid.uuid4().hex}"

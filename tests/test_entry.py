@@ -15,6 +15,6 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["k_pack_eos", "x_shard_pack", "d_pipeline", "st_clean_stream", "k_sentencepiece"])
+@pytest.mark.parametrize("name", ["d_pipeline", "k_sentencepiece"])
 def test_queries_without_oracle(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
