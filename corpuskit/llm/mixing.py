@@ -27,6 +27,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 LIMIT = 2.0
 SUB_BLOCKS = 1024
+#: Words of the mix that one task sorts; a larger shard is written in several consecutive pieces.
+PIECE_WORDS = 4_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> list[float]:
@@ -85,6 +87,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Repeated rows are dealt like others. Wordless documents follow their block with 0 words. An
     empty input gives no rows.
     """
+    return _planned(docs, id_col, text_col, source_col, shards, seed, weights, share, limit)[0]
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int, seed: int, weights: tuple[float, ...], share: float, limit: float) -> tuple[DataFrame, int]:
+    """The rows of ``plan`` and the number of words that the whole mix takes."""
     spark, blocks = docs.sparkSession, 4 * shards
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
@@ -133,16 +140,20 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     every = part.select(columns).unionByName(rows.where("part_words IS NULL").withColumn("part_take", F.lit(0).cast("long")).select(columns))
     copies = F.expr("filter(transform(coalesce(draws, array()), d -> struct(d.epoch AS epoch, d.shard AS shard, if(d.part, part_take, size) AS words)), d -> d.words > 0 OR size = 0)")
     taken = F.expr("aggregate(copies, 0L, (n, d) -> n + d.words)")
-    return every.withColumn("copies", copies).withColumn("taken", taken).select("doc_id", "text_key", "size", "source_size", "target", "taken", "copies")
+    planned = every.withColumn("copies", copies).withColumn("taken", taken)
+    return planned.select("doc_id", "text_key", "size", "source_size", "target", "taken", "copies"), sum(whole)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, piece_words: int = PIECE_WORDS) -> DataFrame:
     """The mixed corpus: a row of ``docs`` for each copy taken, dealt by output shard and shuffled inside it.
 
     The text of the document at which a source's target is met ends with the last word taken;
-    ``n_chars``, where there is such a column, follows. Columns are those of ``docs``.
+    ``n_chars``, where there is such a column, follows. Columns are those of ``docs``. A shard of more
+    than ``piece_words`` words is cut into ranges of its shuffled order, each sorted by a task, so that
+    a task's work stays the same as the corpus grows.
     """
-    found = plan(docs, id_col, text_col, source_col, seed=seed, **options).where("size(copies) > 0")
+    found, words_taken = _planned(docs, id_col, text_col, source_col, shards, seed, weights, share, limit)
+    found = found.where("size(copies) > 0")
     # Rows that agree in id and text share their copies, so one plan row stands for all of them.
     found = found.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("size").alias("__mix_size")).agg(F.max("copies").alias("__mix_copies"))
     text = F.col(text_col).cast("string")
@@ -155,4 +166,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     rows = rows.withColumn("__mix_shard", F.col("__mix_copy.shard")).withColumn("__mix_order", F.xxhash64(F.lit(seed), "__mix_copy.epoch", "__mix_shard", "__mix_id", "__mix_key"))
-    return rows.repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_order").select(docs.columns)
+    pieces, parts = max(1, math.ceil(words_taken / (shards * piece_words))), math.ceil(words_taken / piece_words)
+    piece = F.floor((F.col("__mix_order").cast("double") / 2.0**64 + 0.5) * pieces)
+    rows, keys = rows.withColumn("__mix_piece", F.least(piece, F.lit(pieces - 1))), ["__mix_shard", "__mix_piece"]
+    if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(parts, *keys)
+    else:
+        rows = rows.repartition(*keys)
+    return rows.sortWithinPartitions(*keys, "__mix_order").select(docs.columns)
