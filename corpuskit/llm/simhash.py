@@ -47,15 +47,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(x.as_py()) for x in batch.column(1)]
+        prints = [fingerprint(x.as_py()) for x in batch.column(2)]
         signed = np.array(prints, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``(doc_id, text_key, fp)`` for every row; ``fp`` holds the 64 bits as a signed long, ``text_key`` is a hash of the text."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
@@ -83,6 +84,18 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return same.unionByName(beside).distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """``(doc_id, text_key, fp, component_id, root)``; ``root`` is a fingerprint that names the component."""
+    rows = cut(fingerprints(docs, id_col, text_col))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    joined = components(links(nodes.select("fp"), max_bits))
+    linked = nodes.join(joined, F.col("fp") == F.col("node")).select("fp", "low", "component")
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = linked.join(lows, "component").select("fp", "component_id", F.col("component").alias("root"))
+    named = cut(nodes.join(named, "fp", "left").selectExpr("fp AS fp2", "coalesce(component_id, low) AS component_id", "coalesce(root, fp) AS root"))
+    return rows.join(named, F.col("fp") == F.col("fp2")).drop("fp2")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per input row.
 
@@ -90,21 +103,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the input; an empty input gives no rows; a null id never names a component unless all ids of
     the component are null.
     """
-    rows = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(links(nodes.select("fp"), max_bits))
-    linked = nodes.join(joined, F.col("fp") == F.col("node")).select("fp", "low", "component")
-    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(lows, "component").select("fp", "component_id")
-    named = cut(nodes.join(named, "fp", "left").selectExpr("fp AS fp2", "coalesce(component_id, low) AS component_id"))
-    return rows.join(named, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, max_bits).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that near-duplicate removal keeps: those whose id names their component.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` for each component: the one with its smallest id, with all its columns.
 
-    Exact repeats of the kept row (same id and text) collapse to one; all columns are kept.
+    A null id names no component, so rows without an id never stay. Texts of one component under its smallest id are told apart by a hash, of
+    which the smallest stays; exact repeats of the kept row collapse to one. Different texts under
+    one id that do not link stay, each for its component. An empty input gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id <=> component_id").select("doc_id", "fp").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    found = _grouped(docs, id_col, text_col, max_bits)
+    best = found.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    kept = best.selectExpr("best.doc_id AS __sh_id", "best.text_key AS __sh_key").distinct()
+    keys = ["__sh_id", "__sh_key"]
+    rows = docs.withColumn("__sh_id", F.col(id_col).cast("long")).withColumn("__sh_key", F.xxhash64(F.col(text_col).cast("string")))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

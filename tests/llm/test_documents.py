@@ -82,6 +82,9 @@ def test_mix(spark, docs, empty):
     mixed = mixing.mix(docs, shards=8)
     assert mixed.columns == docs.columns
     assert sum(len(words(r.text)) for r in mixed.collect()) == sum(taken.values())
+    pieces = mixing.mix(docs, shards=8, piece_words=20)
+    assert pieces.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(str, pieces.collect())) == sorted(map(str, mixed.collect()))
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
@@ -142,6 +145,13 @@ def test_simhash(docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    one, two = "the cat sat on the mat", "a quite different line of words"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (1, one), (None, two), (None, "no id at all here")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert got == [("1", two), ("1", one)]
+
+
 def test_simhash_links_against_all_pairs(spark):
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1, 2**63}
