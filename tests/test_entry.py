@@ -1,8 +1,14 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
 from corpuskit.plans import catalog, catalog_eval  # noqa: F401
 
+ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,3 +24,17 @@ def test_oracles_belong_to_queries():
 @pytest.mark.parametrize("name", ["d_pipeline", "k_sentencepiece"])
 def test_queries_without_oracle(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_workers_find_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", __spark_entry__.queries()["f_reason"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
