@@ -81,50 +81,57 @@ def signatures(docs: DataFrame, keys: list[str], text_col: str = "text", n: int
     return docs.where(F.length(text_col) > 0).select(*keys, sign(text_col).alias("signature"))
 
 
-def collisions(signed: DataFrame, order: str = "doc_id", scope: list[str] | None = None, threshold: float = 0.8, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, pairs)``: the first row of each signature, and pairs of them that share a band.
+def memberships(signed: DataFrame, order: str = "doc_id", scope: list[str] | None = None, threshold: float = 0.8, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, members)``: the first row of each signature, and the band buckets of each as ``(n, k1, k2)``.
 
-    Rows with equal signatures are decided alike, so only the first of them is a node.
+    Rows with equal signatures are decided alike, so only the first of them is a node. Two hashes
+    name a bucket: its scope (null is one of its own), band and values.
     """
     scope = scope or []
     bands, rows = bands_for(threshold, permutations)
     nodes = cut(signed.groupBy(*scope, "signature").agg(F.min(order).alias(order)))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.slice("signature", i * rows + 1, F.lit(rows)).alias("key")))
-    banded = nodes.select(*scope, order, F.inline(keys)).withColumn("key", F.xxhash64("key"))
-    left, right = banded.withColumnRenamed(order, "a"), banded.withColumnRenamed(order, "b")
-    pairs = left.join(right, [*scope, "band", "key"]).where("a < b").select("a", "b").distinct()
-    return nodes, pairs
+    banded = nodes.select(*scope, order, F.inline(keys))
+    names = [F.xxhash64(F.lit(seed), *scope, "band", "key").alias(f"k{seed}") for seed in (1, 2)]
+    return nodes, banded.select(F.col(order).alias("n"), *names)
 
 
-def first_wins(nodes: DataFrame, pairs: DataFrame, order: str = "doc_id", max_rounds: int = 1000) -> DataFrame:
-    """Ids of the nodes that stay."""
-    gone = None
-    pairs = cut(pairs)
-    open_ = pairs
+def collisions(signed: DataFrame, order: str = "doc_id", scope: list[str] | None = None, threshold: float = 0.8, permutations: int = PERMUTATIONS) -> DataFrame:
+    """``(a, b)``: pairs of nodes that share a band, a report whose size is the number of pairs."""
+    members = memberships(signed, order, scope, threshold, permutations)[1]
+    left, right = members.withColumnRenamed("n", "a"), members.withColumnRenamed("n", "b")
+    return left.join(right, ["k1", "k2"]).where("a < b").select("a", "b").distinct()
+
+
+def first_wins(nodes: DataFrame, members: DataFrame, order: str = "doc_id", max_rounds: int = 1000) -> DataFrame:
+    """Ids of the nodes that stay.
+
+    In each round the smallest undecided node of all of its buckets stays, and all others of these
+    buckets go. A round aggregates the memberships and never pairs the nodes of a bucket, so a
+    bucket that holds a large share of the nodes costs its size and not the square of it.
+    """
+    gone, open_ = None, cut(members)
     for _ in range(max_rounds):
-        if open_.isEmpty():
+        lows = open_.groupBy("k1", "k2").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").drop("high")
+        seen = cut(open_.join(lows, ["k1", "k2"]))
+        if seen.isEmpty():
             break
-        # Nodes with an undecided smaller neighbour wait; the others stay and drop their neighbours.
-        waiting = open_.select(F.col("b").alias("n")).distinct()
-        stay = open_.select(F.col("a").alias("n")).distinct().join(waiting, "n", "left_anti")
-        lost = cut(open_.join(stay, F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("n")).distinct())
+        stay = seen.groupBy("n").agg(F.max(F.col("low") < F.col("n")).alias("waits")).where("NOT waits").select(F.col("n").alias("low"))
+        lost = cut(seen.where("low < n").join(stay, "low", "left_semi").select("n").distinct())
         gone = lost if gone is None else gone.unionByName(lost)
-        decided = lost.unionByName(stay).distinct()
-        open_ = open_.join(decided.withColumnRenamed("n", "x"), F.col("a") == F.col("x"), "left_anti")
-        open_ = cut(open_.join(decided.withColumnRenamed("n", "x"), F.col("b") == F.col("x"), "left_anti"))
+        open_ = seen.drop("low").join(lost, "n", "left_anti")
     else:
         raise RuntimeError("first_wins: undecided nodes are left")
     if gone is None:
         return nodes.select(order)
-    return nodes.join(gone.distinct().withColumnRenamed("n", "__gone"), F.col(order) == F.col("__gone"), "left_anti").select(order)
+    return nodes.join(gone.withColumnRenamed("n", "__gone"), F.col(order) == F.col("__gone"), "left_anti").select(order)
 
 
 def near_duplicates(docs: DataFrame, order: str = "doc_id", scope: str | None = "source", text_col: str = "text", threshold: float = 0.8, permutations: int = PERMUTATIONS, n: int = SHINGLE) -> DataFrame:
     """Rows that stay, in all columns. ``scope=None`` removes across files, else within each file."""
     keys = [order] + ([scope] if scope else [])
     signed = cut(signatures(docs, keys, text_col, n, permutations))
-    nodes, pairs = collisions(signed, order, [scope] if scope else [], threshold, permutations)
-    kept = first_wins(nodes, pairs, order)
+    kept = first_wins(*memberships(signed, order, [scope] if scope else [], threshold, permutations), order)
     return docs.join(kept, order, "left_semi")
 
 

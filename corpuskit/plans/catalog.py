@@ -302,14 +302,14 @@ def p_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p_candidates", f"WITH {_sql_pairs('')} SELECT a, b FROM pair")
 def p_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.collisions(_signed(spark, sf_dir).drop("source"))[1]
+    return neardup.collisions(_signed(spark, sf_dir).drop("source"))
 
 
 @query("p_jaccard_pairs", f"WITH {_sql_pairs('')}, sized AS (SELECT doc_id, count(*) AS n FROM hashed GROUP BY doc_id), met AS (SELECT a, b, count(*) AS k FROM pair JOIN hashed x ON x.doc_id = a JOIN hashed y ON y.doc_id = b AND x.h = y.h GROUP BY a, b) SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM met JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b")
 def p_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact similarity of the candidate pairs, their shingle hashes computed for these texts alone."""
     docs = load(spark, sf_dir, "documents")
-    pairs = durable.cut(neardup.collisions(neardup.signatures(docs, ["doc_id"]))[1])
+    pairs = durable.cut(neardup.collisions(neardup.signatures(docs, ["doc_id"])))
     met = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).distinct()
 
     @F.pandas_udf("array<bigint>")
@@ -325,13 +325,13 @@ def p_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     signed = durable.cut(neardup.signatures(docs, ["doc_id", "source"]))
-    return neardup.first_wins(*neardup.collisions(signed, scope=["source"]))
+    return neardup.first_wins(*neardup.memberships(signed, scope=["source"]))
 
 
 @query("p_greedy_global", _sql_greedy(""))
 def p_greedy_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = durable.cut(neardup.signatures(load(spark, sf_dir, "documents"), ["doc_id"]))
-    return neardup.first_wins(*neardup.collisions(signed))
+    return neardup.first_wins(*neardup.memberships(signed))
 
 
 @query(

@@ -24,8 +24,26 @@ def test_first_wins_equals_the_sequential_rule(spark):
     rng = random.Random(5)
     cases = [(3, {(0, 1), (1, 2)}), (3, {(0, 1), (0, 2)}), (40, {(i, i + 1) for i in range(39)}), (30, {tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)})]
     for n, pairs in cases:
-        nodes, edges = spark.createDataFrame([(i,) for i in range(n)], "doc_id long"), spark.createDataFrame(sorted(pairs), "a long, b long")
-        assert sorted(r.doc_id for r in neardup.first_wins(nodes, edges).collect()) == greedy(n, pairs)
+        nodes = spark.createDataFrame([(i,) for i in range(n)], "doc_id long")
+        members = spark.createDataFrame([(x, k, 0) for k, pair in enumerate(sorted(pairs)) for x in pair], "n long, k1 long, k2 long")
+        assert sorted(r.doc_id for r in neardup.first_wins(nodes, members).collect()) == greedy(n, pairs)
+
+
+def test_first_wins_on_hot_buckets(spark):
+    rng = random.Random(6)
+    rows = {(x, 0) for x in range(0, 1500, 3)} | {(x, rng.randrange(1, 400)) for x in range(1500) for _ in range(2)}
+    by_bucket = {}
+    for x, k in sorted(rows):
+        by_bucket.setdefault(k, []).append(x)
+    taken, want = set(), []
+    for x in range(1500):
+        mine = [k for k in by_bucket if (x, k) in rows]
+        if not any(k in taken for k in mine):
+            want.append(x)
+            taken.update(mine)
+    members = spark.createDataFrame([(x, k, k) for x, k in sorted(rows)], "n long, k1 long, k2 long")
+    assert sorted(r.doc_id for r in neardup.first_wins(spark.range(1500).toDF("doc_id"), members).collect()) == want
+    assert neardup.first_wins(spark.range(3).toDF("doc_id"), members.limit(0)).count() == 3
 
 
 def test_near_duplicates(spark):
