@@ -32,7 +32,8 @@ def nfkc(text: Column | str) -> Column:
     def normalise(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return normalise(text)
+    # Else a filter on the result would be moved below the projection and compute it a second time.
+    return normalise.asNondeterministic()(text)
 
 
 def strip(text: Column) -> Column:

@@ -44,7 +44,8 @@ def repetition(text: Column, n: int = 10) -> Column:
     def ratio(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: repetition_of(x, n)).astype("float64")
 
-    return ratio(text)
+    # Else a filter on the result would be moved below the projection and compute it a second time.
+    return ratio.asNondeterministic()(text)
 
 
 def mean_line(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from corpuskit.functions import arrays as A
 from corpuskit.plans.durable import numbered, running
 
-Encoder = Callable[[list[str]], list[list[int]]]
+Encoder = Callable[[list[str]], list[Sequence[int]]]
 
 
 def byte_encoder() -> Encoder:
     """One id per UTF-8 byte, the byte's value."""
-    return lambda texts: [list(x.encode("utf-8", "surrogatepass")) for x in texts]
+    return lambda texts: [np.frombuffer(x.encode("utf-8", "surrogatepass"), np.uint8) for x in texts]
 
 
 def char_encoder() -> Encoder:
     """One id per code point, its number."""
-    return lambda texts: [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").tolist() for x in texts]
+    return lambda texts: [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<i4") for x in texts]
 
 
 def sentencepiece_encoder(path: str) -> Encoder:
@@ -47,13 +47,20 @@ def tokenise(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len:
             yield pd.Series([np.array(x[:max_len], np.int32) for x in encoder(texts.fillna("").tolist())])
 
     docs = docs.where(F.length(text_col) > 0) if drop_empty else docs
-    docs = docs.withColumn("tokens", encode(text_col))
+    # Else a filter on the result would be moved below the projection and compute it a second time.
+    docs = docs.withColumn("tokens", encode.asNondeterministic()(text_col))
     return docs.where(F.size("tokens") > 0) if drop_empty else docs
 
 
 def offsets(tokens: DataFrame, order: str = "doc_id", by: str | None = "source", tokens_col: str = "tokens") -> DataFrame:
-    """Adds ``start`` and ``end``: places of each document in the concatenated stream of its file, in order."""
-    rows = running(tokens.withColumn("n_tokens", F.size(tokens_col).cast("long")), [order], {"end": "n_tokens"}, [by] if by else [])
+    """Adds ``start`` and ``end``: places of each document in the concatenated stream of its file, in order.
+
+    A column ``n_tokens`` stands for the ids, which then need not be there; columns that are not
+    wanted are best left out, for all are shuffled and written once.
+    """
+    if "n_tokens" not in tokens.columns:
+        tokens = tokens.withColumn("n_tokens", F.size(tokens_col).cast("long"))
+    rows = running(tokens, [order], {"end": "n_tokens"}, [by] if by else [])
     return rows.withColumn("start", F.col("end") - F.col("n_tokens"))
 
 

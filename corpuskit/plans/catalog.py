@@ -371,7 +371,8 @@ _OFFSETS = "SELECT doc_id, source, sum(length(text)) OVER (PARTITION BY source O
 
 @query("k_offsets", f"SELECT doc_id, source, CAST(e - n AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM ({_OFFSETS})")
 def k_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.offsets(char_tokens(spark, sf_dir)).select("doc_id", "source", "start", "end")
+    sizes = char_tokens(spark, sf_dir).select("doc_id", "source", F.size("tokens").cast("long").alias("n_tokens"))
+    return tokens.offsets(sizes).select("doc_id", "source", "start", "end")
 
 
 @query(
@@ -380,7 +381,7 @@ def k_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, k AS sample_id, md5(substr(t, k * 512 + 1, 512)) AS digest FROM joined, range((SELECT max(length(t)) // 512 FROM joined)) r(k) WHERE (k + 1) * 512 <= length(t)""",
 )
 def k_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.chunks(tokens.offsets(char_tokens(spark, sf_dir)), 512)
+    rows = tokens.chunks(tokens.offsets(char_tokens(spark, sf_dir).select("doc_id", "source", "tokens")), 512)
     text = F.array_join(F.transform("tokens", lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")), "")
     return rows.select("source", "sample_id", F.md5(text).alias("digest"))
 
