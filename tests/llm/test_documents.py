@@ -306,3 +306,13 @@ def test_license_gates_lose_nothing():
             low = t.lower()
             if not any(g in low for g in licenses.GATES):
                 raise AssertionError(t)
+
+
+def test_license_notices_need_a_gate_word(spark):
+    """No text that reaches the coverage asked for lacks a gate word, and short notices are found."""
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        pairs = licenses.pairs_of(t)
+        assert sum(not set(p.split()) & set(licenses.GATES) for p in pairs) < licenses.COVERAGE * len(pairs)
+    data = [(1, "All rights reserved."), (2, "some prose\nAvailable under CC BY-SA 4.0.\nmore"), (3, "1.0Copyright. All rights reserved."), (4, "All the rights of a person.")]
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: ["Proprietary"], 2: ["CC-BY-SA"], 3: ["Proprietary"]}
