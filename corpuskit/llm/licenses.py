@@ -166,6 +166,14 @@ def _paragraphs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "\n"), _gated))
 
 
+def _runs(text: Column, found: Column) -> Column:
+    """Distinct runs of two or more adjacent lines, none of which is blank or has its key in ``found``, that may hold a notice."""
+    rest = F.transform(F.split(text, "\n"), lambda x: F.when(F.array_contains(found, F.xxhash64(x)), "").otherwise(x))
+    runs = F.split(F.array_join(rest, "\n"), r"\n(?:[^a-z0-9\n]*\n)+")
+    runs = F.transform(runs, lambda x: F.regexp_replace(x, r"^[^a-z0-9]*\n|\n[^a-z0-9]*$", ""))
+    return F.array_distinct(F.filter(runs, lambda x: x.contains("\n") & _gated(x)))
+
+
 def _gated(text: Column) -> Column:
     """Whether a text in lower case holds a gate word, by the borders of ``WORDS``: a word may follow a number directly."""
     words = "|".join(re.escape(g) + ("" if "." in g else "(?![a-z])") for g in GATES)
@@ -202,17 +210,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     One row per distinct id and text: the families of its distinct notices in order, how many
     notices there are, and the least sure of them. Null and empty texts, and texts without a
-    confirmed notice, give no row. A paragraph ends at a line feed. Ties between families go to the
-    first in order.
+    confirmed notice, give no row. A notice is a line, or a run of adjacent lines that are not notices
+    by themselves, judged whole; a run ends at a line without a letter a to z or digit. Ties between
+    families go to the first in order.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(_gated(F.lower("text")))
-    each = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_paragraphs(F.lower("text"))).alias("paragraph"))
-    each = each.withColumn("paragraph_key", F.xxhash64("paragraph"))
-    found = cut(classify(each.groupBy("paragraph_key").agg(F.min("paragraph").alias("paragraph"))))
-    hits = each.select("doc_id", "text_key", "paragraph_key").join(found, "paragraph_key")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.lower(text).alias("text")).where(_gated(F.col("text")))
+
+    def hits(paragraphs: Column, rows: DataFrame) -> DataFrame:
+        each = rows.select("doc_id", "text_key", F.explode(paragraphs).alias("paragraph")).withColumn("paragraph_key", F.xxhash64("paragraph"))
+        found = cut(classify(each.groupBy("paragraph_key").agg(F.min("paragraph").alias("paragraph"))))
+        return each.select("doc_id", "text_key", "paragraph_key").join(found, "paragraph_key")
+
+    lines = cut(hits(_paragraphs(F.col("text")), rows))
+    known = lines.groupBy(F.col("text_key").alias("known_key")).agg(F.collect_set("paragraph_key").alias("found"))
+    rest = rows.join(known, F.col("text_key") == F.col("known_key"), "left")
+    runs = hits(_runs(F.col("text"), F.coalesce("found", F.array().cast("array<long>"))), rest)
     return (
-        hits.groupBy("doc_id", "text_key")
+        lines.unionByName(runs).groupBy("doc_id", "text_key")
         .agg(F.sort_array(F.collect_set("family")).alias("families"), F.count_distinct("paragraph_key").alias("n_paragraphs"), F.min("probability").alias("least_probability"), F.min("coverage").alias("least_coverage"))
         .drop("text_key")
     )

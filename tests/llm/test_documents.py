@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -316,3 +317,17 @@ def test_license_notices_need_a_gate_word(spark):
     data = [(1, "All rights reserved."), (2, "some prose\nAvailable under CC BY-SA 4.0.\nmore"), (3, "1.0Copyright. All rights reserved."), (4, "All the rights of a person.")]
     got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: ["Proprietary"], 2: ["CC-BY-SA"], 3: ["Proprietary"]}
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    grants = {f: max(licenses.TEMPLATES[f], key=len) for f in ("MIT", "ISC", "GPL", "CC0")} | {"BSD": licenses.TEMPLATES["BSD"][2]}
+    prose = "\n".join(" ".join(random.Random(i).choices(sum(map(licenses.words_of, licenses.EVERYDAY), []), k=12)) for i in range(40))
+    data = []
+    for i, (family, t) in enumerate(sorted(grants.items())):
+        wrapped = textwrap.wrap(t, 60)
+        data += [(10 * i, "\n".join(wrapped)), (10 * i + 1, "int x;\n\n" + "\n".join(" * " + x for x in wrapped) + "\n *\n * end\n"), (10 * i + 2, f"{prose}\n" + "\r\n".join(wrapped) + f"\n{prose}")]
+    data += [(90, prose), (91, "Released under the MIT License.\n\n" + "\n".join(textwrap.wrap(grants["ISC"], 60)))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = {10 * i + j: [f] for i, f in enumerate(sorted(grants)) for j in range(3)} | {91: ["ISC", "MIT"]}
+    assert {i: r.families for i, r in got.items()} == want
+    assert got[91].n_paragraphs == 2
