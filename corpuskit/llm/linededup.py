@@ -5,9 +5,10 @@ estimate is far from the threshold are decided by it; the sites of lines near it
 exactly. Lines on at least ``min_sites`` distinct sites are boilerplate and leave every text in
 which they are a minor part.
 
-A text of which boilerplate lines make up ``copy_share`` of the words or more is a copy of a
-document rather than a page around shared lines; it stays whole and is left to near-duplicate
-removal, which keeps one of each group.
+A text of which boilerplate lines make up ``copy_share`` of the words or more may be a copy of a
+document rather than a page around shared lines. ``remove_lines`` keeps it whole only if another
+document has the same set of lines, and leaves it to near-duplicate removal, which keeps one of each
+group. ``report`` calls every such text a copy, as its oracle does.
 """
 
 from __future__ import annotations
@@ -44,8 +45,18 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return cut(sure.unionByName(exact))
 
 
-def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, copy_share: float) -> DataFrame:
-    """``docs`` with ``__ld_lines``, an array of (line, words, bad), and ``__ld_copy``."""
+def _repeated(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """``(__ld_again)``: keys of the texts whose set of lines is that of another document too. A null id is a document of its own."""
+    lines = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _line_key), lambda x: x.isNotNull())))
+    rows = docs.select("__ld_key", F.col(id_col).cast("long").alias("id"), F.xxhash64(lines).alias("set"))
+    texts = rows.groupBy("set", "__ld_key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("n"))
+    sets = texts.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    again = sets.where((F.col("low") < F.col("high")) | (F.col("n") + F.col("low").isNotNull().cast("int") > 1))
+    return texts.join(again.select("set"), "set", "left_semi").select(F.col("__ld_key").alias("__ld_again"))
+
+
+def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, copy_share: float, id_col: str | None = None) -> DataFrame:
+    """``docs`` with ``__ld_lines``, an array of (line, words, bad), and ``__ld_copy``; with ``id_col``, copies are those shown to be."""
     bad = boilerplate(docs, text_col, site_col, min_sites)
     text = F.col(text_col).cast("string")
     docs = docs.withColumn("__ld_key", F.xxhash64(text))
@@ -53,6 +64,9 @@ def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, copy_
     lines = docs.select("__ld_key", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _line_key))).alias("line")).where("line IS NOT NULL")
     hits = lines.join(bad.withColumnRenamed("line", "bad"), F.col("line") == F.col("bad"), "left_semi")
     hits = hits.groupBy("__ld_key").agg(F.collect_set("line").alias("__ld_bad")).withColumnRenamed("__ld_key", "__ld_hit")
+    if id_col is not None:
+        again = _repeated(docs, id_col, text)
+        hits = hits.join(again, F.col("__ld_hit") == F.col("__ld_again"), "left")
     docs = docs.join(hits, F.col("__ld_key") == F.col("__ld_hit"), "left")
     words = lambda x: F.regexp_count(x, F.lit(WORD))
     parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words"), F.coalesce(F.array_contains("__ld_bad", _line_key(x)), F.lit(False)).alias("bad")))
@@ -60,17 +74,19 @@ def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, copy_
     total = F.aggregate("__ld_lines", F.lit(0), lambda n, x: n + x.words)
     shared = F.aggregate("__ld_lines", F.lit(0), lambda n, x: n + F.when(x.bad, x.words).otherwise(0))
     docs = docs.withColumn("__ld_total", total).withColumn("__ld_shared", shared)
-    return docs.withColumn("__ld_copy", F.coalesce(F.col("__ld_shared") >= copy_share * F.col("__ld_total"), F.lit(False)))
+    copy = F.coalesce(F.col("__ld_shared") >= copy_share * F.col("__ld_total"), F.lit(False))
+    return docs.withColumn("__ld_copy", copy if id_col is None else copy & F.col("__ld_again").isNotNull())
 
 
-def remove_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
+def remove_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``; other rows and columns as they are.
 
     ``n_chars``, where there is such a column, follows. Null and empty texts stay. Lines are
     compared without white space at their ends; blank lines are never boilerplate. A null site counts
-    as one site. Repeated rows count their site once. An empty input gives no rows.
+    as one site. Repeated rows count their site once, and show no copy: that takes another id. An
+    empty input gives no rows.
     """
-    marked = _marked(docs, text_col, site_col, min_sites, copy_share)
+    marked = _marked(docs, text_col, site_col, min_sites, copy_share, id_col)
     left = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x.bad), lambda x: x.line), "\n")
     changed = F.col("__ld_bad").isNotNull() & ~F.col("__ld_copy")
     marked = marked.withColumn(text_col, F.when(changed, left).otherwise(F.col(text_col)))

@@ -331,3 +331,12 @@ def test_license_notices_wrapped_over_lines(spark):
     want = {10 * i + j: [f] for i, f in enumerate(sorted(grants)) for j in range(3)} | {91: ["ISC", "MIT"]}
     assert {i: r.families for i, r in got.items()} == want
     assert got[91].n_paragraphs == 2
+
+
+def test_line_removal_spares_only_shown_copies(spark):
+    shared = "this shared passage of ten words stands on many sites"
+    data = [(i, f"{shared}\nown {i}", f"site{i}") for i in range(12)] + [(20, f"{shared}\nthe only one", "site1")] * 2
+    data += [(30 + i, "a whole copied text\nof two lines", f"site{i}") for i in range(11)] + [(50, "of two lines", "site3")]
+    left = sorted((r.doc_id, r.text) for r in linededup.remove_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect())
+    want = [(i, f"own {i}") for i in range(12)] + [(20, "the only one")] * 2 + [(30 + i, "a whole copied text\nof two lines") for i in range(11)] + [(50, "")]
+    assert left == want
