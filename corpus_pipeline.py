@@ -23,8 +23,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near-duplicates; one without an id if none has one."""
+    return simhash.keep_one(docs, null_ids=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,16 +106,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(docs, id_col, text_col, max_bits).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, null_ids: bool = False) -> DataFrame:
     """One row of ``docs`` for each component: the one with its smallest id, with all its columns.
 
-    A null id names no component, so rows without an id never stay. Texts of one component under its smallest id are told apart by a hash, of
-    which the smallest stays; exact repeats of the kept row collapse to one. Different texts under
-    one id that do not link stay, each for its component. An empty input gives no rows.
+    A null id names no component. With ``null_ids`` it comes after all others, so that a component
+    without any id keeps a row as well; else rows without an id never stay. Texts of one component
+    under its smallest id are told apart by a hash, of which the smallest stays; exact repeats of the
+    kept row collapse to one. Different texts under one id that do not link stay, each for its
+    component. An empty input gives no rows.
     """
     found = _grouped(docs, id_col, text_col, max_bits)
-    best = found.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
-    kept = best.selectExpr("best.doc_id AS __sh_id", "best.text_key AS __sh_key").distinct()
-    keys = ["__sh_id", "__sh_key"]
+    found = found if null_ids else found.where("doc_id IS NOT NULL")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
+    kept = best.selectExpr("best.doc_id AS __sh_best", "best.text_key AS __sh_best_key").distinct()
     rows = docs.withColumn("__sh_id", F.col(id_col).cast("long")).withColumn("__sh_key", F.xxhash64(F.col(text_col).cast("string")))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    same = F.col("__sh_id").eqNullSafe(F.col("__sh_best")) & (F.col("__sh_key") == F.col("__sh_best_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__sh_id", "__sh_key"]).select(docs.columns)

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from corpuskit.llm import bpe, langid, licenses, linededup, mixing, simhash, sstable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, block int, fp string, line string, n int"
@@ -153,6 +154,13 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     assert got == [("1", two), ("1", one)]
 
 
+def test_pipeline_keeps_a_row_of_groups_without_an_id(spark):
+    one, two, three = "the cat sat on the mat", "a quite different line of words", "no id at all here"
+    docs = spark.createDataFrame([(1, one), (None, one), (None, two), (None, two), (None, three), (2, None), (None, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == sorted([("1", one), ("None", two), ("None", three), ("2", "None")])
+
+
 def test_simhash_links_against_all_pairs(spark):
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1, 2**63}
