@@ -142,11 +142,20 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``: null text or text without a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(_table(fit(docs, id_col, text_col, lang_col)))
+    """``docs`` without null texts and texts without a letter, whose language cannot be told.
+
+    Where no profile could be learnt no language is told, but texts with a letter stay as well.
+    """
+    profiles = fit(docs, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(_table(profiles))
 
     @F.pandas_udf("string")
     def named(texts: pd.Series) -> pd.Series:
         return pd.Series([predict(x, *shared.value)[0] for x in texts], dtype=object)
 
-    return docs.where(named(F.col(text_col).cast("string")) != UNKNOWN)
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(_grams(x or "")[0]) > 0 for x in texts], dtype=bool)
+
+    text = F.col(text_col).cast("string")
+    return docs.where(named(text) != UNKNOWN if profiles else lettered(text))

@@ -348,3 +348,9 @@ def test_line_removal_spares_only_shown_copies(spark):
     left = sorted((r.doc_id, r.text) for r in linededup.remove_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect())
     want = [(i, f"own {i}") for i in range(12)] + [(20, "the only one")] * 2 + [(30 + i, "a whole copied text\nof two lines") for i in range(11)] + [(50, "")]
     assert left == want
+
+
+def test_pipeline_keeps_texts_without_a_learnt_profile(spark):
+    data = [(i, "some words of prose", None) for i in range(8)] + [(20, "12 34", None), (21, None, None), (22, "", None)]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(8))
