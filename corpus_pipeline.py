@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source meets its target, shuffled in shards."""
-    return mixing.mix(docs)
+    """Repeats or leaves out documents so that each source comes nearest to its target, shuffled in shards."""
+    return mixing.mix(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

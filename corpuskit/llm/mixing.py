@@ -144,15 +144,18 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, shard
     return planned.select("doc_id", "text_key", "size", "source_size", "target", "taken", "copies"), sum(whole)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, piece_words: int = PIECE_WORDS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, piece_words: int = PIECE_WORDS, whole: bool = False) -> DataFrame:
     """The mixed corpus: a row of ``docs`` for each copy taken, dealt by output shard and shuffled inside it.
 
     The text of the document at which a source's target is met ends with the last word taken;
-    ``n_chars``, where there is such a column, follows. Columns are those of ``docs``. A shard of more
+    ``n_chars``, where there is such a column, follows. With ``whole`` that copy is taken whole or not
+    at all, whichever comes nearer to the target (whole if equal). Columns are those of ``docs``. A shard of more
     than ``piece_words`` words is cut into ranges of its shuffled order, each sorted by a task, so that
     a task's work stays the same as the corpus grows.
     """
     found, words_taken = _planned(docs, id_col, text_col, source_col, shards, seed, weights, share, limit)
+    if whole:
+        found = found.withColumn("copies", F.expr("transform(filter(copies, c -> 2 * c.words >= size), c -> struct(c.epoch AS epoch, c.shard AS shard, size AS words))"))
     found = found.where("size(copies) > 0")
     # Rows that agree in id and text share their copies, so one plan row stands for all of them.
     found = found.groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("size").alias("__mix_size")).agg(F.max("copies").alias("__mix_copies"))

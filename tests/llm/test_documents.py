@@ -354,3 +354,13 @@ def test_pipeline_keeps_texts_without_a_learnt_profile(spark):
     data = [(i, "some words of prose", None) for i in range(8)] + [(20, "12 34", None), (21, None, None), (22, "", None)]
     kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(8))
+
+
+def test_pipeline_mixes_whole_documents(spark, docs):
+    texts = {(i, t) for i, t, *_ in rows()}
+    mixed = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert {x[:2] for x in mixed} <= texts
+    cut = [(r.doc_id, r["size"], r.source_size, c.words) for r in mixing.plan(docs).collect() for c in r.copies if c.words < r["size"]]
+    assert cut
+    left, want = sum(len(words(t)) for _, t, _ in mixed), sum(r.taken for r in mixing.plan(docs).collect())
+    assert left - want == sum(size - n if 2 * n >= size else -n for _, size, _, n in cut)
