@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -193,10 +194,45 @@ def test_token_shards(spark, docs, empty, tmp_path):
     for i, text, *_ in rows():
         found = [ids.tolist() for s in shards for ids in s.get(i)]
         assert ids_of(text) in found and len(found) == sum(r[0] == i for r in rows())
-    assert not any(s.get(999) for s in shards)
+    assert not any(s.get(999) for s in shards) and sstable.lookup(manifest, 999) == []
+    for i in {r[0] for r in rows()}:
+        assert sorted(ids.tolist() for ids in sstable.lookup(manifest, i)) == sorted(ids_of(t) for j, t, *_ in rows() if j == i)
     assert sstable.encode_to_shards(empty, path).count() == 0
 
 
+ODD = ["it's we're", "don't!'s", "e\u0301t\u00e9 E\u0301", "a\u0301.b\u0301!", "x<|endoftext|>y <|startoftext|>", "a\x1cb\x1d. \x1e", "a\xa0b\x85c\u2028d\u3000e", "日本語の文章。テスト", "A1b2 007 0 00", "Ça&&& ÉTÉ### naïve,%%%",
+       "\u212bngstr\u00f6m \u01c5 \ufb01 ﬀ", "'" * 3 + " '", "…-- —x—", "𠮷𠮷 a𝒳b", "word. word, (word) word! Word WORD", "\u0130stanbul STRASSE ß", "a\u0327\u0301b a\u0301\u0327", "", " ", "\n\t\x0b\x0c\r", "x" * 300, "ªº µ"]
+
+
+@pytest.mark.parametrize(("part", "words"), [(4 << 20, 300_000), (40, 50)])
+def test_shard_coder_equals_the_library(monkeypatch, part, words):
+    monkeypatch.setattr(sstable, "PART", part)
+    monkeypatch.setattr(sstable, "WORDS", words)
+    rng, path = random.Random(4), P.path("word_bpe_49k.json")
+    tokenizer, coder = Tokenizer.from_file(path), sstable._Coder(open(path, encoding="utf-8").read())
+    pieces = [w for t in ODD for w in t.split(" ")] + [c for t in ODD for c in t]
+    texts = ODD + ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n", "\xa0", "'", "."]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None]
+    want = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u2").tobytes() for t in texts]
+    for lot in (texts, texts[::-1]):
+        assert list(coder.encode(pa.array(lot))) == (want if lot is texts else want[::-1])
+    other = sstable._Coder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert coder.splits and not other.splits
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert list(other.encode(pa.array(ODD[:5]))) == [np.array([*library.encode(t, add_special_tokens=False).ids, 1], f"<u{other.width}").tobytes() for t in ODD[:5]]
+
+
+def test_token_shards_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 50_000)
+    path, text = P.path("word_bpe_49k.json"), "The quick, brown fox: it's over 9 lazy dogs.\n" * 30_000
+    table = spark.createDataFrame([(2, text, "a"), (1, None, "b"), (2, text, "c")], "doc_id long, text string, order string")
+    manifest = sstable.write_shards(table, path)
+    assert sum(m["docs"] for m in manifest) == 3 and [(m["first"], m["last"]) for m in manifest if m["docs"]][-1] == (2, 2)
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in sstable.read_shards(table, manifest).collect())
+    crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == [(1, 0, 1, zlib.crc32(b"\1\0\0\0")), (2, 1, len(ids), crc), (2, 1 + len(ids), len(ids), crc)]
+
+
 def test_shard_writer_format(tmp_path):
     with open(tmp_path / "x.sst", "wb") as f:
         writer = sstable.ShardWriter(f, 4)
