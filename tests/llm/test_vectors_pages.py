@@ -70,6 +70,33 @@ def test_embedding_duplicates(spark, monkeypatch, chunk):
     assert embdup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_duplicates_without_ids(spark):
+    """Rows without an id link, and name no component."""
+    near = lambda x: [1.0, 0.1 * x, 0.0]
+    data = [(None, near(0)), (4, near(1)), (None, near(2)), (2, near(3)), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.1, 1.0]), (None, [0.0, 1.0, 0.0]), (9, [-1.0, 0.0, 0.0]), (None, None), (9, [-1.0, 0.0, 0.0])]
+    got = embdup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    want = [(None, 3, 2, False)] * 2 + [(4, 3, 2, False), (2, 3, 2, True)] + [(None, 1, None, True)] * 2 + [(None, 0, None, True)] * 2 + [(9, 1, 9, True)] * 2
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_embedding_recall(spark):
+    """At 12,000 vectors with planted pairs just above the threshold, links against all pairs."""
+    rng, dim = np.random.default_rng(8), 64
+    base = rng.standard_normal((9000, dim))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, side = unit(base), rng.standard_normal((3000, dim))
+    side = unit(side - (side * base[:3000]).sum(axis=1, keepdims=True) * base[:3000])
+    cos = rng.uniform(0.9, 0.92, (3000, 1))
+    every = np.concatenate((base, cos * base[:3000] + np.sqrt(1 - cos * cos) * side))
+    bits, tables = embdup.tables_for(len(every))
+    assert tables > 20 and embdup.most_differing(bits * tables) < 0.35 * bits * tables
+    want = np.array([(unit(every[i : i + 1000]) @ unit(every).T >= 0.9).sum(axis=1) - 1 for i in range(0, len(every), 1000)]).ravel()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embdup.near_duplicates(table).collect()}
+    found = np.array([got[i] for i in range(len(every))])
+    assert (found <= want).all() and want.sum() >= 6000 and found.sum() / want.sum() >= 0.995
+
+
 def test_tables_follow_recall():
     for n in (2, 1000, 10**6, 10**9):
         bits, tables = embdup.tables_for(n)
