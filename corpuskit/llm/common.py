@@ -35,6 +35,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key is hot from this many rows on, and at least from the ``HOT_KEYS``-th part of all rows.
+HOT_ROWS, HOT_KEYS = 500, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, by: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, one row per key, where rows of a hot key are dealt to several tasks.
+
+    At most ``HOT_KEYS`` keys are hot, so their table may be broadcast. The rows of a hot key are salted
+    by a hash of the columns ``by``, and its row of ``right`` is repeated for each salt.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    most = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = cut(counts.where(F.col("__n") >= most).select(F.col(key).alias("__hot"), F.ceil(F.col("__n") / most).cast("int").alias("__salts")))
+    left = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by]), "__salts").cast("int"), F.lit(0))).drop("__hot", "__salts")
+    right = right.join(F.broadcast(hot), F.col(right_key) == F.col("__hot"), "left").withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hot", "__salts")
+    return left.join(right, (F.col(key) == F.col(right_key)) & (F.col("__salt") == F.col("__salt2")), how).drop("__salt", "__salt2")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node.
 

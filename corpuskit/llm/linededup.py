@@ -1,14 +1,16 @@
 """Removal of lines that many sites share, by DataFrame operations alone.
 
-A HyperLogLog sketch of the sites of each line hash is merged by partial aggregation. Lines whose
-estimate is far from the threshold are decided by it; the sites of lines near it are counted
-exactly. Lines on at least ``min_sites`` distinct sites are boilerplate and leave every text in
-which they are a minor part.
-
-A text of which boilerplate lines make up ``copy_share`` of the words or more may be a copy of a
-document rather than a page around shared lines. ``remove_lines`` keeps it whole only if another
-document has the same set of lines, and leaves it to near-duplicate removal, which keeps one of each
-group. ``report`` calls every such text a copy, as its oracle does.
+A line is boilerplate if it stands on at least ``min_sites`` distinct sites and in as many distinct
+texts: copies of one text on many sites do not make its lines boilerplate. HyperLogLog sketches of
+the sites and of the texts of each line hash are merged by partial aggregation. Lines whose
+estimates are far from the threshold are decided by them; those near it are counted exactly.
+Boilerplate leaves every text but those that hold nothing else: of them nothing would be left, and
+copies among them are the business of near-duplicate removal.
+
+Texts are split and hashed once, into distinct (line, text, site); all that follows works on these
+hashes. A line that stands in most texts is never dealt to one task by its hash: its rows are
+aggregated before they are shuffled, and tables of lines are broadcast up to ``BROADCAST`` rows, else
+joined with a salt from the text.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import WORD, cut
+from corpuskit.llm.common import cut, spread_join
 
 MIN_SITES = 10
 LOG_BUCKETS = 10
 #: Share of the threshold by which an estimate must miss it to decide; at 2**10 buckets ten standard errors.
 MARGIN = 0.35
-COPY_SHARE = 0.5
+#: Lines, eight bytes each, that are broadcast at most; beyond them a join is dealt by line and salt.
+BROADCAST = 1_000_000
+SALTS = 32
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -32,85 +36,95 @@ def _line_key(line: Column) -> Column:
     return F.when(trimmed != "", F.xxhash64(trimmed))
 
 
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__ld_key``, a hash of the text; empty texts, which have no line, are spread by their other columns."""
+    text, rest = F.col(text_col).cast("string"), [c for c in docs.columns if c != text_col]
+    return docs.withColumn("__ld_key", F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.xxhash64(text)).otherwise(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in rest])))
+
+
+def _occurrences(keyed: DataFrame, text_col: str, site_col: str) -> DataFrame:
+    """Distinct ``(line, text, site)`` as hashes. A null site counts as the empty one."""
+    lines = F.array_distinct(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _line_key))
+    rows = keyed.select(F.explode(lines).alias("line"), F.col("__ld_key").alias("text"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"))
+    return cut(rows.where("line IS NOT NULL").distinct())
+
+
+def _of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows(line, text, ...)`` of the lines in ``lines(line)``, a cut table."""
+    if lines.count() <= BROADCAST:
+        return rows.join(F.broadcast(lines), "line", "left_semi")
+    salted = lines.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return rows.withColumn("__salt", F.expr(f"int(pmod(text, {SALTS}))")).join(salted, ["line", "__salt"], "left_semi").drop("__salt")
+
+
+def _distinct(rows: DataFrame, column: str) -> DataFrame:
+    """``(line, n_<column>)``: exact numbers of distinct values per line."""
+    return rows.groupBy("line", column).agg(F.lit(1).alias("one")).groupBy("line").agg(F.sum("one").alias(f"n_{column}"))
+
+
+def _spread(found: DataFrame, min_sites: int) -> DataFrame:
+    """``(line)``: the lines of ``found(line, text, site)`` on ``min_sites`` distinct sites or more, in as many distinct texts."""
+    often = cut(found.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("line"))
+    found = _of(found, often)
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_BUCKETS)))
+    counted = cut(found.groupBy("line").agg(sketch("site").alias("sites"), sketch("text").alias("texts")))
+    least = F.least("sites", "texts")
+    near = cut(counted.where(least.between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("line"))
+    rows = _of(found, near)
+    exact = _distinct(rows, "site").join(_distinct(rows, "text"), "line").where((F.col("n_site") >= min_sites) & (F.col("n_text") >= min_sites))
+    return cut(counted.where(least > min_sites * (1 + MARGIN)).select("line").unionByName(exact.select("line")))
+
+
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``(line)``: hashes of the lines on ``min_sites`` distinct sites or more. A null site counts as one site."""
-    lines = docs.select(F.explode(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _line_key)).alias("line"), F.xxhash64(F.col(site_col)).alias("site"))
-    lines = lines.where("line IS NOT NULL")
-    spread = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_BUCKETS))).alias("sites"))
-    spread = cut(spread.where(F.col("n") >= min_sites).where(F.col("sites") >= min_sites * (1 - MARGIN)))
-    sure = spread.where(F.col("sites") > min_sites * (1 + MARGIN)).select("line")
-    near = spread.where(F.col("sites") <= min_sites * (1 + MARGIN)).select(F.col("line").alias("line2"))
-    counted = lines.join(near, F.col("line") == F.col("line2"), "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one"))
-    exact = counted.groupBy("line").agg(F.sum("one").alias("sites")).where(F.col("sites") >= min_sites).select("line")
-    return cut(sure.unionByName(exact))
-
-
-def _repeated(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(__ld_again)``: keys of the texts whose set of lines is that of another document too. A null id is a document of its own."""
-    lines = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _line_key), lambda x: x.isNotNull())))
-    rows = docs.select("__ld_key", F.col(id_col).cast("long").alias("id"), F.xxhash64(lines).alias("set"))
-    texts = rows.groupBy("set", "__ld_key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("n"))
-    sets = texts.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    again = sets.where((F.col("low") < F.col("high")) | (F.col("n") + F.col("low").isNotNull().cast("int") > 1))
-    return texts.join(again.select("set"), "set", "left_semi").select(F.col("__ld_key").alias("__ld_again"))
-
-
-def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int, copy_share: float, id_col: str | None = None) -> DataFrame:
-    """``docs`` with ``__ld_lines``, an array of (line, words, bad), and ``__ld_copy``; with ``id_col``, copies are those shown to be."""
-    bad = boilerplate(docs, text_col, site_col, min_sites)
-    text = F.col(text_col).cast("string")
-    docs = docs.withColumn("__ld_key", F.xxhash64(text))
-    # The shared lines of each distinct text; keys are hashes of whole texts, so copies meet in one row.
-    lines = docs.select("__ld_key", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _line_key))).alias("line")).where("line IS NOT NULL")
-    hits = lines.join(bad.withColumnRenamed("line", "bad"), F.col("line") == F.col("bad"), "left_semi")
-    hits = hits.groupBy("__ld_key").agg(F.collect_set("line").alias("__ld_bad")).withColumnRenamed("__ld_key", "__ld_hit")
-    if id_col is not None:
-        again = _repeated(docs, id_col, text)
-        hits = hits.join(again, F.col("__ld_hit") == F.col("__ld_again"), "left")
-    docs = docs.join(hits, F.col("__ld_key") == F.col("__ld_hit"), "left")
-    words = lambda x: F.regexp_count(x, F.lit(WORD))
-    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words"), F.coalesce(F.array_contains("__ld_bad", _line_key(x)), F.lit(False)).alias("bad")))
+    """``(line)``: hashes of the boilerplate lines. A null site counts as one site, the same as an empty one."""
+    return _spread(_occurrences(_keyed(docs, text_col), text_col, site_col), min_sites)
+
+
+def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int) -> DataFrame:
+    """``docs`` with ``__ld_lines``, an array of (line, bad) for texts with boilerplate, and ``__ld_cut``, whether it leaves them."""
+    keyed = _keyed(docs, text_col)
+    found = _occurrences(keyed, text_col, site_col)
+    # Keys are hashes of whole texts, so copies meet in one row, of which the size is bounded by the text's.
+    hits = _of(found, _spread(found, min_sites)).groupBy(F.col("text").alias("__ld_hit")).agg(F.collect_set("line").alias("__ld_bad"))
+    docs = spread_join(keyed, hits, "__ld_key", "__ld_hit", [c for c in docs.columns if c != text_col])
+    parts = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("__ld_bad", _line_key(x)), F.lit(False)).alias("bad")))
     docs = docs.withColumn("__ld_lines", F.when(F.col("__ld_bad").isNotNull(), parts))
-    total = F.aggregate("__ld_lines", F.lit(0), lambda n, x: n + x.words)
-    shared = F.aggregate("__ld_lines", F.lit(0), lambda n, x: n + F.when(x.bad, x.words).otherwise(0))
-    docs = docs.withColumn("__ld_total", total).withColumn("__ld_shared", shared)
-    copy = F.coalesce(F.col("__ld_shared") >= copy_share * F.col("__ld_total"), F.lit(False))
-    return docs.withColumn("__ld_copy", copy if id_col is None else copy & F.col("__ld_again").isNotNull())
+    return docs.withColumn("__ld_cut", F.coalesce(F.exists("__ld_lines", lambda x: ~x.bad & ~x.line.rlike(BLANK)), F.lit(False)))
+
+
+def _left(text_col: str) -> Column:
+    """The text without its boilerplate lines."""
+    rest = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x.bad), lambda x: x.line), "\n")
+    return F.when(F.col("__ld_cut"), rest).otherwise(F.col(text_col))
 
 
-def remove_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, id_col: str = "doc_id") -> DataFrame:
+def remove_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``; other rows and columns as they are.
 
-    ``n_chars``, where there is such a column, follows. Null and empty texts stay. Lines are
-    compared without white space at their ends; blank lines are never boilerplate. A null site counts
-    as one site. Repeated rows count their site once, and show no copy: that takes another id. An
+    ``n_chars``, where there is such a column, follows. Null and empty texts stay, and so do texts of
+    boilerplate alone. Lines are compared without white space at their ends; blank lines are never
+    boilerplate. A null site counts as one site. Repeated rows, and copies of a text, count once each. An
     empty input gives no rows.
     """
-    marked = _marked(docs, text_col, site_col, min_sites, copy_share, id_col)
-    left = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x.bad), lambda x: x.line), "\n")
-    changed = F.col("__ld_bad").isNotNull() & ~F.col("__ld_copy")
-    marked = marked.withColumn(text_col, F.when(changed, left).otherwise(F.col(text_col)))
+    marked = _marked(docs, text_col, site_col, min_sites).withColumn(text_col, _left(text_col))
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(changed, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        marked = marked.withColumn("n_chars", F.when(F.col("__ld_cut"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return marked.select(docs.columns)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
-    """Per input row ``doc_id, n_lines, n_shared, n_removed, is_copy`` and the text that is left, ``text``.
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """Per input row ``doc_id, n_lines, n_shared, n_removed, all_shared`` and the text that is left, ``text``.
 
     ``n_lines`` counts the lines that are not blank, ``n_shared`` the boilerplate among them,
-    ``n_removed`` those removed (none in a copy). Null text has no lines.
+    ``n_removed`` those removed (none if ``all_shared``: the text is boilerplate alone). Null text
+    has no lines. Otherwise as ``remove_lines``.
     """
-    marked = _marked(docs, text_col, site_col, min_sites, copy_share)
+    marked = _marked(docs, text_col, site_col, min_sites)
     text = F.col(text_col).cast("string")
-    lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(BLANK))), F.lit(0))
-    lines = F.when(text.isNull(), 0).otherwise(lines)
-    shared = F.coalesce(F.size(F.filter("__ld_lines", lambda x: x.bad)), F.lit(0))
-    shared = F.when(F.col("__ld_lines").isNull(), 0).otherwise(shared)
-    left = F.array_join(F.transform(F.filter("__ld_lines", lambda x: ~x.bad), lambda x: x.line), "\n")
-    changed = F.col("__ld_bad").isNotNull() & ~F.col("__ld_copy")
+    lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(BLANK))))
+    shared = F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x.bad)))
     return marked.select(
         F.col(id_col).cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), shared.cast("long").alias("n_shared"),
-        F.when(F.col("__ld_copy"), 0).otherwise(shared).cast("long").alias("n_removed"), F.col("__ld_copy").alias("is_copy"),
-        F.when(changed, left).otherwise(text).alias("text"),
-    )
+        F.when(F.col("__ld_cut"), shared).otherwise(0).cast("long").alias("n_removed"),
+        (F.col("__ld_lines").isNotNull() & ~F.col("__ld_cut")).alias("all_shared"), _left(text_col).alias("text"),
+    )

@@ -52,7 +52,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.report(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_shared", "n_removed", "is_copy", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return found.select("doc_id", "n_lines", "n_shared", "n_removed", "all_shared", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,20 +74,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: White space of the line contract, for DuckDB's trim.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_WORD = r"'[^\x20\x09-\x0D]+'"
 
 OP9 = f"""
 WITH doc AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
-line AS (SELECT source, trim(unnest(parts), {_BLANKS}) AS line FROM doc),
-bad AS (SELECT line FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= {linededup.MIN_SITES}),
+line AS (SELECT source, text, trim(unnest(parts), {_BLANKS}) AS line FROM doc),
+bad AS (SELECT line FROM line WHERE line <> '' GROUP BY line
+    HAVING count(DISTINCT coalesce(source, '')) >= {linededup.MIN_SITES} AND count(DISTINCT text) >= {linededup.MIN_SITES}),
 bads AS (SELECT coalesce(list(line), []) AS bads FROM bad),
 marked AS (SELECT doc_id, text, parts, list_filter(parts, lambda p: list_contains(bads, trim(p, {_BLANKS}))) AS shared,
     list_filter(parts, lambda p: NOT list_contains(bads, trim(p, {_BLANKS}))) AS rest FROM doc, bads),
-counted AS (SELECT *, len(regexp_extract_all(array_to_string(shared, ' '), {_WORD})) AS shared_words, len(regexp_extract_all(text, {_WORD})) AS words FROM marked),
-decided AS (SELECT *, len(shared) > 0 AND shared_words >= {linededup.COPY_SHARE} * words AS is_copy FROM counted),
-done AS (SELECT *, CASE WHEN is_copy THEN text ELSE array_to_string(rest, chr(10)) END AS left_text FROM decided)
-SELECT doc_id, CAST(len(list_filter(parts, lambda p: trim(p, {_BLANKS}) <> '')) AS BIGINT) AS n_lines, CAST(len(shared) AS BIGINT) AS n_shared,
-    CAST(CASE WHEN is_copy THEN 0 ELSE len(shared) END AS BIGINT) AS n_removed, is_copy, CAST(length(left_text) AS BIGINT) AS n_chars, sha256(left_text) AS text_sha256
+decided AS (SELECT *, len(shared) > 0 AND len(list_filter(rest, lambda p: trim(p, {_BLANKS}) <> '')) = 0 AS all_shared FROM marked),
+done AS (SELECT *, CASE WHEN all_shared THEN text ELSE array_to_string(rest, chr(10)) END AS left_text FROM decided)
+SELECT doc_id, CAST(coalesce(len(list_filter(parts, lambda p: trim(p, {_BLANKS}) <> '')), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(shared), 0) AS BIGINT) AS n_shared,
+    CAST(CASE WHEN all_shared THEN 0 ELSE coalesce(len(shared), 0) END AS BIGINT) AS n_removed, coalesce(all_shared, false) AS all_shared,
+    CAST(length(left_text) AS BIGINT) AS n_chars, sha256(left_text) AS text_sha256
 FROM done
 """
 

@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpuskit.llm import bpe, langid, licenses, linededup, mixing, simhash, sstable
+from corpuskit.llm import bpe, common, langid, licenses, linededup, mixing, simhash, sstable
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, block int, fp string, line string, n int"
 
@@ -279,34 +279,52 @@ def test_out_of_place_distance():
     assert langid.predict("", *table) == ("und", 0.0)
 
 
-def test_line_dedup(spark, docs, empty):
-    shared = "this line stands on very many sites"
-    data = [(i, f"own words number {i} of this text\n {shared} \nmore own words {i * 7} here\nand still more words of {i}", "en", f"site{i}") for i in range(14)]
-    data += [(50, f"only {shared}\n{shared}", "en", "site1"), (51, shared, "en", "site2"), (52, None, None, None), (53, "", "en", None), (54, "rare\nrare", "en", "site3")]
-    data += [(60 + i, "on nine sites alone and here are more words", "en", f"site{i}") for i in range(9)]
-    table = spark.createDataFrame([(*r, len(r[1] or ""), "k", 1, "f", "l", 2) for r in data], SCHEMA)
-    got = {r.doc_id: r for r in linededup.report(table).collect()}
-    for i in range(14):
-        assert (got[i].n_lines, got[i].n_shared, got[i].n_removed, got[i].is_copy) == (4, 1, 1, False)
-        assert shared not in got[i].text and got[i].text.count("\n") == 2
-    assert got[51].is_copy and got[51].text == shared and got[51].n_removed == 0
-    assert got[52].text is None and got[52].n_lines == 0 and got[53].text == "" and got[54].n_shared == 0
-    assert got[60].n_shared == 0
+def removed(data, least=10):
+    """Brute force: ``(id, text left)`` of rows ``(id, text, site)``."""
+    sites, texts = defaultdict(set), defaultdict(set)
+    for _, text, site in data:
+        for line in (text or "").split("\n"):
+            sites[line.strip(" \t\n\v\f\r")].add(site or "")
+            texts[line.strip(" \t\n\v\f\r")].add(text)
+    out = []
+    for i, text, _ in data:
+        keys = [(x, x.strip(" \t\n\v\f\r")) for x in (text or "").split("\n")]
+        rest = [(x, k) for x, k in keys if not k or len(sites[k]) < least or len(texts[k]) < least]
+        out.append((str(i), text if text is None or not any(k for _, k in rest) else "\n".join(x for x, _ in rest)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_line_dedup(spark, docs, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", 500 if broadcast else 2)
+    shared, rng = "this line stands on very many sites", random.Random(6)
+    data = [(i, f"own words number {i} of this text\n {shared} \nmore own words {i * 7} here\n\nand still more words of {i}", f"site{i}") for i in range(14)]
+    data += [(50, f"only {shared}\n{shared}", "site1"), (51, shared, "site2"), (51, f" {shared}\t\n\n", "site2"), (52, None, None), (53, "", None), (54, "rare\nrare", "site3"), (None, f"{shared}\nx", None)]
+    data += [(60 + i, "on nine sites alone and here are more words", f"site{i}") for i in range(9)]
+    data += [(80 + i, "a text copied to many sites\nwith two lines", f"site{i}") for i in range(14)]  # copies are no boilerplate
+    data += [(100 + i, f"a near copy\nof many sites\nbut for {i}", f"site{i}") for i in range(14)]
+    data += [(200 + k * 20 + j, f"line of {k} sites\nfiller one {k} {j} with words\nfiller two {k} {j} with words", f"site{j % k}") for k in range(6, 15) for j in range(k + 3)]
+    data += [(500 + k * 20 + j, f"line of {k} texts\n{j % k}", f"site{j}") for k in range(6, 15) for j in range(16)]
+    data += [(900 + i, "\n".join(rng.choices([f"often {k}" for k in range(12)] + [f"seldom {k}" for k in range(300)], k=6)), rng.choice([f"s{k}" for k in range(12)] + ["", None])) for i in range(150)]
+    data += [data[0], data[0]]
+    table = spark.createDataFrame([(i, t, "en", s, len(t or ""), "k", 1, "f", "l", 2) for i, t, s in data], SCHEMA).repartition(3)
+    want = removed(data)
+    got = linededup.report(table).collect()
+    assert sorted(((str(r.doc_id), r.text) for r in got), key=str) == want
+    own = {r.doc_id: r for r in got if r.doc_id != 51}
+    assert (own[3].n_lines, own[3].n_shared, own[3].n_removed, own[3].all_shared) == (4, 1, 1, False)
+    assert (own[52].n_lines, own[52].n_shared, own[54].n_lines, own[60].n_shared, own[85].n_shared, own[105].n_removed) == (0, 0, 2, 0, 0, 2)
+    assert all((r.n_lines, r.n_shared, r.n_removed, r.all_shared) == (1, 1, 0, True) for r in got if r.doc_id == 51)
     left = linededup.remove_lines(table)
-    assert left.columns == table.columns and left.count() == table.count()
-    assert all(r.n_chars == len(r.text or "") for r in left.collect())
-    assert linededup.report(empty).count() == 0
+    assert left.columns == table.columns
+    rows_left = left.collect()
+    assert sorted(((str(r.doc_id), r.text) for r in rows_left), key=str) == want
+    assert all(r.n_chars == len(r.text or "") for r in rows_left)
+    assert linededup.report(empty).count() == 0 and linededup.remove_lines(empty).count() == 0
     assert linededup.remove_lines(docs).count() == docs.count()
 
 
-def test_line_dedup_near_the_threshold(spark):
-    """Lines on 6 to 14 sites, a hot one among them: the decision is that of exact counts."""
-    data = [(k * 100 + j, f"line of {k} sites\nfiller one {k} {j} with words\nfiller two {k} {j} with words", f"site{j % k}") for k in range(6, 15) for j in range(k + 3)]
-    table = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = linededup.report(table).collect()
-    assert all(r.n_removed == (r.doc_id // 100 >= linededup.MIN_SITES) for r in got)
-
-
 def test_licenses(spark, docs, empty):
     data = [
         (1, "Some prose.\nReleased under the MIT License.\nMore prose."), (2, "LICENSED UNDER CC BY-NC 4.0."), (3, "She renewed her driving license last week."),
@@ -377,15 +395,6 @@ def test_license_notices_wrapped_over_lines(spark):
     assert got[91].n_paragraphs == 2
 
 
-def test_line_removal_spares_only_shown_copies(spark):
-    shared = "this shared passage of ten words stands on many sites"
-    data = [(i, f"{shared}\nown {i}", f"site{i}") for i in range(12)] + [(20, f"{shared}\nthe only one", "site1")] * 2
-    data += [(30 + i, "a whole copied text\nof two lines", f"site{i}") for i in range(11)] + [(50, "of two lines", "site3")]
-    left = sorted((r.doc_id, r.text) for r in linededup.remove_lines(spark.createDataFrame(data, "doc_id long, text string, source string")).collect())
-    want = [(i, f"own {i}") for i in range(12)] + [(20, "the only one")] * 2 + [(30 + i, "a whole copied text\nof two lines") for i in range(11)] + [(50, "")]
-    assert left == want
-
-
 def test_pipeline_keeps_texts_without_a_learnt_profile(spark):
     data = [(i, "some words of prose", None) for i in range(8)] + [(20, "12 34", None), (21, None, None), (22, "", None)]
     kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), "")
