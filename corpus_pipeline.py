@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that many sources share from documents that are not copies."""
+    """Removes lines that many sources share from every document with words of its own."""
     return linededup.remove_lines(docs)
 
 
