@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskit.llm.common import cut
@@ -34,22 +34,28 @@ def _letters() -> np.ndarray:
 
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 1- to 3-grams of a text as integers, ascending, with their counts."""
-    parts: dict[int, int] = {}
+    """Distinct 1- to 3-grams of a text as integers, ascending, with their counts.
+
+    A long text is read in spans; the last two marks of one stand before the next, so that counts are those
+    of the whole text.
+    """
+    text = text.lower()
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = np.ones(1, np.int64)
     for i in range(0, max(1, len(text)), SPAN):
-        # A text of over SPAN characters is counted span by span; a word cut between two counts as two.
-        codes = np.frombuffer(text[i : i + SPAN].lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        letter = _letters()[codes]
-        codes = np.where(letter, codes + 2, 1)
-        codes = np.concatenate(([1], codes, [1]))
+        codes = np.frombuffer(text[i : i + SPAN].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        codes = np.where(_letters()[codes], codes + 2, 1)
+        if i + SPAN >= len(text):
+            codes = np.append(codes, 1)
+        codes = np.concatenate((before, codes))
         mark = codes == 1
         codes = codes[~(mark & np.concatenate(([False], mark[:-1])))]  # one mark between words
-        if len(codes) < 2:
-            continue
-        two, three = codes[:-1] << 21 | codes[1:], codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
-        three = three[codes[1:-1] != 1]  # no 3-gram across two words
-        k, c = np.unique(np.concatenate((codes[codes != 1], two, three)), return_counts=True)
+        n = min(len(before), len(codes))
+        one, two = codes[n:], codes[n - 1 : -1] << 21 | codes[n:]
+        three = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[max(0, n - 2) :]
+        three = three[(codes[1:-1] != 1)[max(0, n - 2) :]]  # no 3-gram across two words
+        before = codes[-2:]
+        k, c = np.unique(np.concatenate((one[one != 1], two, three)), return_counts=True)
         if len(keys):
             both = np.concatenate((keys, k))
             keys, inverse = np.unique(both, return_inverse=True)
@@ -79,7 +85,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.where("train AND lang IS NOT NULL AND text IS NOT NULL").drop("train")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
-    rows = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")
+    rows = rows.join(counts.select("lang", share.alias("share")), "lang")
     rows = rows.where(F.expr("pmod(key, 1000000L) < share * 1000000")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +95,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(c)], ["lang", "gram", "n"])
 
     found = cut(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = sorted(r.lang for r in found.select("lang").distinct().collect())
-    # A bounded ordered take per language; languages are few.
-    return {x: [r.gram for r in found.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(size).collect()] for x in langs}
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    profiles: dict[str, list[int]] = {}
+    for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
+        profiles.setdefault(r.lang, []).append(r.gram)
+    return profiles
 
 
 def _table(profiles: dict[str, list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -136,15 +144,19 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fits profiles on the training fold and identifies every row: ``(doc_id, held_out, lang_pred, score)``."""
+    """Fits profiles on the training fold and identifies every row: ``(doc_id, held_out, lang_pred, score)``.
+
+    A row without an id is in neither fold: it is not learnt from, and ``held_out`` is false.
+    """
     found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-    return found.select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(~training_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without null texts and texts without a letter, whose language cannot be told.
+    """``docs`` with the predicted language in ``lang_col``, without the rows of which no language can be told.
 
-    Where no profile could be learnt no language is told, but texts with a letter stay as well.
+    Those are null texts and texts without a letter. Where no profile could be learnt no language is
+    told: texts with a letter stay, as they are. An empty input gives no rows.
     """
     profiles = fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(_table(profiles))
@@ -158,4 +170,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([len(_grams(x or "")[0]) > 0 for x in texts], dtype=bool)
 
     text = F.col(text_col).cast("string")
-    return docs.where(named(text) != UNKNOWN if profiles else lettered(text))
+    if not profiles:
+        return docs.where(lettered(text))
+    # Else the filter would be moved below the projection and compute it a second time.
+    found = docs.withColumn("__li_lang", named.asNondeterministic()(text)).where(F.col("__li_lang") != UNKNOWN)
+    kind = docs.schema[lang_col].dataType
+    return found.withColumn(lang_col, F.col("__li_lang").cast(kind)).select(docs.columns)

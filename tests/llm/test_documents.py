@@ -91,6 +91,23 @@ def test_mix(spark, docs, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize(("blocks", "whole"), [(200_000, False), (0, False), (200_000, True)])
+def test_mix_of_repeated_rows(spark, monkeypatch, blocks, whole):
+    """Words mixed are words planned where rows repeat, in the block that is taken in part too."""
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", blocks)
+    for n in (1, 4, 7):
+        data = [(1, "one two three four five", "a", "x", 0, i) for i in range(50)] + [(2, "six seven", "a", "y", 0, i) for i in range(3)] + [(3, "eight nine ten", "b", None, 0, 0)] * n
+        data += [(2, "six seven", "a", "z", 0, 1), (None, "null id here", "a", "x", 0, 1), (None, "null id here", "a", "x", 0, 1), (5, None, "a", "x", 0, 1)]
+        table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, block int").repartition(3)
+        planned = mixing.plan(table, shards=1).collect()
+        want = sum(r.taken for r in planned)
+        if whole:
+            want = sum(r["size"] for r in planned for c in r.copies if 2 * c.words >= r["size"])
+        got = mixing.mix(table, shards=1, whole=whole)
+        assert got.columns == table.columns
+        assert sum(len(words(r.text)) for r in got.collect()) == want
+
+
 def test_byte_bpe(docs, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
@@ -257,10 +274,10 @@ def test_language_id(docs, empty):
     assert len(wrong) <= 2
     for r in got.values():
         assert 0 <= r.score <= 1
-        if r.doc_id is not None:
-            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
+    assert all(r.lang == got[r.doc_id].lang_pred for r in kept.collect())
     assert langid.detect(empty).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
@@ -272,11 +289,54 @@ def test_language_id_learns_from_its_fold_alone(spark, docs):
     assert langid.fit(spark.createDataFrame(changed, SCHEMA)) == before
 
 
+def gram_counts(text):
+    """All 1- to 3-grams of the words of a text between marks, one by one; a pair may span two words' marks, a triple may not."""
+    marked = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    marked = " " + "".join(w + " " for w in marked.split(" ") if w)
+    code = lambda s: [1 if c == " " else ord(c) + 2 for c in s]
+    out = defaultdict(int)
+    for i in range(len(marked)):
+        if marked[i] != " ":
+            out[code(marked[i])[0]] += 1
+        if i + 1 < len(marked):
+            a, b = code(marked[i : i + 2])
+            out[a << 21 | b] += 1
+        if i + 2 < len(marked) and marked[i + 1] != " ":
+            a, b, c = code(marked[i : i + 3])
+            out[a << 42 | b << 21 | c] += 1
+    return out
+
+
+@pytest.mark.parametrize("span", [1_000_000, 7, 1])
+def test_gram_counts_of_whole_texts(monkeypatch, span):
+    monkeypatch.setattr(langid, "SPAN", span)
+    rng = random.Random(3)
+    for text in ["", "a", " a ", "ab  12 cd", "12", "ΑΣ ΟΔΟΣ, Σ", "𠮷日 x", "…"] + ["".join(rng.choices("abÇé  .9", k=rng.randint(0, 60))) for _ in range(60)]:
+        keys, counts = langid._grams(text)
+        assert dict(zip(keys.tolist(), counts.tolist())) == dict(gram_counts(text)) and sorted(keys) == list(keys)
+
+
 def test_out_of_place_distance():
-    table = langid._table({"a": [1, 2, 3], "b": [3, 2]})
-    keys, counts = langid._grams("Ab ab!")
-    assert counts.sum() == 4 + 6 + 4  # letters; pairs with marks; triples within words
-    assert langid.predict("", *table) == ("und", 0.0)
+    """Predictions against ranks looked up one by one in lists."""
+    assert langid.predict("", *langid._table({"a": [1, 2, 3], "b": [3, 2]})) == ("und", 0.0)
+    texts = {"x": "the cat and the dog and the hen " * 9, "y": "le chat et le chien et la poule " * 9, "w": "ein Hund und eine Katze und der Hahn " * 9}
+    ranked = lambda t: [k for k, _ in sorted(gram_counts(t).items(), key=lambda x: (-x[1], x[0]))][: langid.PROFILE]
+    profiles = {lang: ranked(t) for lang, t in texts.items()}
+    table, rng = langid._table(profiles), random.Random(5)
+    every = [w for t in texts.values() for w in t.split()]
+    for _ in range(60):
+        text = " ".join(rng.choices(every, k=rng.randint(1, 30)))
+        own = ranked(text)
+        far = {x: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        got = langid.predict(text, *table)
+        assert got[0] == best and got[1] == pytest.approx(1 - far[best] / (langid.PROFILE * len(own)))
+
+
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.detect(docs).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) > 200 and sum(r.lang == r.lang_pred for r in found) >= 0.98 * len(found)
 
 
 def removed(data, least=10):
