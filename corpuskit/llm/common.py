@@ -53,6 +53,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, right_key: str, by:
     return left.join(right, (F.col(key) == F.col(right_key)) & (F.col("__salt") == F.col("__salt2")), how).drop("__salt", "__salt2")
 
 
+#: Rows of a small table that one task and one checkpoint file hold.
+PART_ROWS = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node.
 
@@ -61,31 +65,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots grow fewer by rounds, so both numbers grow with the logarithm of the longest chain.
     Self-loops and repeated edges are allowed; nodes without an edge to another node are not
     returned. Nothing is collected: each round is a partially aggregated group-by and joins that
-    adaptive execution can split where one component holds most nodes.
+    adaptive execution can split where one component holds most nodes. The number of partitions
+    follows that of the edges left, of which the tables of a round have twice as many rows at most.
     """
+
+    def small(df: DataFrame, n: int) -> DataFrame:
+        return cut(df.coalesce(max(1, -(-n // PART_ROWS))))
+
     edges = cut(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
-    hooks: list[DataFrame] = []
-    while len(hooks) < max_rounds and not edges.isEmpty():
+    hooks: list[tuple[DataFrame, int]] = []
+    while len(hooks) < max_rounds and (n := 2 * edges.count()):
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
-        low = both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up")
-        low = cut(low)
-        hook, moving = low, True
-        while moving:
-            jump = hook.selectExpr("node AS up", "up AS top")
-            hook = cut(hook.join(jump, "up").selectExpr("node", "top AS up", "top <> up AS moved"))
-            moving = not hook.where("moved").isEmpty()
+        hook = small(both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up", "true AS moved"), n)
+        while not hook.where("moved").isEmpty():
             hook = hook.drop("moved")
-        hooks.append(hook)
+            twice = hook.join(hook.selectExpr("node AS up", "up AS top"), "up").selectExpr("node", "up", "top")
+            # Two jumps between cuts: a hook of four steps ends at its root.
+            further = twice.join(twice.selectExpr("node AS top", "top AS last"), "top")
+            hook = small(further.selectExpr("node", "last AS up", "last <> up AS moved"), n)
+        hook = hook.drop("moved")
+        hooks.append((hook, n))
         left = hook.selectExpr("node AS a", "up AS a2")
         right = hook.selectExpr("node AS b", "up AS b2")
         moved = edges.join(left, "a").join(right, "b").where("a2 <> b2")
-        edges = cut(moved.selectExpr("least(a2, b2) AS a", "greatest(a2, b2) AS b").distinct())
-    if not edges.isEmpty():
+        edges = small(moved.selectExpr("least(a2, b2) AS a", "greatest(a2, b2) AS b").distinct(), n)
+    if len(hooks) == max_rounds and not edges.isEmpty():
         raise RuntimeError(f"components: not contracted after {max_rounds} rounds")
     if not hooks:
         return edges.selectExpr("a AS node", "b AS component")
-    out = hooks[0].selectExpr("node", "up AS component")
-    for hook in hooks[1:]:
+    out = hooks[0][0].selectExpr("node", "up AS component")
+    for hook, _ in hooks[1:]:
         step = hook.selectExpr("node AS component", "up AS next")
         out = out.join(step, "component", "left").selectExpr("node", "coalesce(next, component) AS component")
-    return cut(out)
+    return small(out, hooks[0][1])
