@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -21,9 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 1 << 20
-PIECES = 400_000
+#: Entries of the tables that a worker keeps: compatible tokens, and pieces in each of two generations.
+MEMO = 1 << 18
+PIECES = 150_000
 LONG_TEXT = 1_000_000
+#: Rows that are encoded together.
+ROWS = 512
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -43,6 +47,7 @@ class ByteBPE:
         self.parts: dict[int, tuple[int, int]] = {}  # the merge that makes a token; single bytes have none
         self.memo: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.auto = ahocorasick.Automaton()
         self.size: dict[int, int] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
@@ -121,19 +126,28 @@ class ByteBPE:
                 token = ids.pop()
                 at -= size[token]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        cache, out = self.cache, []
-        pieces = self.split.findall(text) if len(text) < LONG_TEXT else (m[0] for m in self.split.finditer(text))
-        for piece in pieces:
-            ids = cache.get(piece)
+    def _lot(self, pieces: list[str]) -> bytes:
+        """Ids of pieces, each known one looked up; a full table becomes the old one, so frequent pieces stay."""
+        if len(self.cache) > PIECES:
+            self.cache, self.old = {}, self.cache
+        cache, old = self.cache, self.old
+        found = list(map(cache.get, pieces))
+        for i, ids in enumerate(found):
             if ids is None:
-                if len(cache) >= PIECES:
-                    cache.clear()
-                ids = _pack(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+                piece = pieces[i]
+                ids = cache.get(piece) or old.get(piece) or _pack(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
                 if len(piece) <= 64:
                     cache[piece] = ids
-            out.append(ids)
+                found[i] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        if len(text) < LONG_TEXT:
+            return self._lot(self.split.findall(text))
+        pieces, out = (m[0] for m in self.split.finditer(text)), []
+        while lot := list(itertools.islice(pieces, 100_000)):
+            out.append(self._lot(lot))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -162,7 +176,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sha = _coder(shared.value, pattern), hashlib.sha256
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             n, a, b, lists = [], [], [], []
             for x in batch.column(1):
                 got = coder.encode(x.as_py() or "")

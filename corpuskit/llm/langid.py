@@ -26,6 +26,8 @@ FIT_DOCS = 2000
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 SPAN = 1_000_000
+#: Languages, a row each, that are broadcast at most.
+BROADCAST_LANGS = 100_000
 
 
 @lru_cache(1)
@@ -83,9 +85,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"), training_fold(F.col(id_col)).alias("train"))
     rows = rows.where("train AND lang IS NOT NULL AND text IS NOT NULL").drop("train")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
-    rows = rows.join(counts.select("lang", share.alias("share")), "lang")
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1)))
+    shares = cut(rows.groupBy("lang").agg(share.alias("share")))
+    rows = rows.join(F.broadcast(shares) if shares.count() <= BROADCAST_LANGS else shares, "lang")
     rows = rows.where(F.expr("pmod(key, 1000000L) < share * 1000000")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

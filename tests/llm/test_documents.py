@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 from collections import defaultdict
@@ -11,6 +12,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -179,7 +181,11 @@ def test_pipeline_keeps_a_row_of_groups_without_an_id(spark):
     assert got == sorted([("1", one), ("None", two), ("None", three), ("2", "None")])
 
 
-def test_simhash_links_against_all_pairs(spark):
+@pytest.mark.parametrize(("wide", "home", "chunk"), [(10**7, 128, 2048), (0, 128, 2048), (10**7, 2, 3), (0, 3, 2048)])
+def test_simhash_links_against_all_pairs(spark, monkeypatch, wide, home, chunk):
+    """All pairs where cells are small; in hot cells, and in all, the same components."""
+    for name, value in (("WIDE_MAX", wide), ("HOME", home), ("HOME_CHUNK", chunk)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1, 2**63}
     for x in list(prints):
@@ -187,8 +193,45 @@ def test_simhash_links_against_all_pairs(spark):
             prints.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
     signed = [x - 2**64 if x >= 2**63 else x for x in prints]
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
-    assert got == want and len(want) > 300
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    got = {(r.a, r.b) for r in found.collect()}
+    assert len(want) > 300 and (home < 100 or got == want)
+    label = {x: x for x in signed}
+    for _ in range(20):
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.component for r in common.components(found).collect()} == {x: y for x, y in label.items() if any(x in p for p in want)}
+
+
+def test_simhash_of_a_hot_cell():
+    """A forest has the components of all pairs and fewer edges than rows."""
+    rng = random.Random(2)
+    every = np.unique(np.array([rng.choice([0, 7 << 40]) ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for _ in range(400)] + [-1, -8], dtype=np.int64))
+    a, b = simhash._forest(every, every, 3)
+    assert len(a) < len(every)
+    label = {int(x): int(x) for x in every}
+    for _ in range(400):
+        before = dict(label)
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[x] = label[y] = min(label[x], label[y])
+        if before == label:
+            break
+    plain = {int(x): int(x) for x in every}
+    for _ in range(10):
+        for x in plain:
+            plain[x] = min(plain[y] for y in plain if bin((x ^ y) & (2**64 - 1)).count("1") <= 3)
+    assert label == plain
+
+
+def test_fingerprint_bit_by_bit():
+    rng = random.Random(12)
+    for text in ["", " \n", "One", "A b", "a b c", "\u00c9 b C d", "x y x y x y x"] + [" ".join(rng.choices(["aB", "c", "\u00e9", "d\u2003e", "f."], k=rng.randint(1, 60))) for _ in range(30)]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words_ = [w for w in re.split("[ \t\n\v\f\r]+", low) if w]
+        grams = [" ".join(words_[i : i + 3]) for i in range(len(words_) - 2)] or ([" ".join(words_)] if words_ else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) == want
 
 
 def test_token_shards(spark, docs, empty, tmp_path):
