@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, SIZE_DIM = 128, 24, 10
+PATH_DIM, WORD_DIM, SIZE_DIM = 128, 48, 10
 DIM = PATH_DIM + WORD_DIM + SIZE_DIM
 HIDDEN = 24
 #: Bound on the invented pages that the model is fitted on.
-TRAIN_PAGES = 900
-EPOCHS = 6
+TRAIN_PAGES = 2400
+EPOCHS = 8
 SEED = 11
-DEPTH = 200
+#: Elements at either end of a path that describe a block; between them a path may be longer.
+ENDS = 60
 
 #: Fixed values of the HTML standard: elements that start a block of their own.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -39,6 +40,8 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style title textarea template iframe noframes noembed svg math object canvas audio video head".split())
+#: Those of them that end at their end tag alone, and else with the page.
+RAW = frozenset("script style title textarea iframe noframes noembed".split())
 #: A start tag of the first ends an open element of the second, up to an element of the third.
 _LIST, _TABLE = frozenset(["ul", "ol", "menu", "dir", "dl"]), frozenset(["table"])
 CLOSES = {
@@ -47,8 +50,12 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag from behind its name to its end; quotes count where a value begins, and only if they are closed.
+TAG = re.compile(r"""(?:[^>=]|=[ \t\n\f\r]*"[^"]*"|=[ \t\n\f\r]*'[^']*'|=)*+>""")
+COMMENT_END = re.compile("--!?>")
 MARKS = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKENS = re.compile(r"[a-z]+")
+LARGE = bytes(range(65, 91))
 
 
 class Block:
@@ -61,45 +68,62 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``, quoted values skipped; -1 if none does."""
-    end = page.find(">", at)
-    for _ in range(20):
-        if end < 0:
-            break
-        inside = page[at:end]
-        if inside.count('"') % 2 == 0 or "=" not in inside:
-            break
-        quote = page.find('"', end)
-        if quote < 0:
-            break
-        end = page.find(">", quote)
-    return end
+class _Open:
+    """The open elements of a page."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple]] = []
+        self.number: dict[str, int] = {}
+
+    def push(self, name: str, marks: tuple) -> None:
+        self.stack.append((name, marks))
+        self.number[name] = self.number.get(name, 0) + 1
+
+    def close(self, names: frozenset[str], border: frozenset[str] = frozenset()) -> bool:
+        """Ends the innermost element of these names and all in it, unless one of ``border`` comes first."""
+        if not any(self.number.get(n) for n in names):
+            return False
+        for i in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[i][0]
+            if name in border:
+                return False
+            if name in names:
+                for gone, _ in self.stack[i:]:
+                    self.number[gone] -= 1
+                del self.stack[i:]
+                return True
+        return False
+
+    def path(self) -> tuple:
+        return tuple(self.stack) if len(self.stack) <= 2 * ENDS else (*self.stack[:ENDS], *self.stack[-ENDS:])
 
 
 def blocks(page: str) -> list[tuple[tuple, str, float]]:
     """``(path, text, share of linked characters)`` of each block with text, in page order.
 
-    A path holds an entry per open element: its name and the words of its class, id, role and label.
+    A path holds an entry per open element: its name and the words of its class, id, role and label; of
+    a path of over ``2 * ENDS`` elements the outermost and innermost. All text is in some block but that
+    of ``SKIPPED`` elements and comments; what looks like a tag and never ends is text.
     """
     found: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    tree = _Open()
     current: Block | None = None
     links = at = 0
-    lower = None
+    lower, endless = None, set()
 
     def add(text: str) -> None:
         nonlocal current
         if current is None:
             if text.isspace():
                 return
-            current = Block(tuple(stack))
+            current = Block(tree.path())
             found.append(current)
         text = entities.unescape(text)
         current.parts.append(text)
         if links:
             current.linked += len(text)
 
+    tags_end = page.rfind(">")
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -109,8 +133,8 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         if start == len(page):
             break
         if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = len(page) if end < 0 else end + 3
+            end = COMMENT_END.search(page, start + 2)
+            at = len(page) if end is None else end.end()
             continue
         match = NAME.match(page, start + 1)
         if match is None:
@@ -121,30 +145,35 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
                 add("<")
                 at = start + 1
             continue
-        end = _tag_end(page, start)
-        if end < 0:  # a tag that never ends is dropped with what follows
-            break
-        name, closing, inside = match[1].lower(), page[start + 1] == "/", page[match.end() : end]
-        at = end + 1
+        end = TAG.match(page, match.end()) if start < tags_end else None
+        if end is None:
+            add("<")
+            at = start + 1
+            continue
+        name, closing, at = match[1].lower(), page[start + 1] == "/", end.end()
+        inside = page[match.end() : at - 1]
         if closing:
             if name == "a":
                 links = max(0, links - 1)
             if name in BLOCKS:
                 current = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        links = 0
-                        break
+                if tree.close(frozenset([name])):
+                    links = 0
             continue
         if name in SKIPPED:
             if name == "head":
                 continue  # its texts are skipped one by one; a page may forget to end it
-            if not inside.endswith("/"):
-                lower = page.lower() if lower is None or len(lower) != len(page) else lower
-                close = lower.find(f"</{name}", at) if len(lower) == len(page) else page.find(f"</{name}", at)
-                end = page.find(">", close) if close >= 0 else -1
-                at = len(page) if end < 0 else end + 1
+            if name in RAW or not inside.endswith("/"):
+                lower = page.lower() if lower is None else lower
+                if len(lower) != len(page):  # a letter that grows in lower case
+                    lower = "".join(c.lower() if c.isascii() else c for c in page)
+                close = -1 if name in endless else lower.find(f"</{name}", at)
+                gone = page.find(">", close) if close >= 0 else -1
+                if gone >= 0:
+                    at = gone + 1
+                else:
+                    endless.add(name)
+                    at = len(page) if name in RAW else at
             continue
         if name == "br":
             add(" ") if current is not None else None
@@ -152,24 +181,17 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             links += 1
         elif name in BLOCKS:
             current = None
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if tree.stack and tree.stack[-1][0] == "p":
+                tree.close(frozenset(["p"]))
+                links = 0
+            if name in CLOSES and tree.close(*CLOSES[name]):
                 links = 0
-            if name in CLOSES:
-                closed, border = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in border:
-                        break
-                    if stack[i][0] in closed:
-                        del stack[i:]
-                        links = 0
-                        break
-            if name not in VOID and len(stack) < DEPTH:
+            if name not in VOID:
                 marks = []
                 if inside.strip():
                     for m in MARKS.finditer(inside):
-                        marks += TOKENS.findall((m[2] or m[3] or m[4] or "").lower())[:8]
-                stack.append((name, tuple(marks)))
+                        marks += TOKENS.findall((m[2] or m[3] or m[4] or "").lower())
+                tree.push(name, tuple(marks))
     out = []
     for b in found:
         text = b.text()
@@ -178,9 +200,13 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
     return out
 
 
+def _crc(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass"))
+
+
 @lru_cache(100_000)
 def _slot(feature: str, dim: int) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % dim
+    return _crc(feature) % dim
 
 
 @lru_cache(20_000)
@@ -204,12 +230,12 @@ def _vectors(page: list[tuple[tuple, str, float]]) -> np.ndarray:
         row = out[i]
         row[:PATH_DIM] = _path_vector(path)
         words = text.lower().split()
-        slots = np.fromiter((_slot("w:" + w if len(w) <= 32 else "w:", WORD_DIM) for w in words), np.int64, len(words))
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(slots, minlength=WORD_DIM) / (1 + len(words) ** 0.5)
-        n = len(text)
+        slots = np.fromiter((_slot("w:" + w, WORD_DIM) if len(w) <= 32 else _crc("w:" + w) % WORD_DIM for w in words), np.int64, len(words))
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.log1p(np.bincount(slots, minlength=WORD_DIM)) / (1 + np.log1p(len(words)))
+        n, raw = len(text), text.encode("utf-8", "surrogatepass")
         row[-SIZE_DIM:] = (
             np.log1p(n) / 8, np.log1p(len(words)) / 6, linked, i / len(page), min(1, len(page) / 100),
-            (text.count(".") + text.count(",")) / (1 + len(words)), sum(map(str.isupper, text[:200])) / (1 + min(n, 200)),
+            (text.count(".") + text.count(",")) / (1 + len(words)), (len(raw) - len(raw.translate(None, LARGE))) / (1 + n),
             float(text[-1] in ".!?"), float(n < 30), min(len(path), 12) / 12,
         )
     return out
@@ -336,19 +362,34 @@ PHRASES = {
 }
 
 
+#: Words of which half of the invented pages are made, so that known words do not mark a block as one that is not main text.
+COMMON = (
+    "the of and to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part hello world "
+    "le la les des et est une pour dans que qui sur pas plus avec sont der die das und ist nicht ein eine mit auf für von sich auch el los las una por con para más como pero sus este"
+).split()
+
+
 class _Page:
-    """Invents one page; ``labels`` follows the blocks in page order."""
+    """Invents one page; ``labels`` follows the blocks in page order.
+
+    ``named`` pages tell by classes and ids what their parts are. On others these are missing or mean
+    nothing, and parts that are not main text are links or known phrases.
+    """
 
     def __init__(self, rng: random.Random):
         self.r, self.labels, self.out = rng, [], []
         self.syllables = ["".join(rng.choices("aeiounrstlhdcmpgbvwkfyzqxéèüäößñçó", k=rng.randint(1, 4))) for _ in range(40)]
+        self.named = rng.random() < 0.75
+        self.common = rng.choice([0.0, 0.0, 0.5, 0.9])
 
     def words(self, n: int) -> str:
         r, out = self.r, []
+        if r.random() < 0.01:  # one word over and over
+            return " ".join([r.choice(self.syllables).capitalize()] * n * r.choice([1, 1, 20]))
         for _ in range(n):
-            w = "".join(r.choices(self.syllables, k=r.randint(1, 4)))
+            w = r.choice(COMMON) if r.random() < self.common else "".join(r.choices(self.syllables, k=r.randint(1, 4)))
             out.append(w + r.choices(["", ",", ".", "!", " &amp;", "###"], [80, 7, 9, 1, 1, 1])[0])
-        text = " ".join(out).strip()
+        text = (" | " if r.random() < 0.04 else " ").join(out).strip()
         return (text[:1].upper() + text[1:] + "." * (r.random() < 0.7)) or "A"
 
     def put(self, html: str) -> None:
@@ -359,11 +400,18 @@ class _Page:
         self.put(f"<{tag}{attrs}>{text}" + f"</{tag}>" * end)
 
     def mark(self, names: list[str], p: float = 0.85) -> str:
+        if not self.named:
+            name = self.r.choice(["x", "a", "row", "col", "css-" + "".join(self.r.choices("abcdefgh0123456789", k=6)), "sc-" + "".join(self.r.choices("abcdefgh", k=5))])
+            return self.r.choice(["", "", f' class="{name}"', f" class='{name}'"])
         if self.r.random() > p:
             return ""
         name = self.r.choice(names) + self.r.choice(["", "", "", "-wrap", "-inner", "_box", "-1", " block", " clearfix"])
         return f' {self.r.choice(["class", "class", "class", "id"])}="{name}"'
 
+    def phrase(self, kind: str, p: float, n: int) -> str:
+        """A phrase of its kind, or words on pages that name their parts."""
+        return self.r.choice(PHRASES[kind]) if not self.named or self.r.random() < p else self.words(n)
+
     def junk(self, kind: str, n: int) -> list[str]:
         return [self.r.choice(PHRASES[kind]) if self.r.random() < 0.5 else self.words(self.r.randint(1, 6)) for _ in range(n)]
 
@@ -385,7 +433,7 @@ class _Page:
     def head(self) -> None:
         tag = self.r.choice(["header", "header", "div"])
         self.put(f"<{tag}{self.mark(HEAD, 0.5 if tag == 'header' else 1)}>")
-        self.leaf(self.r.choice(["h1", "div", "p", "span><div"]).split(">")[0], self.words(self.r.randint(1, 5)), False) if self.r.random() < 0.6 else self.leaf("p", self.words(self.r.randint(2, 12)), False)
+        self.leaf(self.r.choice(["h1", "div", "p"]) if self.r.random() < 0.6 else "p", self.words(self.r.randint(1, 8)), False)
         if self.r.random() < 0.5:
             self.leaf("p", self.words(self.r.randint(3, 10)), False)
         if self.r.random() < 0.4:
@@ -403,7 +451,7 @@ class _Page:
             self.leaf("p", "&copy; " + self.words(self.r.randint(2, 30)), False)
         else:
             self.links("foot", self.r.randint(2, 8))
-            self.leaf("small><p".split(">")[1][1:], self.r.choice(PHRASES["foot"]), False)
+            self.leaf("p", self.r.choice(PHRASES["foot"]), False)
         self.put(f"</{tag}>")
 
     def box(self, kind: str, names: list[str], tags: list[str]) -> None:
@@ -436,13 +484,13 @@ class _Page:
                 self.links("side", self.r.randint(2, 8))
             else:
                 for _ in range(self.r.randint(1, 3)):
-                    self.leaf("p", self.words(self.r.randint(5, 40)), False)
+                    self.leaf("p", self.phrase("side", 0, self.r.randint(5, 40)), False)
         elif self.r.random() < 0.5:
             self.labels.append(False)
-            self.put(self.r.choice(PHRASES[kind]) if self.r.random() < 0.3 else self.words(self.r.randint(2, 30)))
+            self.put(self.phrase(kind, 0.3, self.r.randint(2, 30)))
         else:
             for _ in range(self.r.randint(1, 3)):
-                self.leaf(self.r.choice(["p", "div", "h4"]), self.r.choice(PHRASES[kind]) if self.r.random() < 0.4 else self.words(self.r.randint(2, 30)), False)
+                self.leaf(self.r.choice(["p", "div", "h4"]), self.phrase(kind, 0.4, self.r.randint(2, 30)), False)
         self.put(f"</{tag}>")
 
     def insert(self) -> None:
@@ -504,10 +552,65 @@ class _Page:
         self.put("<p></p>" * (r.random() < 0.1))
         self.put(f"</{outer}>")
 
+    def note(self) -> None:
+        """A line that its words alone tell from main text."""
+        kind = self.r.choice(["notice", "notice", "foot", "foot", "form", "ad"])
+        text = " ".join(self.r.sample(PHRASES[kind], self.r.randint(1, 2)))
+        self.leaf(self.r.choice(["div", "p", "div", "footer" if kind == "foot" else "p"]), text, False, self.mark([]) if not self.named else "")
+
+    def text(self) -> None:
+        r = self.r
+        if r.random() < 0.6:
+            self.leaf(r.choice(["h1", "h1", "h2"]), self.words(r.randint(1, 9)), True)
+        for _ in range(r.randint(1, 9)):
+            if r.random() < 0.12:
+                self.leaf(r.choice(["h2", "h3"]), self.words(r.randint(1, 6)), True)
+            self.leaf(r.choice(["p", "p", "p", "p", "div", "blockquote"]), self.words(max(2, int(r.lognormvariate(3, 1)))), True, end=True)
+
+    def plain(self) -> None:
+        """A page without named parts: bare paragraphs, wrappers that mean nothing, tables that lay out."""
+        r = self.r
+        shape = r.choice(["bare", "bare", "wrapped", "wrapped", "table", "semantic"])
+        if r.random() < 0.15:
+            self.note()
+        if shape == "table":
+            self.put("<table><tr>")
+            if r.random() < 0.6:
+                self.leaf("td", "<br>".join(f'<a href="#">{x}</a>' for x in self.junk("menu", r.randint(2, 7))), False)
+            else:
+                self.put("<td>")
+                self.links("menu", r.randint(2, 7))
+                self.put("</td>")
+            self.put("<td>")
+            self.text()
+            self.put("</td></tr></table>")
+        else:
+            if r.random() < 0.5:
+                self.put("<nav>" if shape == "semantic" else f"<div{self.mark([])}>" if shape == "wrapped" else "")
+                if r.random() < 0.7:
+                    self.links("menu", r.randint(2, 7))
+                else:
+                    self.leaf("p", r.choice([" | ", " ", " &middot; "]).join(f'<a href="#">{x}</a>' for x in self.junk("menu", r.randint(2, 7))), False)
+                self.put("</nav>" if shape == "semantic" else "</div>" if shape == "wrapped" else "")
+            self.put({"bare": "", "wrapped": f"<div{self.mark([])}>" * 2, "semantic": "<main>"}[shape])
+            self.text()
+            self.put({"bare": "", "wrapped": "</div></div>", "semantic": "</main>"}[shape])
+        if r.random() < 0.4:
+            self.note()
+
     def build(self) -> tuple[str, list[bool]]:
         r = self.r
+        if r.random() < 0.25:
+            self.named = False
+            head = r.choice(["", "<html><body>", "<!doctype html><title>" + self.words(3) + "</title>"])
+            self.put(head)
+            if r.random() < 0.2:
+                self.leaf(r.choice(["p", "p", "div", "h1", "td"]), self.words(r.randint(1, 12)), True, self.mark([]))
+            else:
+                self.plain()
+            return "".join(self.out), self.labels
         self.put("<!DOCTYPE html><html><head><meta charset=utf-8><title>" + self.words(4) + "</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
-        for f, p in ((self.head, 0.35), (self.menu, 0.8)):
+        for f, p in ((self.head, 0.35 * self.named), (self.menu, 0.8)):
             if r.random() < p:
                 f()
         for p in (0.35, 0.15):
@@ -516,7 +619,7 @@ class _Page:
         if r.random() < 0.4:
             self.box("ad", AD, ["div"])
         self.main()
-        if r.random() < 0.25:
+        if r.random() < 0.25 and self.named:
             self.box("comment", COMMENT, ["section", "div"])
         for p in (0.3, 0.1):
             if r.random() < p:

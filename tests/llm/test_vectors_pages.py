@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -145,6 +146,27 @@ def test_blocks_of_a_page():
     assert html.blocks("<p>x<!-- never ends") == [((("p", ()),), "x", 0.0)]
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p title='5\" disk'>text one</p><p>he said \"hi\" to me</p><p>last</p>", ["text one", 'he said "hi" to me', "last"]),
+    ("<p title='a > b'>text", ["text"]), ('<p title = "a > b" x=\'c>d\'>text', ["text"]), ("<p a=b'c>text</p>it's", ["text", "it's"]),
+    ("<p>a <!--> b</p><p>c</p>", ["a b", "c"]), ("<p>a <!---> b", ["a b"]), ("<p>a <!-- x --!> b", ["a b"]), ("<p>a<!-- -- > -->b", ["ab"]),
+    ("a <b c", ["a <b c"]), ("<p a=\"x>y</p>z", ["y", "z"]), ("<svg><p>x", ["x"]), ("<svg><p>y</svg>x", ["x"]), ("x<style>y", ["x"]), ("\u0130<script>a</SCRIPT>b", ["\u0130b"]),
+    ("<?php x ?>y<!DOCTYPE z></>w", ["yw"]), ("&lt;p&gt; &amp;amp; &#x41;&copy", ["<p> &amp; A\u00a9"]),
+])
+def test_tags_quotes_and_comments(page, texts):
+    assert [t for _, t, _ in html.blocks(page)] == texts
+
+
+def test_deep_pages_have_right_paths():
+    """Elements below any depth open and close; long paths are told by their ends."""
+    page = "<main>" + "<div class='a'>" * 500 + "<p>in</p>" + "</div>" * 500 + "<p>out</p></main><footer>last</footer>"
+    paths = {t: [n for n, _ in path] for path, t, _ in html.blocks(page)}
+    assert paths["out"] == ["main", "p"] and paths["last"] == ["footer"]
+    assert paths["in"] == ["main"] + ["div"] * 118 + ["p"]
+    for lot in ("<div>x", "</div>", "<svg>", "<p x=\"", "<!--", "<td>", "<"):
+        html.blocks(lot * 20_000)
+
+
 def test_html_text(spark):
     pages = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<html><body></body></html>"), (5, "x", "<p>" * 5000), (1, "u", PAGE)]
     big = "<article><h1>Head of it</h1>" + "".join(f"<p>Paragraph number {i} has a few words.</p>" for i in range(5000)) + "</article>"
@@ -157,6 +179,35 @@ def test_html_text(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+P1 = "Rain fell on the hills for three days, and the river rose until it reached the old stone bridge."
+P2 = "The mayor asked people to stay at home. Schools were closed, and two roads to the north could not be used."
+P3 = "By Friday the water had gone down again. Shops opened, and children walked to school along the muddy street."
+NAV = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "Contact"))
+HAND = [
+    ("bare paragraphs", f"<p>{P1}</p><p>{P2}</p>", f"{P1}\n{P2}"),
+    ("one line", "<p>Hello world</p>", "Hello world"),
+    ("meaningless class and a cookie line", f'<div class="x"><h1>River in flood</h1><p>{P1}</p><p>{P2}</p></div><div class="y">We use cookies to improve your experience.</div>', f"River in flood\n{P1}\n{P2}"),
+    ("layout table", f'<table><tr><td><a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact</a></td><td><h1>River in flood</h1><p>{P1}</p><p>{P3}</p></td></tr></table>', f"River in flood\n{P1}\n{P3}"),
+    ("semantic elements", f"<!doctype html><html><body><header><p>The Valley Post</p></header><nav><ul>{NAV}</ul></nav><main><article><h1>River in flood</h1><p>{P1}</p><p>{P2}</p></article></main><footer><p>Copyright 2021. All rights reserved.</p></footer></body></html>", f"River in flood\n{P1}\n{P2}"),
+    ("blog with side column and comments", f'<div id="wrapper"><div id="header"><div class="logo">My blog</div></div><div class="post-content"><h2>After the flood</h2><p>{P3}</p><p>{P1}</p></div><div class="sidebar"><h3>Recent posts</h3><ul>{NAV}</ul></div><div id="comments"><div class="comment"><p>I saw this from my window, it was terrible.</p></div></div></div>', f"After the flood\n{P3}\n{P1}"),
+    ("generated classes", f'<div class="css-1x2y3z"><ul>{NAV}</ul></div><div class="sc-abcde"><h1>River in flood</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></div><div class="css-9a8b7c"><p>Privacy policy Terms of use</p></div>', f"River in flood\n{P1}\n{P2}\n{P3}"),
+    ("advert inside the article", f"<article><h1>River in flood</h1><p>{P1}</p><div class='ad banner-ad'>Buy rubber boots now and save.</div><p>{P2}</p><aside class='related'><a href='/x'>More on floods</a></aside><p>{P3}</p></article>", f"River in flood\n{P1}\n{P2}\n{P3}"),
+    ("lists and headings", f'<div class="content"><h1>What to pack</h1><p>{P2}</p><h2>Before you go</h2><ul><li>Warm clothes and dry shoes.</li><li>A torch with new batteries.</li></ul><p>{P3}</p></div><div class="footer">&copy; 2020 The Valley Post</div>', f"What to pack\n{P2}\nBefore you go\nWarm clothes and dry shoes.\nA torch with new batteries.\n{P3}"),
+    ("newsletter form and consent dialog", f'<div class="cookie-banner"><p>This site uses cookies.</p><button>Accept all</button></div><section class="article-body"><h1>River in flood</h1><p>{P1}</p><p>{P3}</p></section><form class="newsletter"><label>E-mail</label><input name="e"><button>Subscribe</button></form>', f"River in flood\n{P1}\n{P3}"),
+    ("upper-case tags without end tags", f"<HTML><BODY><H1>River in flood</H1><P>{P1}<P>{P2}<P>{P3}</BODY></HTML>", f"River in flood\n{P1}\n{P2}\n{P3}"),
+    ("quotes and scripts", f"""<article><h1 title='5" of rain'>River in flood</h1><p data-x='a > b'>{P1}</p><!--><p>{P2}</p><script>if (a < b) document.write("<p>no</p>");</script></article>""", f"River in flood\n{P1}\n{P2}"),
+    ("deep wrappers", "<div>" * 300 + f"<h1>River in flood</h1><p>{P1}</p><p>{P2}</p>" + "</div>" * 300 + f"<footer><p>All rights reserved.</p></footer>", f"River in flood\n{P1}\n{P2}"),
+]
+
+
+def test_html_text_of_pages_of_other_shapes():
+    """Pages that the generator of training pages does not make: words found of those wanted, and wanted of those found."""
+    found = html.main_text(html.trained(), [page for _, page, _ in HAND])
+    got, want = [Counter(t.split()) for t in found], [Counter(t.split()) for *_, t in HAND]
+    hits = sum(sum((a & b).values()) for a, b in zip(got, want))
+    assert hits >= 0.95 * sum(map(Counter.total, want)) and hits >= 0.95 * sum(map(Counter.total, got))
+
+
 def test_html_labels_on_held_out_pages():
     model, right, total = html.trained(), 0, 0
     for page, labels in html.training_pages(150, seed=77):
