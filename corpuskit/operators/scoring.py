@@ -14,7 +14,7 @@ LETTERS = ("A", "B", "C", "D", "E")
 # The order in which labels are looked for in an answer, and their signs.
 NLI_LABELS = ("entailment", "contradiction", "neutral")
 SENTIMENTS = (("positive", ("positive", "ポジティブ")), ("negative", ("negative", "ネガティブ")))
-# Subject groups of the multiple-choice benchmark.
+# Subject groups of the multiple-choice benchmark, subjects with a blank between.
 CATEGORIES = {
     "STEM": "abstract_algebra anatomy astronomy college_biology college_chemistry college_computer_science college_mathematics college_physics computer_security conceptual_physics electrical_engineering elementary_mathematics high_school_biology high_school_chemistry high_school_computer_science high_school_mathematics high_school_physics high_school_statistics machine_learning",
     "Humanities": "formal_logic high_school_european_history high_school_us_history high_school_world_history international_law jurisprudence logical_fallacies moral_disputes moral_scenarios philosophy prehistory professional_law world_religions",
@@ -29,23 +29,31 @@ def _f1(overlap: Column, predicted: Column, wanted: Column) -> Column:
     return F.when((predicted == 0) & (wanted == 0), 1.0).when((predicted == 0) | (wanted == 0) | (overlap == 0), 0.0).otherwise(f1)
 
 
+def _count(text: Column, char: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+
+
 def char_f1(prediction: Column, reference: Column) -> Column:
-    """F1 over characters as multisets, of texts already in comparison form."""
+    """F1 over characters as multisets, of texts already in comparison form.
+
+    The work grows with the length times the number of distinct characters.
+    """
 
     def score(p: Column, r: Column) -> Column:
-        shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, c: n + F.least(A.occurrences(p, c), A.occurrences(r, c)))
-        return A.let(shared, lambda k: _f1(k, F.size(p), F.size(r)))
+        shared = F.aggregate(F.array_distinct(A.characters(p)), F.lit(0), lambda n, c: n + F.least(_count(p, c), _count(r, c)))
+        return A.let(shared, lambda k: _f1(k, F.length(p), F.length(r)))
 
-    return A.let(A.characters(prediction), lambda p: A.let(A.characters(reference), lambda r: score(p, r)))
+    return A.let(prediction, lambda p: A.let(reference, lambda r: score(p, r)))
 
 
 def char_f1_loose(prediction: Column, reference: Column) -> Column:
     """F1 that counts every predicted character which occurs in the reference; recall may pass 1."""
 
     def score(p: Column, r: Column) -> Column:
-        return A.let(F.size(F.filter(p, lambda c: F.array_contains(r, c))), lambda k: _f1(k, F.size(p), F.size(r)))
+        shared = F.aggregate(F.array_distinct(A.characters(p)), F.lit(0), lambda n, c: n + F.when(F.contains(r, c), _count(p, c)).otherwise(0))
+        return A.let(shared, lambda k: _f1(k, F.length(p), F.length(r)))
 
-    return A.let(A.characters(prediction), lambda p: A.let(A.characters(reference), lambda r: score(p, r)))
+    return A.let(prediction, lambda p: A.let(reference, lambda r: score(p, r)))
 
 
 def exact(prediction: Column, reference: Column) -> Column:
@@ -97,6 +105,12 @@ def grouped_accuracy(rows: DataFrame, subject: str = "subject", category: str =
     return sets.select(level.alias("level"), name.alias("name"), "n", "accuracy").where("level = 'overall' OR name IS NOT NULL")
 
 
+def by_subject(rows: DataFrame) -> DataFrame:
+    """Accuracies in the order of a report: subjects by name, then categories, then overall."""
+    place = F.when(F.col("level") == "subject", 0).when(F.col("level") == "category", 1).otherwise(2)
+    return rows.orderBy(place, "name")
+
+
 def few_shot(rows: DataFrame, n: int, order: str, by: str | None = "subject") -> DataFrame:
     """The first ``n`` rows of each group in order, found by merging bounded lists; all columns kept."""
     if by is None:
@@ -114,29 +128,27 @@ def best_choice(scores: DataFrame, item: str, label: str = "label", score: str =
 
 
 def extract_fields(samples: DataFrame) -> DataFrame:
-    """``question, choices, answer_idx, subject`` from whichever of the known field names a table has.
+    """``x_question, x_choices, x_answer, x_subject`` of each row from whichever of the known fields it has a value in.
 
     Question: first non-empty of question, input, text. Choices: ``choices``, else A to D, else
-    choice_a to choice_d, else option_a to option_d; four blanks unless there are exactly four.
-    Answer: answer, target or label, a letter or a number. Subject: subject, category or ``unknown``.
+    choice_a to choice_d, else option_a to option_d, the first of which that any field of the row has; four
+    blanks unless there are exactly four values. Answer: answer, target or label, a letter or a number, 0 if
+    neither. Subject: subject, category or ``unknown``. Null and absent fields are alike.
     """
     have = set(samples.columns)
-    question = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("question", "input", "text") if c in have], F.lit(""))
-    groups = [[c for c in names if c in have] for names in ("ABCD", [f"choice_{x}" for x in "abcd"], [f"option_{x}" for x in "abcd"])]
-    group = next((g for g in groups if g), [])
-    choices = F.col("choices") if "choices" in have else F.array(*[F.col(c) for c in group]) if group else F.array().cast("array<string>")
-    blanks = F.array(*[F.lit("")] * 4)
-    choices = F.when(F.size(choices) == 4, choices).otherwise(blanks)
-    name = next((c for c in ("answer", "target", "label") if c in have), None)
-    if name is None:
-        answer = F.lit(0)
-    elif samples.schema[name].dataType.simpleString() == "string":
-        place = F.array_position(F.array(*[F.lit(x) for x in LETTERS[:4]]), F.upper(name))
-        answer = F.when(place > 0, place - 1).otherwise(0).cast("int")
-    else:
-        answer = F.col(name).cast("int")
-    subject = next((F.col(c) for c in ("subject", "category") if c in have), F.lit("unknown"))
-    return samples.select("*", question.alias("x_question"), choices.alias("x_choices"), answer.alias("x_answer"), subject.alias("x_subject"))
+    first = lambda names, last: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in have], F.lit(last))
+    none = F.lit(None).cast("array<string>")
+    groups = [F.col("choices")] if "choices" in have else []
+    for names in ("ABCD", [f"choice_{x}" for x in "abcd"], [f"option_{x}" for x in "abcd"]):
+        if own := [F.col(c).cast("string") for c in names if c in have]:
+            values = F.filter(F.array(*own), lambda x: x.isNotNull())
+            groups.append(F.when(F.size(values) > 0, values))
+    choices = F.coalesce(*groups, none)
+    choices = F.when(F.size(choices) == 4, choices).otherwise(F.array(*[F.lit("")] * 4))
+    raw = F.upper(F.coalesce(*[F.col(c).cast("string") for c in ("answer", "target", "label") if c in have], F.lit("0")))
+    place = F.array_position(F.array(*[F.lit(x) for x in LETTERS[:4]]), raw)
+    answer = F.when(place > 0, place - 1).otherwise(F.coalesce(raw.try_cast("int"), F.lit(0))).cast("int")
+    return samples.select("*", first(("question", "input", "text"), "").alias("x_question"), choices.alias("x_choices"), answer.alias("x_answer"), first(("subject", "category"), "unknown").alias("x_subject"))
 
 
 # Prompt formats; fixed values.

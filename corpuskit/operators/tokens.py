@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import arrays as A
-from corpuskit.plans.durable import numbered, running
+from corpuskit.plans.durable import cut, numbered, running
 
 Encoder = Callable[[list[str]], list[Sequence[int]]]
 
@@ -88,17 +88,78 @@ def greedy_pack(docs: Column, max_len: int, eos: int) -> Column:
     return F.aggregate(docs, start, lambda packed, doc: F.when(F.size(packed) + F.size(doc) + 1 <= max_len, F.concat(packed, doc, end)).otherwise(packed))
 
 
-def shard_numbers(sizes: Column, max_size: int) -> Column:
-    """Shard of each item of an ordered array of sizes; a new shard starts when the size would pass ``max_size``."""
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("shard"), F.array().cast("array<int>").alias("out"))
+def _shard_ends(sizes: np.ndarray, max_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a shard that starts at each item: where the next one starts, and the shards begun and the size used at the end."""
+    n, ends = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    # The first item with a size always fits; the next shard starts at the first item after it that passes the limit.
+    some = np.minimum.accumulate(np.where(sizes > 0, np.arange(n), n)[::-1])[::-1]
+    after = np.maximum(np.searchsorted(ends, ends[:-1] + max_size, side="right") - 1, np.minimum(some + 1, n))
+    shards, used = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        shards[i], used[i] = (1, ends[n] - ends[i]) if j >= n else (shards[j] + 1, used[j])
+    return after, shards, used
 
-    def step(state: Column, size: Column) -> Column:
-        new = (state.used + size > max_size) & (state.used > 0)
-        shard = state.shard + F.when(new, 1).otherwise(0)
-        used = F.when(new, size).otherwise(state.used + size)
-        return F.struct(used.alias("used"), shard.alias("shard"), F.concat(state.out, F.array(shard)).alias("out"))
 
-    return F.aggregate(sizes, zero, step, lambda state: state.out)
+def shard_numbers(sizes: DataFrame, max_size: int, order: str = "doc_id", by: str = "source", size: str = "size") -> DataFrame:
+    """``sizes`` with ``shard``, the 0-based shard of each row of its ``by`` group in ``order``.
+
+    A new shard starts when the size would pass ``max_size`` and the shard holds something. Rows are
+    dealt to range partitions. Each one tells, for every row at which its first new shard may start, how
+    many shards it begins and what its last one holds; only rows within the first ``max_size`` can be such
+    a row. The driver joins these chains over the partitions (a row each per possible start, group and
+    partition), and a second pass numbers the rows. Sizes are not negative; ``order`` is distinct.
+    """
+    spark = sizes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sizes.repartitionByRange(parts, by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id())
+    rows = cut(rows.select(*sizes.columns, "__part"))
+    group = F.xxhash64(by)
+    narrow = rows.select("__part", group.alias("__g"), F.struct(F.col(order).alias("at"), F.col(size).cast("long").alias("size")).alias("row"))
+    runs = narrow.groupBy("__part", "__g").agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r.size).alias("sizes"), F.min("row.at").alias("first"))
+
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                values = np.asarray(r.sizes, np.int64)
+                _, shards, used = _shard_ends(values, max_size)
+                before = np.cumsum(values) - values
+                starts = np.arange(min(len(values), np.searchsorted(before, max_size, side="right") + 1))
+                total = int(values.sum())
+                yield pd.DataFrame({"part": r.part, "g": r.g, "before": before[starts], "size": values[starts], "shards": shards[starts], "used": used[starts], "total": total})
+
+    found = runs.withColumnsRenamed({"__part": "part", "__g": "g"}).select("part", "g", "sizes").mapInPandas(chains, "part int, g long, before long, size long, shards long, used long, total long")
+    table = found.toPandas().sort_values(["g", "part", "before"], kind="stable")
+    entries, state = [], {}
+    for (g, part), lot in table.groupby(["g", "part"], sort=True):
+        used, shard = state.get(g, (0, 0))
+        entries.append((int(part), int(g), int(used), int(shard)))
+        over = np.nonzero((used + lot["before"].to_numpy() + lot["size"].to_numpy() > max_size) & (used + lot["before"].to_numpy() > 0))[0]
+        if len(over):
+            state[g] = int(lot["used"].iloc[over[0]]), int(shard + lot["shards"].iloc[over[0]])
+        else:
+            state[g] = int(used + lot["total"].iloc[0]), int(shard)
+    entry = spark.createDataFrame(entries, "__part2 int, __g2 long, __used long, __shard long")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                values = np.asarray(r.sizes, np.int64)
+                before, out = np.cumsum(values) - values, np.full(len(values), r.shard, np.int64)
+                over = np.nonzero((r.used + before + values > max_size) & (r.used + before > 0))[0]
+                if len(over):
+                    after, at, shard = _shard_ends(values, max_size)[0], over[0], r.shard
+                    while at < len(values):
+                        shard += 1
+                        out[at : after[at]] = shard
+                        at = after[at]
+                yield pd.DataFrame({"__k": r.keys, "__g3": r.g, "shard": out})
+
+    keyed = narrow.groupBy("__part", "__g").agg(F.sort_array(F.collect_list("row")).alias("rows")).join(entry, (F.col("__part") == F.col("__part2")) & (F.col("__g") == F.col("__g2")))
+    keyed = keyed.select(F.transform("rows", lambda r: r.at).alias("keys"), F.transform("rows", lambda r: r.size).alias("sizes"), F.col("__used").alias("used"), F.col("__shard").alias("shard"), F.col("__g").alias("g"))
+    kind = sizes.schema[order].dataType.simpleString()
+    numbers = keyed.mapInPandas(number, f"__k {kind}, __g3 long, shard long").withColumn("shard", F.col("shard").cast("int"))
+    return rows.join(numbers, (group == F.col("__g3")) & (F.col(order) == F.col("__k"))).drop("__k", "__g3", "__part")
 
 
 def token_stats(tokens: DataFrame, by: str = "source", bytes_per_id: int = 2, tokens_col: str = "tokens") -> DataFrame:

@@ -35,10 +35,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt to all cores: one small file would be one task."""
+    """A table; texts that one task would read, as those of one small file, are dealt to all cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) == 1 and name in ("documents", "pages") else rows
+    return rows.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") and rows.rdd.getNumPartitions() == 1 else rows
 
 
 # Text functions -----------------------------------------------------------------------------
@@ -61,9 +60,14 @@ def sql_ratio(x: str, script: str) -> str:
     return f"CASE WHEN length({x}) = 0 THEN 0 ELSE len(regexp_extract_all({x}, '[{script}]')) / length({x}) END"
 
 
+#: Compatibility forms of the printable ASCII characters, which NFKC takes back.
+_ASCII, _FULL = ("".join(map(chr, range(low, low + 94))) for low in (0x21, 0xFF01))
+
+
 @query("t_nfkc", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def t_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.nfkc("text")).alias("digest"))
+    """Texts in full-width forms, normalised: those of the texts themselves."""
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(T.nfkc(F.translate("text", _ASCII, _FULL))).alias("digest"))
 
 
 @query("t_clean_pages", f"SELECT page_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT page_id, {sql_clean('html')} AS c FROM pages)")
@@ -88,19 +92,29 @@ def t_clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("t_script_ratio", f"SELECT doc_id, round({sql_ratio('text', T.CJK)}, 6) AS cjk, round({sql_ratio('text', T.LATIN)}, 6) AS latin FROM documents")
+@query("t_script_ratio", f"SELECT doc_id, round({sql_ratio('text', T.CJK)}, 6) AS cjk, round({sql_ratio('text', T.LATIN)}, 6) AS latin FROM (SELECT doc_id, translate(text, 'aeiou', 'アえ漢ー𠀀') AS text FROM documents)")
 def t_script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
+    """Shares of two scripts in texts with Han and kana for their vowels."""
+    text = F.translate("text", "aeiou", "アえ漢ー𠀀")
     return load(spark, sf_dir, "documents").select("doc_id", F.round(T.script_ratio(text), 6).alias("cjk"), F.round(T.script_ratio(text, T.LATIN), 6).alias("latin"))
 
 
+#: Kana and Han for the small letters, so that the script tests have something to find in Latin texts.
+_SMALL, _KANA = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこアイウエオカキクケコ日本語漢字東"
+_JAPANESE = "[ぁ-ゟァ-ヿ一-龯]"
+
+
 @query(
     "t_japanese_share_runs",
-    """SELECT item_id, CAST(0 AS DOUBLE) AS share, len(list_filter(range(1, length(text) - 2), lambda i: substr(text, i, 3) = repeat(substr(text, i, 1), 3) AND substr(text, i, 1) <> chr(10))) > 0 AS has_run
-    FROM benchmark WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]')""",
+    f"""SELECT item_id, CASE WHEN length(replace(t, ' ', '')) = 0 THEN 0 ELSE round(len(regexp_extract_all(t, '{_JAPANESE}')) / length(replace(t, ' ', '')), 6) END AS share,
+    len(list_filter(range(1, length(t) - 2), lambda i: substr(t, i, 3) = repeat(substr(t, i, 1), 3) AND substr(t, i, 1) <> chr(10))) > 0 AS has_run
+    FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN translate(text, '{_SMALL}', '{_KANA}') ELSE replace(text, 'th', 'ttth') END AS t FROM benchmark)""",
 )
 def t_japanese_share_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select("item_id", T.japanese_share(F.col("text")).alias("share"), T.has_run(F.col("text"), 3).alias("has_run"))
+    """Every other text in kana and Han, the rest with runs."""
+    text = F.when(F.col("item_id") % 2 == 0, F.translate("text", _SMALL, _KANA)).otherwise(F.replace("text", F.lit("th"), F.lit("ttth")))
+    rows = load(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
+    return rows.select("item_id", F.round(T.japanese_share(F.col("t")), 6).alias("share"), T.has_run(F.col("t"), 3).alias("has_run"))
 
 
 _FORM = f"regexp_replace(text, '[{T.PYWS}]+', '', 'g')"
@@ -147,9 +161,15 @@ def f_reason_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reason_counts(quality.with_reason(load(spark, sf_dir, "documents"), LATIN_LIMITS))
 
 
-@query("f_default_reasons", "SELECT CASE WHEN length(text) BETWEEN 50 AND 500000 THEN 'cjk_ratio' ELSE 'length' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+_KANA_DOCS = f"kana AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN translate(text, '{_SMALL}', '{_KANA}') ELSE text END AS text FROM documents)"
+_DEFAULT = JUDGED.replace("FROM documents", "FROM kana").replace("WHEN coalesce(r, 0)", f"WHEN {sql_ratio('text', T.CJK)} < 0.3 THEN 'cjk_ratio' WHEN coalesce(r, 0)")
+
+
+@query("f_default_reasons", f"WITH {_KANA_DOCS}, {_DEFAULT} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1")
 def f_default_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.reason_counts(quality.with_reason(load(spark, sf_dir, "documents")))
+    """The default limits on documents of which every other one is in kana and Han."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", _SMALL, _KANA)).otherwise(F.col("text"))
+    return quality.reason_counts(quality.with_reason(load(spark, sf_dir, "documents").withColumn("text", text)))
 
 
 @query(
@@ -336,11 +356,12 @@ def p_greedy_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p_dedup_stats",
-    "SELECT source, count(*) AS total, count(*) - count(DISTINCT text) AS duplicates, count(DISTINCT text) AS remaining, round((count(*) - count(DISTINCT text)) / count(*), 6) AS dedup_rate FROM documents GROUP BY source",
+    f"""WITH kept AS ({_sql_greedy("source")}) SELECT source, count(*) AS total, count(*) FILTER (text <> '') - count(k.doc_id) AS duplicates, count(k.doc_id) AS remaining,
+    round((count(*) FILTER (text <> '') - count(k.doc_id)) / count(*), 6) AS dedup_rate FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY source""",
 )
 def p_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return neardup.dedup_stats(docs, docs.dropDuplicates(["source", "text"])).withColumn("dedup_rate", F.round("dedup_rate", 6))
+    return neardup.dedup_stats(docs, neardup.near_duplicates(docs, "doc_id", "source")).withColumn("dedup_rate", F.round("dedup_rate", 6))
 
 
 # Tokens -------------------------------------------------------------------------------------

@@ -88,14 +88,14 @@ def m_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 80 characters of each turn as a prediction, of the next turn as the reference, in comparison form."""
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_form(F.left("text", F.lit(80))).alias("p"))
+    """Each turn as a prediction, the next turn as the reference, in comparison form."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_form(F.col("text")).alias("p"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("p").alias("r"))
     return turns.join(after, ["conv_id", "turn"])
 
 
-_SHORT = f"lower(regexp_replace(left(text, 80), '[{T.PYWS}]+', '', 'g'))"
-_ANSWERS = f"t AS (SELECT conv_id, turn, {_SHORT} AS p FROM conversations), qa AS (SELECT a.conv_id, a.turn, a.p, b.p AS r FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_FORM = f"lower(regexp_replace(text, '[{T.PYWS}]+', '', 'g'))"
+_ANSWERS = f"t AS (SELECT conv_id, turn, {_FORM} AS p FROM conversations), qa AS (SELECT a.conv_id, a.turn, a.p, b.p AS r FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 def _sql_f1(overlap: str) -> str:
@@ -168,7 +168,7 @@ def e_fewshot_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.few_shot(load(spark, sf_dir, "documents"), 5, "doc_id", None).select("doc_id")
 
 
-_Q = "'質問: ' || left(text, 40) || chr(10) || '(A) a' || chr(10) || '(B) b' || chr(10) || '(C) c' || chr(10) || '(D) d' || chr(10) || '回答:'"
+_Q = "'質問: ' || text || chr(10) || '(A) a' || chr(10) || '(B) b' || chr(10) || '(C) c' || chr(10) || '(D) d' || chr(10) || '回答:'"
 
 
 @query(
@@ -180,7 +180,7 @@ _Q = "'質問: ' || left(text, 40) || chr(10) || '(A) a' || chr(10) || '(B) b' |
 def e_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = graded(spark, sf_dir)
     shots = scoring.few_shot(rows, 2, "doc_id").where("subject <> 'poetry'")
-    choices, head = F.array(*[F.lit(x) for x in "abcd"]), F.left("text", F.lit(40))
+    choices, head = F.array(*[F.lit(x) for x in "abcd"]), F.col("text")
     answer = F.when(F.col("quality") == 1, "A").otherwise("B")
     out = scoring.prompts(rows, shots, "doc_id", "subject", scoring.choice_question(head, choices, answer), scoring.choice_question(head, choices), scoring.choice_header(F.col("subject")))
     return out.select("doc_id", F.md5("prompt").alias("digest"))
@@ -189,10 +189,10 @@ def e_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e_task_prompts",
     """SELECT item_id, md5('前提: ' || a || chr(10) || '仮説: ' || b || chr(10) || '関係: ' || 'neutral' || chr(10) || chr(10)) AS nli, md5('文脈: ' || a || chr(10) || '質問: ' || b || chr(10) || '回答:') AS reading,
-    md5('質問: ' || a || chr(10) || '選択肢: (A) v (B) w (C) x (D) y (E) z' || chr(10) || '回答:') AS commonsense, md5('レビュー: ' || a || chr(10) || '感情:') AS sentiment FROM (SELECT item_id, left(text, 50) AS a, right(text, 20) AS b FROM benchmark)""",
+    md5('質問: ' || a || chr(10) || '選択肢: (A) v (B) w (C) x (D) y (E) z' || chr(10) || '回答:') AS commonsense, md5('レビュー: ' || a || chr(10) || '感情:') AS sentiment FROM (SELECT item_id, text AS a, text || '?' AS b FROM benchmark)""",
 )
 def e_task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.left("text", F.lit(50)), F.right("text", F.lit(20))
+    a, b = F.col("text"), F.concat("text", F.lit("?"))
     five = F.array(*[F.lit(x) for x in "vwxyz"])
     return load(spark, sf_dir, "benchmark").select(
         "item_id", F.md5(scoring.nli_prompt(a, b, F.lit("neutral"))).alias("nli"), F.md5(scoring.reading_prompt(a, b)).alias("reading"),
@@ -214,18 +214,35 @@ def e_label_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", scoring.nli_label(a).alias("nli"), scoring.letter(a).alias("letter"), scoring.sentiment(a).alias("sentiment"))
 
 
-@query("e_best_choice", "SELECT vec_id, label FROM (SELECT vec_id, chr(CAST(64 + i AS INTEGER)) AS label, row_number() OVER (PARTITION BY vec_id ORDER BY round(embedding[i], 1) DESC, i) AS r FROM embeddings, range(1, 5) t(i)) WHERE r = 1")
+@query(
+    "e_best_choice",
+    """SELECT vec_id, label FROM (SELECT vec_id, 'c' || lpad(CAST(i AS VARCHAR), 3, '0') AS label, row_number() OVER (PARTITION BY vec_id ORDER BY round(embedding[i], 1) DESC, i) AS r
+    FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)) WHERE r = 1""",
+)
 def e_best_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores rounded to make ties; the first letter wins them."""
-    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
-    rows = rows.select("vec_id", F.get(F.array(*[F.lit(x) for x in "ABCD"]), F.col("i")).alias("label"), F.round("x", 1).alias("score"))
+    """All components as scores of choices, rounded to make ties; the first label wins them."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    rows = rows.select("vec_id", F.format_string("c%03d", F.col("i") + 1).alias("label"), F.round("x", 1).alias("score"))
     return scoring.best_choice(rows, "vec_id").select("vec_id", "label")
 
 
-@query("e_extract_fields", "SELECT item_id, left(text, 30) AS x_question, CAST(CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS x_answer, 'w-x-y-z' AS x_choices, 'unknown' AS x_subject FROM benchmark")
+_FIELDS = """SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN '' END AS question, CASE item_id % 3 WHEN 1 THEN text END AS input, text || '!' AS other,
+    CASE WHEN item_id % 5 = 0 THEN ['k', 'l', 'm', 'n'] WHEN item_id % 5 = 1 THEN ['short'] END AS choices, CASE WHEN item_id % 5 = 2 THEN 'a' END AS A, CASE WHEN item_id % 5 < 3 THEN 'b' END AS B, CASE WHEN item_id % 5 < 3 THEN 'c' END AS C,
+    CASE WHEN item_id % 5 < 3 THEN text END AS D, 'w' AS choice_a, 'x' AS choice_b, 'y' AS choice_c, CASE WHEN item_id % 5 = 3 THEN 'z' END AS choice_d,
+    CASE item_id % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'q' WHEN 2 THEN '3' END AS answer, CASE WHEN item_id % 2 = 0 THEN 'D' END AS target, CASE WHEN item_id % 7 = 0 THEN 'anatomy' END AS category FROM benchmark"""
+
+
+@query(
+    "e_extract_fields",
+    f"""SELECT item_id, coalesce(nullif(question, ''), nullif(input, ''), '') AS x_question,
+    CASE item_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 2 THEN 3 ELSE CASE WHEN item_id % 2 = 0 THEN 3 ELSE 0 END END AS x_answer,
+    CASE item_id % 5 WHEN 0 THEN 'k-l-m-n' WHEN 2 THEN 'a-b-c-' || D WHEN 3 THEN 'w-x-y-z' ELSE '---' END AS x_choices, coalesce(category, 'unknown') AS x_subject FROM ({_FIELDS})""",
+)
 def e_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "benchmark").select("item_id", F.lit("").alias("question"), F.left("text", F.lit(30)).alias("input"), *[F.lit(x).alias(f"choice_{c}") for c, x in zip("abcd", "wxyz")], F.when(F.col("item_id") % 2 == 0, "c").otherwise("q").alias("answer"))
-    found = scoring.extract_fields(rows)
+    """Fields that each row has under other names: the fallbacks are taken row by row."""
+    sql = _FIELDS.replace("['k', 'l', 'm', 'n']", "array('k', 'l', 'm', 'n')").replace("['short']", "array('short')")
+    load(spark, sf_dir, "benchmark").createOrReplaceTempView("corpuskit_benchmark")
+    found = scoring.extract_fields(spark.sql(sql.replace("FROM benchmark", "FROM corpuskit_benchmark")).drop("other"))
     return found.select("item_id", "x_question", "x_answer", F.array_join("x_choices", "-").alias("x_choices"), "x_subject")
 
 
@@ -236,10 +253,20 @@ def e_macro_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.macro_score(tasks).withColumn("aggregate_score", F.round("aggregate_score", 6))
 
 
-@query("e_summary", "SELECT * FROM (VALUES ('a', CAST(0.5 AS DOUBLE)), ('b', CAST(12.25 AS DOUBLE))) t(benchmark, score)")
+@query(
+    "e_summary",
+    """SELECT benchmark, coalesce(a, b, c, d) AS score FROM (SELECT n_name AS benchmark, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey / 4 END AS a, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey / 8 END AS b,
+    CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey / 2 END AS c, CASE WHEN n_nationkey % 7 = 0 THEN n_nationkey / 16 END AS d, n_nationkey % 11 = 4 AS failed FROM nation)
+    WHERE NOT failed AND coalesce(a, b, c, d) IS NOT NULL""",
+)
 def e_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0.5, 0.1, None, None, None), ("b", None, None, 12.25, None, None), ("c", None, None, None, None, None), ("d", 0.1, None, None, None, "failed")]
-    return scoring.summary(spark.createDataFrame(rows, "benchmark string, aggregate_score double, accuracy double, mean_perplexity double, overall_accuracy double, error string"))
+    """Nations as benchmarks that report one of four scores, some of them none, some an error."""
+    key = F.col("n_nationkey")
+    rows = load(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("benchmark"), F.when(key % 2 == 0, F.col("n_regionkey") / 4).alias("aggregate_score"), F.when(key % 3 == 0, key / 8).alias("accuracy"),
+        F.when(key % 5 == 0, key / 2).alias("mean_perplexity"), F.when(key % 7 == 0, key / 16).alias("overall_accuracy"), F.when(key % 11 == 4, "failed").alias("error"),
+    )
+    return scoring.summary(rows)
 
 
 @query("e_metric_means", "SELECT event_type AS metric, round(avg(value), 4) AS mean FROM events GROUP BY event_type")
@@ -405,24 +432,36 @@ def x_lr_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.two_stages(spark, 5000, 3000).withColumn("lr", F.round("lr", 10))
 
 
-def listing(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 13).select(F.concat(F.lit("step_"), F.lpad((F.col("id") * 100).cast("string"), 8, "0")).alias("name"), (F.col("id") == 2).alias("is_best"))
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as checkpoints at steps that do not follow their keys, one of them the best."""
+    step = (F.col("n_nationkey") * 700) % 1100 + F.col("n_nationkey")
+    return load(spark, sf_dir, "nation").select(step.cast("long").alias("step"), (F.col("n_name") == "CHINA").alias("is_best"))
+
 
+_LISTING = "SELECT (n_nationkey * 700) % 1100 + n_nationkey AS step, n_name = 'CHINA' AS is_best FROM nation"
 
-@query("x_retention", "SELECT 'step_' || lpad(CAST(i * 100 AS VARCHAR), 8, '0') AS name, i = 2 AS is_best, i <= 7 AND i <> 2 AS remove FROM range(1, 13) r(i)")
+
+@query(
+    "x_retention",
+    f"""SELECT name, is_best, k <= (SELECT count(*) FROM nation) - 5 AND NOT is_best AS remove FROM (SELECT 'step_' || lpad(CAST(step AS VARCHAR), 8, '0') AS name, is_best,
+    row_number() OVER (ORDER BY step) AS k FROM ({_LISTING}))""",
+)
 def x_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.retention(listing(spark))
+    rows = listing(spark, sf_dir).select(F.format_string("step_%08d", "step").alias("name"), "is_best")
+    return training.retention(rows)
 
 
-@query("x_latest", "SELECT 'step_1000' AS name, CAST(1000 AS BIGINT) AS step")
+@query("x_latest", f"SELECT 'step_' || step AS name, CAST(step AS BIGINT) AS step FROM ({_LISTING}) ORDER BY step DESC LIMIT 1")
 def x_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.latest(spark.createDataFrame([("step_200",), ("step_1000",), ("step_30",), ("other",)], "name string"))
+    rows = listing(spark, sf_dir).select(F.concat(F.lit("step_"), F.col("step").cast("string")).alias("name"))
+    return training.latest(rows.unionByName(load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))))
 
 
-@query("x_best_tag", "SELECT 'step_' || s AS name, s = 300 AS is_best FROM range(100, 600, 100) r(s)")
+@query("x_best_tag", f"SELECT 'step_' || step AS name, step = (SELECT max(step) FROM ({_LISTING}) WHERE step < 500) AS is_best FROM ({_LISTING})")
 def x_best_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1, 6).select(F.concat(F.lit("step_"), (F.col("id") * 100).cast("string")).alias("name"), (F.col("id") == 1).alias("is_best"))
-    return training.tag_best(rows, 300)
+    rows = listing(spark, sf_dir).select(F.concat(F.lit("step_"), F.col("step").cast("string")).alias("name"), "is_best")
+    best = listing(spark, sf_dir).where("step < 500").agg(F.max("step").alias("step")).first().step
+    return training.tag_best(rows, best)
 
 
 @query(
@@ -434,9 +473,8 @@ def x_best_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source packed into shards of 50,000 characters in order of id."""
-    rows = load(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("size")))).alias("d"))
-    rows = rows.select("source", F.inline(F.arrays_zip(F.transform("d", lambda x: x.doc_id).alias("doc_id"), tokens.shard_numbers(F.transform("d", lambda x: x.size), 50_000).alias("shard"))))
-    return rows
+    rows = load(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
+    return tokens.shard_numbers(rows, 50_000).select("source", "doc_id", "shard")
 
 
 @query("x_mean_vector", "SELECT CAST(i AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i")
@@ -464,11 +502,11 @@ def x_moving_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.moving(loss_log(spark, sf_dir), "event_type").select("step", F.round("trailing_mean", 4).alias("trailing_mean"), "best_so_far")
 
 
-_LOAD = f"{_LOGITS}, g AS (SELECT * FROM x WHERE i < 8), e AS (SELECT *, exp(l - max(l) OVER w) AS v, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, i) AS r FROM g WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT *, v / sum(v) OVER (PARTITION BY vec_id) AS p FROM e), load AS (SELECT i AS expert, count(*) FILTER (r <= 2) * 8 / ((SELECT count(*) FROM embeddings) * 2) AS f, sum(p) / (SELECT count(*) FROM embeddings) AS p FROM p GROUP BY i)"
+_LOAD = f"{_LOGITS}, g AS (SELECT * FROM x), n AS (SELECT count(DISTINCT i) AS experts FROM x), e AS (SELECT *, exp(l - max(l) OVER w) AS v, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, i) AS r FROM g WINDOW w AS (PARTITION BY vec_id)), p AS (SELECT *, v / sum(v) OVER (PARTITION BY vec_id) AS p FROM e), load AS (SELECT i AS expert, count(*) FILTER (r <= 2) * (SELECT experts FROM n) / ((SELECT count(*) FROM embeddings) * 2) AS f, sum(p) / (SELECT count(*) FROM embeddings) AS p FROM p GROUP BY i)"
 
 
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logits(spark, sf_dir).select(F.col("vec_id").alias("token"), F.posexplode(F.slice("l", 1, 8)).alias("expert", "score"))
+    return logits(spark, sf_dir).select(F.col("vec_id").alias("token"), F.posexplode("l").alias("expert", "score"))
 
 
 @query("x_expert_load", f"WITH {_LOAD} SELECT CAST(expert AS BIGINT) AS expert, round(f, 6) AS f, round(p, 6) AS p FROM load")
@@ -476,6 +514,11 @@ def x_expert_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.expert_load(gates(spark, sf_dir), 2).select(F.col("expert").cast("long").alias("expert"), F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
 
 
+@query("x_routed", f"WITH {_LOAD.replace('load AS', 'routed AS (SELECT vec_id, i, v / sum(v) OVER (PARTITION BY vec_id) AS w FROM p WHERE r <= 2), load AS')} SELECT vec_id AS token, CAST(i AS BIGINT) AS expert, round(w, 6) AS weight FROM routed")
+def x_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.routed(gates(spark, sf_dir), 2).select("token", F.col("expert").cast("long").alias("expert"), F.round("weight", 6).alias("weight"))
+
+
 @query("x_balance_loss", f"WITH {_LOAD} SELECT round(sum(f * p), 6) AS balance FROM load")
 def x_balance_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.balance_loss(training.expert_load(gates(spark, sf_dir), 2)).withColumn("balance", F.round("balance", 6))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import neardup, quality, tokens
+from corpuskit.operators import mixing, neardup, quality, tokens
 from corpuskit.plans.durable import cut
 from corpuskit.sources import packed, readers
 
@@ -74,12 +74,37 @@ def run_files(spark: SparkSession, inputs: str, out: str, encoder: tokens.Encode
     }
 
 
-def benchmarks(names: str, runners: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Runs evaluations by name; an unknown name is an error, a failing one is noted and the others go on."""
+def mixed(docs: DataFrame, encoder: tokens.Encoder, stage_weights: DataFrame, mode: str = "dataset", out: str | None = None, n: int = 100_000, batch: int = 8, steps: int = 10, length: int = 4096, seed: int = mixing.SEED) -> DataFrame:
+    """A curriculum's mix of the sources of ``docs``.
+
+    Mode ``dataset`` packs ``n`` drawn documents, step after step, into files under ``out`` and returns
+    their manifest, whose indexes hold the documents of each source. Mode ``dataloader`` returns the
+    padded batches of the first ``steps`` steps. Any other mode is an error.
+    """
+    if mode == "dataset":
+        if not out:
+            raise ValueError("mode dataset needs a folder")
+        drawn = mixing.sample(docs, n, stage_weights, seed)
+        rows = tokens.tokenise(docs.select("doc_id", "text"), encoder, max_len=length)
+        return packed.write_packed(drawn.join(rows.select("doc_id", "tokens"), "doc_id"), out, order="i", source="source")
+    if mode == "dataloader":
+        drawn = mixing.sample(docs, steps * batch, stage_weights, seed, per_step=batch)
+        return mixing.batches(drawn, tokens.tokenise(docs.select("doc_id", "text"), encoder, max_len=length), batch, length)
+    raise ValueError(f"unknown mode {mode}: dataset or dataloader")
+
+
+def benchmarks(names: str, runners: dict[str, Callable[[], DataFrame]], strict: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Runs evaluations by name; a failing one is noted and the others go on.
+
+    An unknown name is an error, or, for the tasks of a suite (``strict`` false), a warning.
+    """
     wanted = list(runners) if names == "all" else [x.strip() for x in names.split(",") if x.strip()]
     unknown = [x for x in wanted if x not in runners]
-    if unknown:
+    if unknown and strict:
         raise ValueError(f"unknown benchmarks: {unknown}")
+    for name in unknown:
+        log.warning("unknown task %s passed over", name)
+    wanted = [x for x in wanted if x in runners]
     done, errors = {}, {}
     for name in wanted:
         try:

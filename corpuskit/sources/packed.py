@@ -17,7 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.plans.durable import cut
+
 WIDTH = {"uint16": 2, "uint32": 4}
+#: Ids that a part holds, about.
+PART_IDS = 1 << 28
 
 
 def write_packed(tokens: DataFrame, folder: str, order: str = "doc_id", source: str | None = None, parts: int | None = None) -> DataFrame:
@@ -26,10 +30,12 @@ def write_packed(tokens: DataFrame, folder: str, order: str = "doc_id", source:
     With ``source`` the index also has the number of documents of each source. ``folder`` is a URI
     that every executor reaches; a task that runs again writes files of another name.
     """
-    top = tokens.agg(F.max(F.array_max("tokens")).alias("top")).first().top
-    dtype = "uint16" if (top or 0) < 1 << 16 else "uint32"
-    parts = parts or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [order, "tokens", *([source] if source else [])]
+    # Cut, so that ids are computed once for their width, the ranges and the files.
+    tokens = cut(tokens.select(*columns))
+    facts = tokens.agg(F.max(F.array_max("tokens")).alias("top"), F.sum(F.size("tokens").cast("long")).alias("n")).first()
+    dtype = "uint16" if (facts.top or 0) < 1 << 16 else "uint32"
+    parts = parts or max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts.n or 0) // PART_IDS))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -52,12 +58,24 @@ def write_packed(tokens: DataFrame, folder: str, order: str = "doc_id", source:
         values = (pa.array([part], pa.int32()), pa.array([f"{folder}/{stem}"]), pa.array([len(bounds) - 1]), pa.array([bounds[-1]]), pa.array([dtype]))
         yield pa.RecordBatch.from_arrays(list(values), ["part", "path", "num_documents", "total_tokens", "dtype"])
 
-    rows = tokens.select(*columns).repartitionByRange(parts, order).sortWithinPartitions(order)
+    rows = tokens.repartitionByRange(parts, order).sortWithinPartitions(order)
     found = rows.mapInArrow(write, "part int, path string, num_documents long, total_tokens long, dtype string").collect()
     kinds = "part int, path string, num_documents long, total_tokens long, dtype string"
     return tokens.sparkSession.createDataFrame(sorted(map(tuple, found)), kinds)
 
 
+def distribution(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """``(source, documents)``: the numbers of documents of each source that the indexes of a manifest hold, added up."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = PackedFile(path).index.get("source_distribution", {})
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["source", "n"])
+
+    return manifest.select("path").mapInArrow(read, "source string, n long").groupBy("source").agg(F.sum("n").alias("documents"))
+
+
 class PackedFile:
     """Random access to one packed file by its stem."""
 

@@ -92,9 +92,9 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_text(rows: DataFrame, path: str, text_col: str = "text", max_docs: int = 50_000) -> None:
-    """Texts of the first rows, each with a line feed."""
-    rows.select(text_col).limit(max_docs).write.mode("overwrite").text(path)
+def write_text(rows: DataFrame, path: str, text_col: str = "text", max_docs: int = 50_000, order: str = "doc_id") -> None:
+    """Texts of the first rows in order, each with a line feed."""
+    rows.orderBy(order).limit(max_docs).select(text_col).write.mode("overwrite").text(path)
 
 
 def paragraphs(texts: DataFrame, text_col: str = "text", min_len: int = 50) -> DataFrame:
@@ -133,10 +133,12 @@ def load_config(path: str) -> dict:
 
 
 def first_of(spark: SparkSession, candidates: list[tuple[str, str]]) -> DataFrame:
-    """The first ``(format, path)`` that can be read; an error naming all if none can."""
+    """The first ``(format, path)`` of which a row can be read, or that is empty; an error naming all if none can."""
     for kind, path in candidates:
         try:
-            return spark.read.format(kind).load(path)
+            rows = spark.read.format(kind).load(path)
+            rows.limit(1).collect()
+            return rows
         except Exception as e:
             log.warning("%s: %s", path, e)
     raise FileNotFoundError(f"none of {[p for _, p in candidates]} can be read")
@@ -146,6 +148,12 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def synthetic(spark: SparkSession, lines: list[str], duplicates: int = 0) -> DataFrame:
+    """``(id, text)``: rows ``doc_0``, ... of the lines, then ``dup_0``, ... of the first of them again."""
+    rows = [(f"doc_{i}", x) for i, x in enumerate(lines)] + [(f"dup_{i}", x) for i, x in enumerate(lines[:duplicates])]
+    return spark.createDataFrame(rows, "id string, text string")
+
+
 def total_bytes(spark: SparkSession, path: str) -> DataFrame:
     """``(files, bytes)`` of the files at a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

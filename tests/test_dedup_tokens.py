@@ -71,8 +71,26 @@ def test_chunks_packing_and_shards(spark):
     assert got == {("s", 0): "abcd", ("s", 1): "efgh"}
     docs = spark.createDataFrame([([[1] * 5, [2] * 30, [3] * 3, [4] * 20],)], "d array<array<int>>")
     assert docs.select(tokens.greedy_pack(F.col("d"), 32, 0)).first()[0] == [1] * 5 + [0] + [3] * 3 + [0] + [4] * 20 + [0]
-    sizes = spark.createDataFrame([([5, 5, 1, 20, 2, 3],)], "s array<long>")
-    assert sizes.select(tokens.shard_numbers(F.col("s"), 10)).first()[0] == [0, 0, 1, 2, 3, 3]
+
+
+def test_shards_equal_the_sequential_rule(spark):
+    rng = random.Random(4)
+    data = [(i, "first", s) for i, s in enumerate([5, 5, 1, 20, 2, 3])] + [(i, "none", 0) for i in range(9)]
+    data += [(i, f"g{k}", rng.choice([0, 0, 1, 3, 9, 10, 11, 40][: 4 + k])) for k in range(5) for i in range(150)] + [(i, None, 7) for i in range(40)]
+    rng.shuffle(data)
+    want = {}
+    for name in {x[1] for x in data}:
+        used = shard = 0
+        for i, _, size in sorted((x for x in data if x[1] == name), key=lambda x: x[0]):
+            if used + size > 10 and used > 0:
+                used, shard = 0, shard + 1
+            used += size
+            want[name, i] = shard
+    found = tokens.shard_numbers(spark.createDataFrame(data, "doc_id long, source string, size long").repartition(3), 10)
+    got = found.collect()
+    assert len(got) == len(data) and {(r.source, r.doc_id): r.shard for r in got} == want
+    assert [want["first", i] for i in range(6)] == [0, 0, 1, 2, 3, 3]
+    assert tokens.shard_numbers(found.drop("shard").limit(0), 10).count() == 0
 
 
 def test_vocabulary_merge(spark):
