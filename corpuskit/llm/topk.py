@@ -28,6 +28,8 @@ BINS = 64
 SCALE = 256.0
 ROWS = 1024
 EXACT = 2.0**53
+#: Scores beyond it, which take components of over 10**6, count as it.
+LIMIT = 2**61
 
 
 def _whole(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +47,7 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, exact: bool) -> np.ndarray
         return (vectors @ queries.T).astype(np.int64)
     whole = vectors.astype(object), queries.astype(object)
     as_int = np.vectorize(int, otypes=[object])
-    limit = 2**63 - 1
-    return np.clip(as_int(whole[0]) @ as_int(whole[1]).T, -limit, limit).astype(np.int64)
+    return np.clip(as_int(whole[0]) @ as_int(whole[1]).T, -LIMIT, LIMIT).astype(np.int64)
 
 
 def _usable(vec: Column) -> Column:
@@ -59,7 +60,7 @@ def _block_top(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, largest: f
     spark, dim, n = rows.sparkSession, queries.shape[1], len(ids)
     reach = np.sqrt((queries * queries).sum(axis=1)) * largest
     exact = bool((reach < EXACT).all())
-    bound = min(2**61, int(math.ceil(float(reach.max()))) + 2)
+    bound = int(min(float(LIMIT), math.ceil(float(reach.max())))) + 2
     low, width = np.full(n, -bound, np.int64), np.full(n, max(1, -(-2 * bound // BINS)), np.int64)
     high = low + width * BINS  # scores of this or more are counted already
     want, done = np.full(n, k, np.int64), np.zeros(n, bool)
@@ -128,7 +129,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     Queries are the rows for which ``is_query`` holds; a row is no candidate of a query with its id.
     Rows with a null id, or whose vector is null, empty or holds a null or non-finite component,
     take no part; vectors of different lengths have no score. A repeated query id is asked once per
-    row. Ties go to the smaller id. Without queries there are no rows.
+    row. Ties go to the smaller id. Without queries there are no rows. Scores are exact up to ``LIMIT``
+    in size; beyond it they all are ``LIMIT``, or its negative, and tie.
     """
     vec = F.col(vec_col)
     rows = vectors.where(_usable(vec) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), is_query.alias("asked"))

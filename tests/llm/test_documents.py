@@ -484,6 +484,47 @@ def test_license_notices_need_a_gate_word(spark):
     assert got == {1: ["Proprietary"], 2: ["CC-BY-SA"], 3: ["Proprietary"]}
 
 
+def test_license_scan_against_plain_rules(spark):
+    """Lines and runs of invented files judged one by one in Python, without gate words."""
+    families, grams, weights, bias = licenses.trained()
+    index, rng = {g: i for i, g in enumerate(grams)}, random.Random(11)
+
+    def judged(text):
+        w = licenses.words_of(text)
+        z = bias + sum((weights[index[g]] for g in licenses.grams_of(w) if g in index), np.zeros(len(families)))
+        best = families[int(np.argmax(z))]
+        if len(w) < 2 or best == licenses.UNKNOWN or np.exp(z - z.max()).sum() > 1 / licenses.MIN_PROBABILITY:
+            return None
+        cover = max(len(licenses.pairs_of(t) & licenses.pairs_of(text)) / len(licenses.pairs_of(t)) for t in licenses.TEMPLATES[best])
+        return best if cover >= licenses.COVERAGE else None
+
+    def scanned(text):
+        lines, found, runs, run = text.lower().split("\n"), {}, [], []
+        for x in lines:
+            if family := judged(x):
+                found[x] = family
+        for x in [*lines, ""]:
+            if x in found or not re.search("[a-z0-9]", x):
+                runs, run = [*runs, run], []
+            else:
+                run = [*run, x]
+        for run in runs:
+            if len(run) > 1 and (family := judged("\n".join(run))):
+                found["\n".join(run)] = family
+        return sorted(set(found.values())), len(found)
+
+    notices, data = [t for ts in licenses.TEMPLATES.values() for t in ts], []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(notices + licenses.EVERYDAY)
+            parts.append(rng.choice([t, "\n".join(textwrap.wrap(t, rng.choice([30, 60]))), t.upper(), " ".join(t.split()[: rng.randint(1, 9)])]))
+        data.append((i, rng.choice(["\n", "\n\n", "\n--\n"]).join(parts)))
+    want = {i: found for i, t in data if (found := scanned(t))[1]}
+    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_license_notices_wrapped_over_lines(spark):
     grants = {f: max(licenses.TEMPLATES[f], key=len) for f in ("MIT", "ISC", "GPL", "CC0")} | {"BSD": licenses.TEMPLATES["BSD"][2]}
     prose = "\n".join(" ".join(random.Random(i).choices(sum(map(licenses.words_of, licenses.EVERYDAY), []), k=12)) for i in range(40))

@@ -43,6 +43,24 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in seen["byte_bpe"].collect()) == want
 
 
+def test_stages_on_odd_tables(spark):
+    """No rows at all, and rows that repeat or lack everything but a text, through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, SF)
+    assert out.count() == 0
+    text = docs.first().text
+    odd = spark.createDataFrame([(None, text, None, None, None)] * 3 + [(7, "the same words again and again", "en", "a", 1)] * 4 + [(8, "", "en", None, 0), (9, None, None, "b", None)], docs.schema)
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        odd = stage(spark, odd, SF)
+        sizes.append(odd.count())
+        if name == "simhash_dedup":
+            assert sorted(str(r.doc_id) for r in odd.collect()) == ["7", "None"]
+    assert sizes[:3] == [7, 7, 2] and sizes[3] == sizes[4] > 0
+
+
 @pytest.mark.parametrize("name", [q for q in entry.queries() if q.startswith("op")])
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0

@@ -136,6 +136,13 @@ of text with some words.<br><p>Second &eacute;t&eacute; paragraph, 1 < 2, with m
 <aside class="sidebar"><h3>Related articles</h3><ul><li><a href="/c">Other one</a></li></ul></aside><footer>&copy; example &middot; Some words.</footer></body></html>"""
 
 
+def test_topk_at_the_limit(spark):
+    """Scores beyond the limit tie there, at either end, and none is lost."""
+    table = spark.createDataFrame([(0, [1e12, 1.0]), (1, [-1e12, 1.0]), (2, [1e12, 0.0]), (3, [2e12, 0.0]), (4, [1.0, 0.0]), (5, [-2e12, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r)[1:] for r in topk.search(table, table["vec_id"] % 50 == 0).orderBy("rank").collect()]
+    assert got == [(1, 2, topk.LIMIT), (2, 3, topk.LIMIT), (3, 4, 256 * 256 * 10**12), (4, 1, -topk.LIMIT), (5, 5, -topk.LIMIT)]
+
+
 def test_blocks_of_a_page():
     got = html.blocks(PAGE)
     texts = [t for _, t, _ in got]
