@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,16 @@ def repetition_of(text: str | None, n: int) -> float | None:
     total = len(text) - n + 1
     if total < 1:
         return 0.0
-    counts = Counter(text[i : i + n] for i in range(total))
-    return max(counts.values()) / total
+    # 64-bit hashes of all n-grams at once; equal ones stand together when sorted.
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    codes ^= codes >> np.uint64(29)
+    grams = np.zeros(total, np.uint64)
+    for i in range(n):
+        grams = grams * np.uint64(0xBF58476D1CE4E5B9) + codes[i : i + total]
+    grams.sort()
+    ends = np.append(np.nonzero(grams[1:] != grams[:-1])[0], total - 1)
+    return int(np.diff(ends, prepend=-1).max()) / total
 
 
 def repetition(text: Column, n: int = 10) -> Column:
