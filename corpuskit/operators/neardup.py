@@ -79,7 +79,19 @@ def minhash(text: str, n: int = SHINGLE, permutations: int = PERMUTATIONS) -> np
     a, b = _family(permutations)
     hashes, out = shingle_hashes(text, n), np.full(permutations, PRIME, np.int64)
     for i in range(0, len(hashes), LOT):
-        out = np.minimum(out, _modulo(a * hashes[None, i : i + LOT] + b).min(axis=1))
+        # As ``_modulo``, the second half in 32 bits: what is below the prime wraps when it is taken off.
+        x = a * hashes[None, i : i + LOT]
+        x += b
+        y = x >> 31
+        x &= PRIME
+        x += y
+        y = x.astype(np.uint32)
+        z = y >> 31
+        y &= PRIME
+        y += z
+        np.subtract(y, PRIME, out=z)
+        np.minimum(y, z, out=y)
+        out = np.minimum(out, y.min(axis=1))
     return out
 
 

@@ -14,6 +14,8 @@ from corpuskit.functions import arrays as A
 from corpuskit.plans.durable import cut, numbered, running
 
 Encoder = Callable[[list[str]], list[Sequence[int]]]
+#: Rows of document places, 24 bytes each, that are broadcast at most.
+PLACES = 1_000_000
 
 
 def byte_encoder() -> Encoder:
@@ -52,6 +54,18 @@ def tokenise(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len:
     return docs.where(F.size("tokens") > 0) if drop_empty else docs
 
 
+def counted(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len: int | None = 4096) -> DataFrame:
+    """As ``tokenise``, but adds only ``n_tokens``, the number of ids, in place of the ids."""
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([len(x[:max_len]) for x in encoder(texts.fillna("").tolist())], dtype="int64")
+
+    docs = docs.where(F.length(text_col) > 0).withColumn("n_tokens", count.asNondeterministic()(text_col))
+    return docs.where("n_tokens > 0")
+
+
 def offsets(tokens: DataFrame, order: str = "doc_id", by: str | None = "source", tokens_col: str = "tokens") -> DataFrame:
     """Adds ``start`` and ``end``: places of each document in the concatenated stream of its file, in order.
 
@@ -64,6 +78,18 @@ def offsets(tokens: DataFrame, order: str = "doc_id", by: str | None = "source",
     return rows.withColumn("start", F.col("end") - F.col("n_tokens"))
 
 
+def text_chunks(docs: DataFrame, encoder: Encoder, length: int, order: str = "doc_id", by: str | None = "source", text_col: str = "text") -> DataFrame:
+    """Samples of ``length`` ids of the texts of each file, as ``chunks``.
+
+    Places follow from the numbers of ids alone, which are narrow; texts are then encoded again where they
+    are, so that only the pieces of the samples are shuffled. ``order`` is distinct.
+    """
+    keys = [order] + ([by] if by else [])
+    located = cut(offsets(counted(docs, encoder, text_col, None).select(*keys, "n_tokens"), order, by).select(F.col(order).alias("__at"), "start", "end"))
+    rows = docs.join(F.broadcast(located) if located.count() <= PLACES else located, F.col(order) == F.col("__at"))
+    return chunks(tokenise(rows, encoder, text_col, None), length, by)
+
+
 def chunks(located: DataFrame, length: int, by: str | None = "source", tokens_col: str = "tokens") -> DataFrame:
     """``(by, sample_id, tokens)``: samples of exactly ``length`` ids across document borders; the tail of a file goes.
 

@@ -35,9 +35,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts that one task would read, as those of one small file, are dealt to all cores."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return rows.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") and rows.rdd.getNumPartitions() == 1 else rows
+    """A table; texts in one small file, which may be one row group and so one task's, are dealt to all cores."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    small = name in ("documents", "pages") and rows.rdd.getNumPartitions() <= cores
+    return rows.repartition(cores) if small and len(rows.inputFiles()) == 1 else rows
 
 
 # Text functions -----------------------------------------------------------------------------
@@ -392,8 +393,8 @@ _OFFSETS = "SELECT doc_id, source, sum(length(text)) OVER (PARTITION BY source O
 
 @query("k_offsets", f"SELECT doc_id, source, CAST(e - n AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM ({_OFFSETS})")
 def k_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = char_tokens(spark, sf_dir).select("doc_id", "source", F.size("tokens").cast("long").alias("n_tokens"))
-    return tokens.offsets(sizes).select("doc_id", "source", "start", "end")
+    sizes = tokens.counted(load(spark, sf_dir, "documents"), tokens.char_encoder(), max_len=None)
+    return tokens.offsets(sizes.select("doc_id", "source", "n_tokens")).select("doc_id", "source", "start", "end")
 
 
 @query(
@@ -402,7 +403,7 @@ def k_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, k AS sample_id, md5(substr(t, k * 512 + 1, 512)) AS digest FROM joined, range((SELECT max(length(t)) // 512 FROM joined)) r(k) WHERE (k + 1) * 512 <= length(t)""",
 )
 def k_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.chunks(tokens.offsets(char_tokens(spark, sf_dir).select("doc_id", "source", "tokens")), 512)
+    rows = tokens.text_chunks(load(spark, sf_dir, "documents"), tokens.char_encoder(), 512)
     text = F.array_join(F.transform("tokens", lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")), "")
     return rows.select("source", "sample_id", F.md5(text).alias("digest"))
 
