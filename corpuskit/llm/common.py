@@ -78,11 +78,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         hook = small(both.groupBy("a").agg(F.min("b").alias("b")).selectExpr("a AS node", "least(a, b) AS up", "true AS moved"), n)
         while not hook.where("moved").isEmpty():
-            hook = hook.drop("moved")
-            twice = hook.join(hook.selectExpr("node AS up", "up AS top"), "up").selectExpr("node", "up", "top")
-            # Two jumps between cuts: a hook of four steps ends at its root.
-            further = twice.join(twice.selectExpr("node AS top", "top AS last"), "top")
-            hook = small(further.selectExpr("node", "last AS up", "last <> up AS moved"), n)
+            jump = hook.selectExpr("node AS up", "up AS top")
+            hook = small(hook.join(jump, "up").selectExpr("node", "top AS up", "top <> up AS moved"), n)
         hook = hook.drop("moved")
         hooks.append((hook, n))
         left = hook.selectExpr("node AS a", "up AS a2")
