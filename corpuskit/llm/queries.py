@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import bpe, embdup, html, langid, licenses, linededup, mixing, simhash, sstable, topk
+from corpuskit.llm import audit, bpe, embdup, html, langid, licenses, linededup, mixing, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_bpe": op2_byte_bpe,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: White space of the line contract, for DuckDB's trim.
@@ -111,4 +116,24 @@ SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, least(e.vec_
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least_reached l ON l.a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_exact_topk": OP10}
+OP11 = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+counted AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS low FROM doc),
+flag AS (SELECT part, doc_id, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > low, false)] AS fails FROM counted),
+label AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+marked AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM flag LEFT JOIN label USING (doc_id)),
+n AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM n a, n b, n c, n d, n e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+run AS (SELECT part, o, s.i AS step, fails[o[s.i]] AS fails_here, len(list_filter(fails, lambda f: f)) AS n_fails, good, toxic,
+    len(list_filter(range(1, s.i), lambda k: fails[o[k]])) > 0 AS gone FROM marked, orders, n s),
+counts AS (SELECT part, o, step, count_if(NOT gone AND NOT fails_here) AS kept, count_if(fails_here AND NOT gone) AS removed, count_if(fails_here AND gone) AS redundant,
+    count_if(fails_here AND n_fails = 1) AS unique_fails, count_if(fails_here AND NOT gone AND good) AS good_lost, count_if(fails_here AND NOT gone AND toxic) AS toxic_lost
+    FROM run GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+    CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM counts
+"""
+
+ORACLES: dict[str, str] = {"op11_filter_audit": OP11, "op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_exact_topk": OP10}
