@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import audit, bpe, embdup, html, langid, licenses, linededup, mixing, simhash, sstable, topk
+from corpuskit.llm import audit, bpe, embdup, html, langid, licenses, linededup, merkle, mixing, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified against tampered rows where 7 divides the crc32 of the id."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_bpe": op2_byte_bpe,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
     "op11_filter_audit": op11_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: White space of the line contract, for DuckDB's trim.
@@ -136,4 +142,39 @@ SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)),
 FROM counts
 """
 
-ORACLES: dict[str, str] = {"op11_filter_audit": OP11, "op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_exact_topk": OP10}
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return f"sha256({' || '.join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields)})"
+
+
+#: Fixed value: the reversed polynomial of crc32. A byte is xored in and shifted out in eight steps.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree(lang, k, i, h, n) AS (SELECT lang, 0, i, leaf, n FROM placed
+    UNION ALL SELECT lang, any_value(k) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, i // 2),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(k, i, h, n) AS (SELECT 0, i, h, n FROM subroots
+    UNION ALL SELECT any_value(k) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY i // 2),
+nodes AS (SELECT lang, 0 AS tier, k, i, h, n FROM tree UNION ALL SELECT NULL, 1, k, i, h, n FROM top),
+levels AS (SELECT DISTINCT lang, tier, k FROM nodes WHERE n > 1),
+at_level AS (SELECT p.r, l.tier, l.k, p.lang, p.i >> l.k AS i FROM placed p JOIN levels l ON l.tier = 0 AND l.lang IS NOT DISTINCT FROM p.lang
+    UNION ALL SELECT p.r, 1, l.k, NULL, s.i >> l.k FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN levels l ON l.tier = 1),
+steps AS (SELECT a.r, a.i % 2 AS side, s.h, row_number() OVER (PARTITION BY a.r ORDER BY a.tier, a.k) AS o
+    FROM at_level a LEFT JOIN nodes s ON s.tier = a.tier AND s.lang IS NOT DISTINCT FROM a.lang AND s.k = a.k AND s.i = xor(a.i, 1)),
+folding(r, o, h) AS (SELECT r, 0::BIGINT, coalesce(tampered, leaf) FROM placed
+    UNION ALL SELECT f.r, s.o, sha256(CASE WHEN s.side = 0 THEN f.h || coalesce(s.h, '') ELSE s.h || f.h END) FROM folding f JOIN steps s ON s.r = f.r AND s.o = f.o + 1),
+proofs AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY o), '')) AS proof FROM steps GROUP BY r),
+folded AS (SELECT r, arg_max(h, o) AS h FROM folding GROUP BY r),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, root.h AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.h AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN folded f USING (r) LEFT JOIN proofs q USING (r), root
+"""
+
+ORACLES: dict[str, str] = {"op11_filter_audit": OP11, "op13_merkle_manifest": OP13, "op7_embedding_dedup": OP7, "op9_line_dedup": OP9, "op10_exact_topk": OP10}
