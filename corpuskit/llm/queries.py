@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import audit, bpe, embdup, html, langid, licenses, linededup, merkle, mixing, simhash, sstable, topk
+from corpuskit.llm import audit, bpe, embdup, html, langid, licenses, linededup, merkle, mixing, packing, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified against tampered rows where 7 divides the crc32 of the id."""
     return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_topk": op10_exact_topk,
     "op11_filter_audit": op11_filter_audit,
+    "op12_retrieval_packing": op12_retrieval_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
