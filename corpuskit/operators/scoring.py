@@ -14,12 +14,73 @@ LETTERS = ("A", "B", "C", "D", "E")
 # The order in which labels are looked for in an answer, and their signs.
 NLI_LABELS = ("entailment", "contradiction", "neutral")
 SENTIMENTS = (("positive", ("positive", "ポジティブ")), ("negative", ("negative", "ネガティブ")))
-# Subject groups of the multiple-choice benchmark, subjects with a blank between.
+# Subject groups of the multiple-choice benchmark.
 CATEGORIES = {
-    "STEM": "abstract_algebra anatomy astronomy college_biology college_chemistry college_computer_science college_mathematics college_physics computer_security conceptual_physics electrical_engineering elementary_mathematics high_school_biology high_school_chemistry high_school_computer_science high_school_mathematics high_school_physics high_school_statistics machine_learning",
-    "Humanities": "formal_logic high_school_european_history high_school_us_history high_school_world_history international_law jurisprudence logical_fallacies moral_disputes moral_scenarios philosophy prehistory professional_law world_religions",
-    "Social Sciences": "econometrics high_school_geography high_school_government_and_politics high_school_macroeconomics high_school_microeconomics high_school_psychology human_sexuality professional_psychology public_relations security_studies sociology us_foreign_policy",
-    "Other": "business_ethics clinical_knowledge college_medicine global_facts human_aging management marketing medical_genetics miscellaneous nutrition professional_accounting professional_medicine virology",
+    "STEM": (
+        "abstract_algebra",
+        "anatomy",
+        "astronomy",
+        "college_biology",
+        "college_chemistry",
+        "college_computer_science",
+        "college_mathematics",
+        "college_physics",
+        "computer_security",
+        "conceptual_physics",
+        "electrical_engineering",
+        "elementary_mathematics",
+        "high_school_biology",
+        "high_school_chemistry",
+        "high_school_computer_science",
+        "high_school_mathematics",
+        "high_school_physics",
+        "high_school_statistics",
+        "machine_learning",
+    ),
+    "Humanities": (
+        "formal_logic",
+        "high_school_european_history",
+        "high_school_us_history",
+        "high_school_world_history",
+        "international_law",
+        "jurisprudence",
+        "logical_fallacies",
+        "moral_disputes",
+        "moral_scenarios",
+        "philosophy",
+        "prehistory",
+        "professional_law",
+        "world_religions",
+    ),
+    "Social Sciences": (
+        "econometrics",
+        "high_school_geography",
+        "high_school_government_and_politics",
+        "high_school_macroeconomics",
+        "high_school_microeconomics",
+        "high_school_psychology",
+        "human_sexuality",
+        "professional_psychology",
+        "public_relations",
+        "security_studies",
+        "sociology",
+        "us_foreign_policy",
+    ),
+    "Other": (
+        "business_ethics",
+        "clinical_knowledge",
+        "college_medicine",
+        "global_facts",
+        "human_aging",
+        "management",
+        "marketing",
+        "medical_genetics",
+        "miscellaneous",
+        "nutrition",
+        "professional_accounting",
+        "professional_medicine",
+        "virology",
+    ),
 }
 
 
@@ -91,7 +152,7 @@ def accuracy(rows: DataFrame, by: list[str], right: str = "correct") -> DataFram
 
 
 def category_of(subject: Column) -> Column:
-    pairs = [F.lit(x) for c, names in CATEGORIES.items() for s in names.split() for x in (s, c)]
+    pairs = [F.lit(x) for c, names in CATEGORIES.items() for s in names for x in (s, c)]
     return F.try_element_at(F.create_map(*pairs), subject)
 
 

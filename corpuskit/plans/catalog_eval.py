@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions import text as T
-from corpuskit.operators import chat, mixing, perplexity, sampling, scoring, tokenizer_metrics, tokens, training
+from corpuskit.operators import chat, cursor, mixing, perplexity, sampling, scoring, tokenizer_metrics, tokens, training
 from corpuskit.plans import durable, pipeline
 from corpuskit.plans.catalog import JUDGED, LATIN_LIMITS, char_tokens, load, query, sql_clean, sql_ratio
 from corpuskit.sources import readers
@@ -44,10 +44,11 @@ def m_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weights_at(steps, curriculum(spark)).withColumn("weight", F.round("weight", 6))
 
 
-_DRAWS = f"""{_STAGES}, cum AS (SELECT stage, low, high, source, sum(weight) OVER o / sum(weight) OVER (PARTITION BY stage) AS to_u, (sum(weight) OVER o - weight) / sum(weight) OVER (PARTITION BY stage) AS from_u FROM stage WINDOW o AS (PARTITION BY stage ORDER BY source)),
+_PLACED = f"""{_STAGES}, cum AS (SELECT stage, low, high, source, sum(weight) OVER o / sum(weight) OVER (PARTITION BY stage) AS to_u, (sum(weight) OVER o - weight) / sum(weight) OVER (PARTITION BY stage) AS from_u FROM stage WINDOW o AS (PARTITION BY stage ORDER BY source)),
 u AS (SELECT i, {_UNIT.format("'42:s:' || i")} AS u FROM range(2000) r(i)),
 draw AS (SELECT i, source, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS k FROM u JOIN cum ON i >= low AND (high IS NULL OR i < high) AND u >= from_u AND u < to_u),
-sized AS (SELECT source, count(*) AS n FROM documents GROUP BY source), placed AS (SELECT i, source, k // n AS epoch, k % n AS pos FROM draw JOIN sized USING (source)),
+sized AS (SELECT source, count(*) AS n FROM documents GROUP BY source), placed AS (SELECT i, source, k // n AS epoch, k % n AS pos FROM draw JOIN sized USING (source))"""
+_DRAWS = f"""{_PLACED},
 pool AS (SELECT p.source, p.epoch, doc_id, row_number() OVER (PARTITION BY p.source, p.epoch ORDER BY md5('42:' || p.epoch || ':' || doc_id), doc_id) - 1 AS pos FROM documents d JOIN (SELECT DISTINCT source, epoch FROM placed) p ON p.source = d.source),
 sampled AS (SELECT i, i AS step, source, CAST(epoch AS BIGINT) AS epoch, doc_id FROM placed JOIN pool USING (source, epoch, pos))"""
 
@@ -57,6 +58,40 @@ def m_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(load(spark, sf_dir, "documents"), 2000, curriculum(spark))
 
 
+def _sql_network() -> str:
+    """One pass of the Feistel network over ``walk(i, x, size, bits_a, bits_b, key)``, a subquery for each round."""
+    sql = "SELECT *, CAST(x >> bits_b AS UBIGINT) AS a, CAST(x % (1::UBIGINT << bits_b) AS UBIGINT) AS b FROM walk WHERE NOT done"
+    for r in range(cursor.ROUNDS):
+        given, other, bits = ("a", "b", "bits_b") if r % 2 else ("b", "a", "bits_a")
+        key = f"CAST((key + {r * cursor.GOLDEN}) % 4294967296 AS UBIGINT)"
+        sql = f"SELECT * EXCLUDE (h), xor({given}, {key}) AS h FROM (SELECT *, 0 AS h FROM ({sql}))"
+        for shift, factor in ((16, cursor.MIX1), (13, cursor.MIX2)):
+            sql = f"SELECT * EXCLUDE (h), CAST(xor(h, h >> {shift})::UHUGEINT * {factor} % 4294967296 AS UBIGINT) AS h FROM ({sql})"
+        sql = f"SELECT * EXCLUDE ({other}, h), CAST(xor({other}, xor(h, h >> 16) % (1::UBIGINT << {bits})) AS UBIGINT) AS {other} FROM ({sql})"
+    return f"SELECT i, CAST((a << bits_b) + b AS UBIGINT), size, bits_a, bits_b, key, (a << bits_b) + b < size FROM ({sql})"
+
+
+_CURSOR = f"""WITH RECURSIVE {_PLACED},
+bits AS (SELECT source, n AS size, greatest(1, len(ltrim(bin(n - 1), '0'))) AS bits FROM sized),
+walk(i, x, size, bits_a, bits_b, key, done) AS (SELECT i, CAST(pos AS UBIGINT), CAST(size AS UBIGINT), CAST(bits // 2 AS INTEGER), CAST(bits - bits // 2 AS INTEGER),
+    CAST(('0x' || left(md5('42:' || source || ':' || epoch), 8)) AS UBIGINT), false FROM placed JOIN bits USING (source)
+    UNION ALL {_sql_network()}),
+ranked AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row FROM documents)
+SELECT p.i, p.i AS step, p.source, CAST(p.epoch AS BIGINT) AS epoch, r.doc_id FROM placed p JOIN walk w ON w.i = p.i AND w.done JOIN ranked r ON r.source = p.source AND r.row = w.x"""
+
+
+@query("m_cursor_sample", _CURSOR)
+def m_cursor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws by the keyed permutation of each epoch."""
+    return cursor.sample(load(spark, sf_dir, "documents"), 2000, curriculum(spark))
+
+
+@query("m_cursor_resume", f"{_CURSOR} WHERE p.i >= 750")
+def m_cursor_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run, gone on at draw 750."""
+    return cursor.sample(load(spark, sf_dir, "documents"), 2000, curriculum(spark), first=750)
+
+
 @query("m_distribution", f"WITH {_DRAWS} SELECT source, count(*) AS n, round(count(*) / 2000, 6) AS share FROM draw GROUP BY source")
 def m_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.distribution(mixing.draws(spark, 2000, curriculum(spark))).withColumn("share", F.round("share", 6))
