@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -136,11 +137,30 @@ of text with some words.<br><p>Second &eacute;t&eacute; paragraph, 1 < 2, with m
 <aside class="sidebar"><h3>Related articles</h3><ul><li><a href="/c">Other one</a></li></ul></aside><footer>&copy; example &middot; Some words.</footer></body></html>"""
 
 
-def test_topk_at_the_limit(spark):
-    """Scores beyond the limit tie there, at either end, and none is lost."""
-    table = spark.createDataFrame([(0, [1e12, 1.0]), (1, [-1e12, 1.0]), (2, [1e12, 0.0]), (3, [2e12, 0.0]), (4, [1.0, 0.0]), (5, [-2e12, 0.0])], "vec_id long, embedding array<double>")
-    got = [tuple(r)[1:] for r in topk.search(table, table["vec_id"] % 50 == 0).orderBy("rank").collect()]
-    assert got == [(1, 2, topk.LIMIT), (2, 3, topk.LIMIT), (3, 4, 256 * 256 * 10**12), (4, 1, -topk.LIMIT), (5, 5, -topk.LIMIT)]
+def plain_top(rows, k=5):
+    """The best rows by Python's integers, scores held within a long."""
+    whole = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    out = []
+    for q, v in whole:
+        if q % 50 == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, [1e12, 1.0]), (1, [-1e12, 1.0]), (2, [1e12, 0.0]), (3, [2e12, 0.0]), (4, [1.0, 0.0]), (5, [-2e12, 0.0])],
+        [(0, [4e6, 0.0]), (1, [1e7, 0.0]), (2, [9e6, 0.5]), (3, [-1e7, 0.0]), (4, [9e6, -0.5])],  # scores between 2**61 and 2**63 keep their order
+        [(0, [1e306, -1e306]), (1, [1.0, 1.0]), (2, [1e306, 1e306]), (3, [1e-300, 0.0]), (50, [0.0, 0.0]), (100, [1.7e308, 1.7e308]), (4, [-1.7e308, 1.0])],
+        [(0, [2.0**27 + 0.25, 1.0]), (1, [2.0**27 - 0.125, 3.0]), (2, [2.0**27, 2.0]), (3, [-(2.0**27), 0.1])],
+    ],
+)
+def test_topk_of_components_of_any_size(spark, rows):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = topk.search(table, table["vec_id"] % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == plain_top(rows)
 
 
 def test_blocks_of_a_page():
