@@ -1,33 +1,25 @@
-"""Shared pieces of the training-data operators: durable cuts of lineage and connected components."""
+"""Shared pieces of the training-data operators: joins of hot keys, names of columns and connected components."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.plans.durable import cut
+
 #: The word class of every contract here: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuskit-"))
-    return spark.sparkContext.getCheckpointDir()
-
+def plain_names(docs: DataFrame, own: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns renamed but for ``own``, and a function that selects them and names them back.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and reads it back from the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    So columns with dots in their names, or with names of the operator's own, take part in nothing.
+    """
+    names = [c if c in own else f"__own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*docs.columns)
 
 
 def word_count(text: Column) -> Column:

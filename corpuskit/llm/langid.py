@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import cut
+from corpuskit.llm.common import plain_names
+from corpuskit.plans.durable import cut
 
 PROFILE = 400
 #: Bound on the labelled documents per language that profiles are fitted on.
@@ -160,6 +161,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Those are null texts and texts without a letter. Where no profile could be learnt no language is
     told: texts with a letter stay, as they are. An empty input gives no rows.
     """
+    docs, named_back = plain_names(docs, [id_col, text_col, lang_col])
     profiles = fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(_table(profiles))
 
@@ -173,8 +175,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     text = F.col(text_col).cast("string")
     if not profiles:
-        return docs.where(lettered(text))
+        return named_back(docs.where(lettered(text)))
     # Else the filter would be moved below the projection and compute it a second time.
     found = docs.withColumn("__li_lang", named.asNondeterministic()(text)).where(F.col("__li_lang") != UNKNOWN)
     kind = docs.schema[lang_col].dataType
-    return found.withColumn(lang_col, F.col("__li_lang").cast(kind)).select(docs.columns)
+    return named_back(found.withColumn(lang_col, F.col("__li_lang").cast(kind)))

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import cut, spread_join
+from corpuskit.llm.common import plain_names, spread_join
+from corpuskit.plans.durable import cut
 
 MIN_SITES = 10
 LOG_BUCKETS = 10
@@ -27,6 +28,8 @@ MARGIN = 0.35
 #: Lines, eight bytes each, that are broadcast at most; beyond them a join is dealt by line and salt.
 BROADCAST = 1_000_000
 SALTS = 32
+#: Distinct boilerplate lines of a text up to which its lines are compared with each of them; beyond, marks are joined by place.
+FEW_LINES = 256
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -36,6 +39,10 @@ def _line_key(line: Column) -> Column:
     return F.when(trimmed != "", F.xxhash64(trimmed))
 
 
+def _lines(text_col: str) -> Column:
+    return F.split(F.col(text_col).cast("string"), "\n")
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``__ld_key``, a hash of the text; empty texts, which have no line, are spread by their other columns."""
     text, rest = F.col(text_col).cast("string"), [c for c in docs.columns if c != text_col]
@@ -44,7 +51,7 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _occurrences(keyed: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """Distinct ``(line, text, site)`` as hashes. A null site counts as the empty one."""
-    lines = F.array_distinct(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _line_key))
+    lines = F.array_distinct(F.transform(_lines(text_col), _line_key))
     rows = keyed.select(F.explode(lines).alias("line"), F.col("__ld_key").alias("text"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit(""))).alias("site"))
     return cut(rows.where("line IS NOT NULL").distinct())
 
@@ -80,15 +87,37 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return _spread(_occurrences(_keyed(docs, text_col), text_col, site_col), min_sites)
 
 
+def _marks(keyed: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """``(__ld_hit, __ld_bad, __ld_marks)``: whether each line of the texts in ``pairs(__ld_hit, line)`` is in there, in order.
+
+    One copy of a text gives the hashes of its lines, which meet its boilerplate by text and line, so
+    the work grows with the number of lines, and a text's lines are dealt over tasks.
+    """
+    texts = pairs.select(F.col("__ld_hit").alias("text")).distinct()
+    texts = F.broadcast(texts) if texts.count() <= BROADCAST else texts
+    keys = keyed.select(F.col("__ld_key").alias("text"), F.transform(_lines(text_col), _line_key).alias("keys")).join(texts, "text", "left_semi")
+    each = keys.groupBy("text").agg(F.first("keys").alias("keys")).select("text", F.posexplode("keys").alias("pos", "key"))
+    each = each.join(pairs, (F.col("text") == F.col("__ld_hit")) & (F.col("key") == F.col("line")), "left")
+    places = F.array_sort(F.collect_list(F.struct("pos", F.col("line").isNotNull().alias("bad"))))
+    none = F.lit(None).cast("array<bigint>").alias("__ld_bad")
+    return each.groupBy(F.col("text").alias("__ld_hit")).agg(none, F.transform(places, lambda x: x.bad).alias("__ld_marks"))
+
+
 def _marked(docs: DataFrame, text_col: str, site_col: str, min_sites: int) -> DataFrame:
     """``docs`` with ``__ld_lines``, an array of (line, bad) for texts with boilerplate, and ``__ld_cut``, whether it leaves them."""
     keyed = _keyed(docs, text_col)
     found = _occurrences(keyed, text_col, site_col)
     # Keys are hashes of whole texts, so copies meet in one row, of which the size is bounded by the text's.
     hits = _of(found, _spread(found, min_sites)).groupBy(F.col("text").alias("__ld_hit")).agg(F.collect_set("line").alias("__ld_bad"))
+    hits = cut(hits.withColumn("__ld_marks", F.lit(None).cast("array<boolean>")))
+    many = hits.where(F.size("__ld_bad") > FEW_LINES)
+    if not many.isEmpty():
+        marks = _marks(keyed, text_col, many.select("__ld_hit", F.explode("__ld_bad").alias("line")))
+        hits = hits.where(F.size("__ld_bad") <= FEW_LINES).unionByName(marks)
     docs = spread_join(keyed, hits, "__ld_key", "__ld_hit", [c for c in docs.columns if c != text_col])
-    parts = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("__ld_bad", _line_key(x)), F.lit(False)).alias("bad")))
-    docs = docs.withColumn("__ld_lines", F.when(F.col("__ld_bad").isNotNull(), parts))
+    bad = lambda x, i: F.coalesce(F.get("__ld_marks", i), F.array_contains("__ld_bad", _line_key(x)), F.lit(False))
+    parts = F.transform(_lines(text_col), lambda x, i: F.struct(x.alias("line"), bad(x, i).alias("bad")))
+    docs = docs.withColumn("__ld_lines", F.when(F.col("__ld_hit").isNotNull(), parts))
     return docs.withColumn("__ld_cut", F.coalesce(F.exists("__ld_lines", lambda x: ~x.bad & ~x.line.rlike(BLANK)), F.lit(False)))
 
 
@@ -106,10 +135,11 @@ def remove_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
     boilerplate. A null site counts as one site. Repeated rows, and copies of a text, count once each. An
     empty input gives no rows.
     """
+    docs, named_back = plain_names(docs, [text_col, site_col, "n_chars"])
     marked = _marked(docs, text_col, site_col, min_sites).withColumn(text_col, _left(text_col))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.when(F.col("__ld_cut"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return marked.select(docs.columns)
+    return named_back(marked)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -119,7 +149,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site
     ``n_removed`` those removed (none if ``all_shared``: the text is boilerplate alone). Null text
     has no lines. Otherwise as ``remove_lines``.
     """
-    marked = _marked(docs, text_col, site_col, min_sites)
+    marked = _marked(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, site_col))]), text_col, site_col, min_sites)
     text = F.col(text_col).cast("string")
     lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(BLANK))))
     shared = F.when(F.col("__ld_lines").isNull(), 0).otherwise(F.size(F.filter("__ld_lines", lambda x: x.bad)))

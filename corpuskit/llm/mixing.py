@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import cut, word_count
+from corpuskit.llm.common import plain_names, word_count
+from corpuskit.plans.durable import cut
 
 SHARDS = 256
 SEED = 20240611
@@ -175,6 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     broadcast (up to ``BROADCAST_BLOCKS`` rows) and are shuffled once, to their shard. Only those of the one block
     per source that is taken in part are looked up one by one.
     """
+    docs, named_back = plain_names(docs, [id_col, text_col, source_col, "n_chars"])
     d = _design(docs, id_col, text_col, source_col, shards, seed, weights, share, limit)
     text = F.col(text_col).cast("string")
     names = {"doc_id": F.col(id_col).cast("long"), "text_key": F.xxhash64(text), "source": F.col(source_col).cast("string")}
@@ -215,4 +217,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut_text = {text_col: F.when(F.col("__words").isNull(), F.col(f"__row.`{text_col}`")).otherwise(F.col("__text"))}
     if "n_chars" in docs.columns:
         cut_text["n_chars"] = F.when(F.col("__words").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[cut_text.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    return named_back(rows.select(*[cut_text.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns]))

@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import components, cut, spread_join
+from corpuskit.llm.common import components, plain_names, spread_join
+from corpuskit.plans.durable import cut
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -200,6 +201,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Texts are not shuffled for it: the keys of the rows that go, and of those that stay but repeat, are
     found first. They are broadcast up to ``BROADCAST`` rows, else joined.
     """
+    docs, named_back = plain_names(docs, [id_col, text_col])
     found = _grouped(docs, id_col, text_col, max_bits)
     found = cut(found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
     able = found if null_ids else found.where("doc_id IS NOT NULL")
@@ -213,4 +215,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     same = (F.col("__sh_own") == F.col("__sh_key")) & own_id.eqNullSafe(F.col("__sh_id")) & (F.col("__sh_own_text") == F.col("__sh_text"))
     once = rows.join(_few(judged), same, "left_anti")
     again = rows.join(_few(judged.where("__sh_stays")), same, "left_semi").dropDuplicates(["__sh_own"])
-    return once.unionByName(again).select(docs.columns)
+    return named_back(once.unionByName(again))

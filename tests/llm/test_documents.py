@@ -553,3 +553,48 @@ def test_pipeline_mixes_whole_documents(spark, docs):
     assert cut
     left, want = sum(len(words(t)) for _, t, _ in mixed), sum(r.taken for r in mixing.plan(docs).collect())
     assert left - want == sum(size - n if 2 * n >= size else -n for _, size, _, n in cut)
+
+
+def test_lines_of_texts_with_much_boilerplate(spark, monkeypatch):
+    """Texts with more boilerplate lines than are compared one by one give what few lines at a time do."""
+    rng = random.Random(8)
+    shared = [f"shared line {i}" for i in range(40)]
+    table = []
+    for i in range(14):
+        lines = rng.sample(shared, 38) + [f"own line {i}", "", " "] + rng.choices(shared, k=5)
+        rng.shuffle(lines)
+        table += [(i, "\n".join(lines), f"s{i}")] * (3 if i == 4 else 1)
+    docs = spark.createDataFrame([*table, (50, "\n".join(shared), "s1"), (51, None, "s2"), (52, "own", "s3")], "doc_id long, text string, source string")
+    found = {}
+    for few in (1000, 3):
+        monkeypatch.setattr(linededup, "FEW_LINES", few)
+        found[few] = sorted(map(tuple, linededup.report(docs).collect()))
+    assert found[3] == found[1000]
+    assert sum("own line" in r[-1] and "shared" not in r[-1] for r in found[3] if r[-1]) == 16
+
+
+def test_a_text_of_very_many_shared_lines(spark):
+    lines = [f"line number {i} of the notice" for i in range(200_000)]
+    docs = spark.createDataFrame([(i, "\n".join([*lines, f"own {i}"]), f"s{i}") for i in range(10)], "doc_id long, text string, source string").repartition(4)
+    found = linededup.report(docs).collect()
+    assert {(r.n_lines, r.n_removed, r.text) for r in found} == {(200_001, 200_000, f"own {i}") for i in range(10)}
+
+
+ODD = ["a.b", "order", "text_key", "__sh_own", "__sh_id", "__li_lang", "__ld_lines", "__row", "x`y", "key"]
+
+
+def test_columns_of_any_name(spark):
+    """Columns with dots, back quotes and the operators' own names pass through, and change nothing."""
+    table = [(i, t, g, s, len(t or ""), *[f"{c}{i}" for c in ODD]) for i, t, g, s, *_ in rows()[:70]]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in ODD)
+    odd = spark.createDataFrame(table, kind).repartition(3)
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for work in (langid.keep_identified, linededup.remove_lines, lambda d: simhash.keep_one(d, null_ids=True), lambda d: mixing.mix(d, whole=True)):
+        got, want = work(odd), work(plain)
+        assert got.columns == odd.columns
+        kept = got.collect()
+        assert sorted(map(str, (tuple(r)[:5] for r in kept))) == sorted(map(str, map(tuple, want.collect())))
+        assert all(tuple(r)[5:] == tuple(f"{c}{r.doc_id}" for c in ODD) for r in kept)
+    path, own = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
+    for work in (lambda d: mixing.plan(d).drop("copies"), lambda d: bpe.encode_documents(d, path, P.PATTERN), simhash.near_duplicates, langid.detect, licenses.scan, linededup.report, lambda d: sstable.encode_to_shards(d, own)):
+        assert sorted(map(str, work(odd).collect())) == sorted(map(str, work(plain).collect()))
