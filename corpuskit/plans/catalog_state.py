@@ -1,15 +1,16 @@
-"""Registered queries of stored indexes, streams with state and the packed source."""
+"""Registered queries of stored indexes, streams with state, file stages and the packed source."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.operators import tokens
+from corpuskit.operators import quality, ranking, tokens
 from corpuskit.operators.lshindex import LshIndex
-from corpuskit.plans.catalog import _folder, _sql_greedy, load, query
-from corpuskit.sources import packed_source
-from corpuskit.streaming import clean
+from corpuskit.plans import files
+from corpuskit.plans.catalog import JUDGED, LATIN_LIMITS, _folder, _sql_greedy, load, query, sql_strip
+from corpuskit.sources import packed_source, readers
+from corpuskit.streaming import clean, ingest
 from corpuskit.streaming import neardup as streaming
 
 BATCHES = 3
@@ -90,3 +91,59 @@ def s_packed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_packed_source_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with ids that all take 4 bytes."""
     return _packed(spark, sf_dir, 1 << 16, "uint32")
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Documents as JSONL files, filtered file by file: the statistics and where the outputs are."""
+    base = _folder(spark)
+    readers.write_jsonl(load(spark, sf_dir, "documents").select("text", "source"), f"{base}/in")
+    return files.filter_files(spark, f"{base}/in", f"{base}/out", LATIN_LIMITS, schema="text STRING, source STRING"), f"{base}/out"
+
+
+@query("d_files_outputs", f"WITH {JUDGED} SELECT source, count(*) AS kept FROM judged WHERE reason IS NULL GROUP BY source")
+def d_files_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all files' outputs."""
+    _, out = _filtered(spark, sf_dir)
+    return files.output(spark, out, "text STRING, source STRING").groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
+
+
+_REASONS = ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in files.REASONS)
+
+
+@query(
+    "d_files_stats",
+    f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS filtered, {_REASONS} FROM judged",
+)
+def d_files_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' statistics, which the pass that wrote the outputs counted, added up."""
+    stats, _ = _filtered(spark, sf_dir)
+    reasons = [F.coalesce(F.sum(F.try_element_at("reasons", F.lit(r))), F.lit(0)).alias(r) for r in files.REASONS]
+    return stats.agg(*[F.sum(c).alias(c) for c in ("total", "kept", "filtered")], *reasons)
+
+
+@query("s_ingest", f"SELECT DISTINCT md5(t) AS key FROM (SELECT {sql_strip('text')} AS t FROM documents) WHERE t <> ''")
+def s_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches, then all again under numbers old and new: each text is taken once."""
+    docs, store = load(spark, sf_dir, "documents"), ingest.Ingest(_folder(spark))
+    for number, part in enumerate([*in_batches(docs), docs]):
+        store.add(number, part)
+    store.add(0, docs)
+    return store.documents(spark).select(F.md5("text").alias("key"))
+
+
+@query(
+    "l_most_common",
+    "SELECT user_id AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(event_id)) AS rank FROM events GROUP BY user_id",
+)
+def l_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by their events, equally busy ones as first seen."""
+    return ranking.most_common(load(spark, sf_dir, "events"), "user_id", ["event_id"])
+
+
+@query(
+    "f_reasons_first_seen",
+    f"WITH {JUDGED} SELECT reason AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS rank FROM judged WHERE reason IS NOT NULL GROUP BY reason",
+)
+def f_reasons_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of rejection in a counter's order."""
+    return ranking.reason_counts(quality.with_reason(load(spark, sf_dir, "documents"), LATIN_LIMITS), ["doc_id"])

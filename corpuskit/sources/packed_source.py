@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from corpuskit.sources.packed import WIDTH
@@ -133,27 +133,10 @@ class PackedWriter(DataSourceArrowWriter):
 
 
 class PackedReader(DataSourceReader):
-    def __init__(self, folder: str, range_bytes: int):
-        self.folder, self.range_bytes = folder, range_bytes
-        self.low, self.high, self.only = 0, None, None
-
-    def _below(self, high: int) -> None:
-        self.high = high if self.high is None else min(self.high, high)
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Conditions on the document number choose what is read; others are left to Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) != ("doc",):
-                yield f
-            elif isinstance(f, EqualTo | In):
-                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.only = asked if self.only is None else self.only & asked
-            elif isinstance(f, GreaterThanOrEqual | GreaterThan):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            elif isinstance(f, LessThanOrEqual | LessThan):
-                self._below(f.value + isinstance(f, LessThanOrEqual))
-            else:
-                yield f
+    """Documents from ``low`` to below ``high``, or those of ``only``; all by default."""
+
+    def __init__(self, folder: str, range_bytes: int, low: int = 0, high: int | None = None, only: set[int] | None = None):
+        self.folder, self.range_bytes, self.low, self.high, self.only = folder, range_bytes, low, high, only
 
     def _parts(self) -> list[dict]:
         fs, base = pyarrow.fs.FileSystem.from_uri(self.folder)
@@ -212,7 +195,10 @@ class PackedSource(DataSource):
     """``(doc, tokens)`` by document number over all parts; writes ``tokens`` and counts ``source``, if there is one.
 
     Options: ``path``, ``dtype`` (uint16, or uint32 for ids over 65,535, which else are an error),
-    ``rangeBytes`` (bytes of ids a task reads). Null tokens are an empty document.
+    ``rangeBytes`` (bytes of ids a task reads), and ``from``, ``to`` (not included) or ``docs`` (numbers with
+    commas between), which choose what is read. These are options and not filters that Spark pushes
+    down, as it keeps a pushed filter's ranges for later queries on the same DataFrame. Null tokens
+    are an empty document.
     """
 
     @classmethod
@@ -228,7 +214,10 @@ class PackedSource(DataSource):
         return "doc bigint, tokens array<bigint>"
 
     def reader(self, schema: StructType) -> PackedReader:
-        return PackedReader(self._folder(), int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES))))
+        o = self.options
+        only = {int(x) for x in o["docs"].split(",") if x.strip()} if "docs" in o else None
+        high = int(o["to"]) if "to" in o else None
+        return PackedReader(self._folder(), int(o.get("rangeBytes", RANGE_BYTES)), int(o.get("from", 0)), high, only)
 
     def writer(self, schema: StructType, overwrite: bool) -> PackedWriter:
         return PackedWriter(self._folder(), schema, self.options.get("dtype", "uint16"), overwrite)
@@ -236,7 +225,6 @@ class PackedSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes ``format("packed")`` known to a session."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PackedSource)
 
 
@@ -250,6 +238,11 @@ def save(tokens: DataFrame, folder: str, order: str = "doc_id", dtype: str = "ui
     rows.select(*kept).write.format("packed").option("dtype", dtype).mode(mode).save(folder)
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
+def load(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     register(spark)
-    return spark.read.format("packed").load(folder)
+    return spark.read.format("packed").options(**options).load(folder)
+
+
+def documents(spark: SparkSession, folder: str, numbers: list[int]) -> DataFrame:
+    """Documents by number, each by a small read of its own place; numbers beyond the set have no row."""
+    return load(spark, folder, docs=",".join(map(str, numbers)))

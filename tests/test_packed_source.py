@@ -73,15 +73,18 @@ def test_a_document_reads_one_range(spark, tmp_path):
     everything = P.load(spark, f"file://{tmp_path}/set")
     assert everything.rdd.getNumPartitions() > 1
     for i in (0, 57, 202):
-        one = everything.where(F.col("doc") == i)
+        one = P.documents(spark, f"file://{tmp_path}/set", [i])
         assert one.rdd.getNumPartitions() == 1 and [r.tokens for r in one.collect()] == [data[i][1] or []]
-    some = everything.where(F.col("doc").isin(3, 150, 999))
+    some = P.documents(spark, f"file://{tmp_path}/set", [3, 150, 999])
     assert sorted(r.doc for r in some.collect()) == [3, 150]
-    assert sorted(r.doc for r in everything.where("doc > 10 AND doc <= 14 AND size(tokens) >= 0").collect()) == [11, 12, 13, 14]
-    assert everything.where("doc < 0").count() == 0 and everything.where("doc = 5 AND doc = 6").count() == 0
-    reader = P.PackedReader(f"file://{tmp_path}/set", 100)
-    assert list(reader.pushFilters([P.EqualTo(("doc",), 57), P.EqualTo(("tokens",), 1)])) == [P.EqualTo(("tokens",), 1)]
-    assert [(r.base + r.low, r.base + r.high) for r in reader.partitions()] == [(57, 58)]
+    assert P.documents(spark, f"file://{tmp_path}/set", []).count() == 0
+    part = P.load(spark, f"file://{tmp_path}/set", **{"from": "11", "to": "15"})
+    assert sorted(r.doc for r in part.collect()) == [11, 12, 13, 14] and part.rdd.getNumPartitions() == 1
+    assert P.load(spark, f"file://{tmp_path}/set", **{"from": "500"}).count() == 0
+    # A DataFrame that was filtered is whole again in the next query.
+    assert everything.where("doc = 5").count() == 1 and everything.count() == len(data) and everything.where("doc >= 200").count() == len(data) - 200
+    only = P.PackedReader(f"file://{tmp_path}/set", 100, only={57}).partitions()
+    assert [(r.base + r.low, r.base + r.high) for r in only] == [(57, 58)]
     ranges = P.PackedReader(f"file://{tmp_path}/set", 100).partitions()
     assert len(ranges) > 20 and sum(r.high - r.low for r in ranges) == len(data)
     spread = spark.read.format("packed").option("rangeBytes", "100").load(f"file://{tmp_path}/set")
@@ -98,7 +101,7 @@ def test_files_without_a_manifest(spark, tmp_path):
             json.dump({"num_documents": len(docs), "total_tokens": len(flat), "dtype": "uint16", "document_boundaries": bounds}, f)
     found = P.load(spark, f"file://{tmp_path}/own")
     assert sorted((r.doc, r.tokens) for r in found.collect()) == [(0, [1, 2]), (1, []), (2, [3])]
-    assert [r.tokens for r in found.where("doc = 2").collect()] == [[3]]
+    assert [r.tokens for r in P.documents(spark, f"file://{tmp_path}/own", [2]).collect()] == [[3]]
     with pytest.raises(Exception, match="no packed set"):
         P.load(spark, f"file://{tmp_path}/none").count()
 
