@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.functions import arrays as A
 from corpuskit.functions import text as T
 from corpuskit.operators.tokens import Encoder, tokenise
 
@@ -45,30 +46,36 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     return rows.select(conv, transcript(F.col("m"), **options).alias("transcript"))
 
 
+def _role_of(line: Column) -> Column:
+    """The role that a line's tag names, null for a line of content."""
+    bare = T.strip(line)
+    first, *rest = TAGS
+    return reduce(lambda c, r: c.when(bare == TAGS[r], r), rest, F.when(bare == TAGS[first], F.lit(first)))
+
+
 def parse(text: Column) -> Column:
     """Array of ``struct<role, content>`` of a transcript.
 
     A line that is a tag but for white space starts a message; contents are stripped; empty messages
-    and text before the first tag are dropped. A fold over the lines keeps the order without a window.
+    and text before the first tag are dropped. Tags are marked first and lines cut between their
+    places, so the work grows with the number of lines.
     """
-    role_of = reduce(lambda c, r: c.when(F.col("x") == TAGS[r], r), list(TAGS)[1:], F.when(F.col("x") == TAGS["system"], F.lit("system")))  # noqa: F841
-    kind = "array<struct<role:string,lines:array<string>>>"
-    empty = F.array().cast(kind)
-
-    def tagged(line: Column) -> Column:
-        bare = T.strip(line)
-        return F.when(bare == TAGS["system"], "system").when(bare == TAGS["user"], "user").when(bare == TAGS["assistant"], "assistant")
-
-    def step(state: Column, line: Column) -> Column:
-        role, n = tagged(line), F.size(state)
-        fresh = F.array(F.struct(role.alias("role"), F.array().cast("array<string>").alias("lines")))
-        last = F.get(state, n - 1)
-        grown = F.concat(F.slice(state, 1, n - 1), F.array(F.struct(last.role.alias("role"), F.concat(last.lines, F.array(line)).alias("lines"))))
-        return F.when(role.isNotNull(), F.concat(state, fresh)).when(n == 0, state).otherwise(grown).cast(kind)
-
-    found = F.aggregate(F.split(text, "\n"), empty, step)
-    out = F.transform(found, lambda m: F.struct(m.role.alias("role"), T.strip(F.array_join(m.lines, "\n")).alias("content")))
-    return F.filter(out, lambda m: m.content != "")
+
+    def between(lines: Column, roles: Column, at: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(at, k + 1), F.size(lines)) - i - 1
+            return F.struct(F.get(roles, i).alias("role"), T.strip(F.array_join(F.slice(lines, i + 2, n), "\n")).alias("content"))
+
+        return F.transform(at, one)
+
+    def messages(lines: Column) -> Column:
+        def placed(roles: Column) -> Column:
+            tags = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(roles, i).isNotNull())
+            return A.let(tags, lambda at: between(lines, roles, at))
+
+        return A.let(F.transform(lines, _role_of), placed)
+
+    return F.filter(A.let(F.split(text, "\n"), messages), lambda m: m.content != "")
 
 
 def tokenised(turns: DataFrame, encoder: Encoder, **options) -> DataFrame:

@@ -127,22 +127,27 @@ def _shard_ends(sizes: np.ndarray, max_size: int) -> tuple[np.ndarray, np.ndarra
     return after, shards, used
 
 
+#: Rows of a run that a task numbers at once, about.
+RUN_ROWS = 1_000_000
+
+
 def shard_numbers(sizes: DataFrame, max_size: int, order: str = "doc_id", by: str = "source", size: str = "size") -> DataFrame:
     """``sizes`` with ``shard``, the 0-based shard of each row of its ``by`` group in ``order``.
 
     A new shard starts when the size would pass ``max_size`` and the shard holds something. Rows are
     dealt to range partitions. Each one tells, for every row at which its first new shard may start, how
-    many shards it begins and what its last one holds; only rows within the first ``max_size`` can be such
-    a row. The driver joins these chains over the partitions (a row each per possible start, group and
-    partition), and a second pass numbers the rows. Sizes are not negative; ``order`` is distinct.
+    many shards it begins and what its last one holds; only rows with a size within the first
+    ``max_size`` can be such a row. These tables are read group by group, in the order of the
+    partitions and a batch at a time, to find what each partition begins with, and a second pass numbers
+    the rows. Sizes are not negative; ``order`` is distinct.
     """
-    spark = sizes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = cut(sizes)
+    parts = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes.count() // RUN_ROWS))
     rows = sizes.repartitionByRange(parts, by, order).sortWithinPartitions(by, order).withColumn("__part", F.spark_partition_id())
     rows = cut(rows.select(*sizes.columns, "__part"))
     group = F.xxhash64(by)
     narrow = rows.select("__part", group.alias("__g"), F.struct(F.col(order).alias("at"), F.col(size).cast("long").alias("size")).alias("row"))
-    runs = narrow.groupBy("__part", "__g").agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r.size).alias("sizes"), F.min("row.at").alias("first"))
+    runs = narrow.groupBy("__part", "__g").agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r.size).alias("sizes"))
 
     def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,21 +156,29 @@ def shard_numbers(sizes: DataFrame, max_size: int, order: str = "doc_id", by: st
                 _, shards, used = _shard_ends(values, max_size)
                 before = np.cumsum(values) - values
                 starts = np.arange(min(len(values), np.searchsorted(before, max_size, side="right") + 1))
-                total = int(values.sum())
-                yield pd.DataFrame({"part": r.part, "g": r.g, "before": before[starts], "size": values[starts], "shards": shards[starts], "used": used[starts], "total": total})
+                starts = starts[(values[starts] > 0) | (starts == 0)]
+                yield pd.DataFrame({"part": r.part, "g": r.g, "before": before[starts], "size": values[starts], "shards": shards[starts], "used": used[starts], "total": int(values.sum())})
+
+    def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Of a run the first row that passes the limit counts; a run may go on in the next batch.
+        last, used, shard, after = None, 0, 0, (0, 0)
+        for batch in batches:
+            out = []
+            for (g, part), lot in batch.groupby(["g", "part"], sort=False):
+                if (g, part) != last:
+                    used, shard = after if last is not None and last[0] == g else (0, 0)
+                    last, after = (g, part), (used + int(lot["total"].iloc[0]), shard)
+                    out.append((part, g, used, shard))
+                    open_ = True
+                if open_:
+                    held = used + lot["before"].to_numpy()
+                    over = np.nonzero((held + lot["size"].to_numpy() > max_size) & (held > 0))[0]
+                    if len(over):
+                        after, open_ = (int(lot["used"].iloc[over[0]]), shard + int(lot["shards"].iloc[over[0]])), False
+            yield pd.DataFrame(out, columns=["__part2", "__g2", "__used", "__shard"])
 
     found = runs.withColumnsRenamed({"__part": "part", "__g": "g"}).select("part", "g", "sizes").mapInPandas(chains, "part int, g long, before long, size long, shards long, used long, total long")
-    table = found.toPandas().sort_values(["g", "part", "before"], kind="stable")
-    entries, state = [], {}
-    for (g, part), lot in table.groupby(["g", "part"], sort=True):
-        used, shard = state.get(g, (0, 0))
-        entries.append((int(part), int(g), int(used), int(shard)))
-        over = np.nonzero((used + lot["before"].to_numpy() + lot["size"].to_numpy() > max_size) & (used + lot["before"].to_numpy() > 0))[0]
-        if len(over):
-            state[g] = int(lot["used"].iloc[over[0]]), int(shard + lot["shards"].iloc[over[0]])
-        else:
-            state[g] = int(used + lot["total"].iloc[0]), int(shard)
-    entry = spark.createDataFrame(entries, "__part2 int, __g2 long, __used long, __shard long")
+    entry = cut(found.repartition("g").sortWithinPartitions("g", "part", "before").mapInPandas(begins, "__part2 int, __g2 long, __used long, __shard long"))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

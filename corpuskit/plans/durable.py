@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of totals that are broadcast at most.
+BROADCAST = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on this machine, as in tests."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -33,35 +37,26 @@ def running(df: DataFrame, order: list[str], values: dict[str, str], by: list[st
     """Adds running totals in ``order``: ``values`` maps new columns to summed expressions.
 
     Rows are range-partitioned by ``by`` and ``order``; each partition sums its own rows and the
-    totals of the partitions before it (a row each on the driver, per ``by`` group in it) are added.
-    ``order`` must make rows distinct for a repeatable result.
+    totals of the partitions before it are added. The totals, a row for each partition and each ``by``
+    group in it, stay in a table, which is broadcast up to ``BROADCAST`` rows. ``order`` must make rows
+    distinct for a repeatable result.
     """
     by = by or []
-    spark, keys = df.sparkSession, [*by, *order]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys]).withColumn("__part", F.spark_partition_id()))
     inner = Window.partitionBy("__part", *by).orderBy(*[F.col(k) for k in order]).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy("__part", *by).agg(*[F.sum(F.expr(e)).alias(f"__t_{n}") for n, e in values.items()]).collect()
-    sums.sort(key=lambda r: r["__part"])
-    before: dict = {}
-    table = []
-    for r in sums:
-        group = tuple(r[b] for b in by)
-        base = before.get(group, [0] * len(values))
-        table.append((r["__part"], *group, *base))
-        before[group] = [x + (r[f"__t_{n}"] or 0) for x, n in zip(base, values)]
-    for n, e in values.items():
-        rows = rows.withColumn(n, F.sum(F.expr(e)).over(inner))
-    if not table:
-        return rows.drop("__part")
-    kinds = [f"{b} {rows.schema[b].dataType.simpleString()}" for b in by]
-    kinds += [f"__b_{n} {rows.schema[n].dataType.simpleString()}" for n in values]
-    starts = spark.createDataFrame(table, ", ".join(["__part int", *kinds]))
-    starts = starts.select(F.col("__part").alias("__part2"), *[F.col(b).alias(f"__by_{b}") for b in by], *[f"__b_{n}" for n in values])
+    # Without groups the table has a row per partition, few enough for one window.
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__part", *by).agg(*[F.sum(F.expr(e)).alias(f"__t_{n}") for n, e in values.items()])
+    bases = [F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in values]
+    starts = cut(sums.select(F.col("__part").alias("__part2"), *[F.col(b).alias(f"__by_{b}") for b in by], *bases))
     on = F.col("__part") == F.col("__part2")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
-    rows = rows.join(starts, on)
+    for n, e in values.items():
+        rows = rows.withColumn(n, F.sum(F.expr(e)).over(inner))
+    rows = rows.join(F.broadcast(starts) if starts.count() <= BROADCAST else starts, on)
     for n in values:
         rows = rows.withColumn(n, F.col(n) + F.col(f"__b_{n}"))
     return rows.drop("__part", "__part2", *[f"__by_{b}" for b in by], *[f"__b_{n}" for n in values])

@@ -69,3 +69,14 @@ def test_benchmarks_go_on_after_an_error(spark):
     assert list(done) == ["a"] and list(errors) == ["b"]
     with pytest.raises(ValueError):
         pipeline.benchmarks("c", runners)
+
+
+def test_long_transcripts(spark):
+    """Lines of a message and messages of a transcript in tens of thousands."""
+    many = "\n".join(f"<|user|>\nq{i}\n<|assistant|>\n a{i} " for i in range(20_000))
+    long = "before\n <|system|> \n" + "\n".join(f"line {i}" for i in range(60_000)) + "\n<|user|>\n\n<|assistant|>"
+    rows = spark.createDataFrame([(0, many), (1, long), (2, ""), (3, None), (4, "<|user|>")], "id int, t string").repartition(2)
+    found = {r.id: r.m for r in rows.select("id", chat.parse(F.col("t")).alias("m")).collect()}
+    assert [(m.role, m.content) for m in found[0]] == [x for i in range(20_000) for x in (("user", f"q{i}"), ("assistant", f"a{i}"))]
+    assert [(m.role, m.content) for m in found[1]] == [("system", "\n".join(f"line {i}" for i in range(60_000)))]
+    assert found[2] == [] and found[3] is None and found[4] == []
