@@ -7,11 +7,13 @@ undecided document without an undecided smaller neighbour stays, and its neighbo
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ SHINGLE = 5
 PERMUTATIONS = 128
 #: Shingles that are permuted together, few enough for a processor's cache.
 LOT = 512
+#: Rounds over all undecided nodes before prefixes are decided, and the nodes of a prefix.
+ROUNDS = 12
+PREFIX = 200_000
 
 
 def permutation_constants(n: int = PERMUTATIONS) -> tuple[list[int], list[int]]:
@@ -134,25 +139,65 @@ def collisions(signed: DataFrame, order: str = "doc_id", scope: list[str] | None
     return left.join(right, ["k1", "k2"]).where("a < b").select("a", "b").distinct()
 
 
-def first_wins(nodes: DataFrame, members: DataFrame, order: str = "doc_id", max_rounds: int = 1000) -> DataFrame:
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which nodes stay among those that come, in order, with their buckets; a node's rows follow one another."""
+    taken: set[tuple[int, int]] = set()
+    last, own, out = None, [], []
+
+    def decide() -> None:
+        stays = not any(k in taken for k in own)
+        if stays:
+            taken.update(own)
+        out.append((last, stays))
+
+    for batch in batches:
+        for n, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("n", "k1", "k2"))):
+            if n != last and own:
+                decide()
+                own = []
+            last = n
+            own.append((k1, k2))
+    if own:
+        decide()
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_())], ["n", "stays"])
+
+
+def _local_round(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that stay as the smallest of all of their buckets, and those that share a bucket with one."""
+    stay = seen.groupBy("n").agg(F.max(F.col("low") < F.col("n")).alias("waits")).where("NOT waits").select(F.col("n").alias("low"))
+    return stay, cut(seen.where("low < n").join(stay, "low", "left_semi").select("n").distinct())
+
+
+def _prefix_round(seen: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The same of the ``size`` smallest nodes, of which one task decides all: none depends on a larger one."""
+    end = seen.select("n").distinct().orderBy("n").limit(size).agg(F.max("n")).first()[0]
+    rows = seen.where(F.col("n") <= end).select("n", "k1", "k2").repartition(1).sortWithinPartitions("n")
+    stay = cut(rows.mapInArrow(_greedy, "n long, stays boolean")).where("stays").select(F.col("n").alias("low"))
+    buckets = seen.join(stay, F.col("n") == stay["low"], "left_semi").select("k1", "k2").distinct()
+    lost = seen.drop("low").join(buckets, ["k1", "k2"], "left_semi").select("n").distinct()
+    return stay, cut(lost.join(stay, F.col("n") == F.col("low"), "left_anti"))
+
+
+def first_wins(nodes: DataFrame, members: DataFrame, order: str = "doc_id") -> DataFrame:
     """Ids of the nodes that stay.
 
     In each round the smallest undecided node of all of its buckets stays, and all others of these
     buckets go. A round aggregates the memberships and never pairs the nodes of a bucket, so a
-    bucket that holds a large share of the nodes costs its size and not the square of it.
+    bucket that holds a large share of the nodes costs its size and not the square of it. Chains, in
+    which each node waits for the one before, would take a round a link; after ``ROUNDS`` rounds the
+    ``PREFIX`` smallest undecided nodes, a bounded number, are decided at once. Nodes are whole numbers.
     """
     gone, open_ = None, cut(members)
-    for _ in range(max_rounds):
+    for number in itertools.count():
         lows = open_.groupBy("k1", "k2").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").drop("high")
         seen = cut(open_.join(lows, ["k1", "k2"]))
         if seen.isEmpty():
             break
-        stay = seen.groupBy("n").agg(F.max(F.col("low") < F.col("n")).alias("waits")).where("NOT waits").select(F.col("n").alias("low"))
-        lost = cut(seen.where("low < n").join(stay, "low", "left_semi").select("n").distinct())
+        stay, lost = _local_round(seen) if number < ROUNDS else _prefix_round(seen, PREFIX)
         gone = lost if gone is None else gone.unionByName(lost)
         open_ = seen.drop("low").join(lost, "n", "left_anti")
-    else:
-        raise RuntimeError("first_wins: undecided nodes are left")
+        if number >= ROUNDS:
+            open_ = open_.join(stay, F.col("n") == F.col("low"), "left_anti")
     if gone is None:
         return nodes.select(order)
     return nodes.join(gone.withColumnRenamed("n", "__gone"), F.col(order) == F.col("__gone"), "left_anti").select(order)

@@ -46,6 +46,25 @@ def test_first_wins_on_hot_buckets(spark):
     assert neardup.first_wins(spark.range(3).toDF("doc_id"), members.limit(0)).count() == 3
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Each node collides with the next one; prefixes of any size give the sequential rule."""
+    n = 3000
+    rows = [(x, k, 0) for k in range(n - 1) for x in (k, k + 1)] + [(x, 10_000 + x % 7, 1) for x in range(0, n, 11)] + [(n + 5, 99_999, 9)]
+    by_node, taken, want = {}, set(), []
+    for x, *k in rows:
+        by_node.setdefault(x, []).append(tuple(k))
+    for x in sorted(by_node):
+        if not taken & set(by_node[x]):
+            want.append(x)
+            taken.update(by_node[x])
+    members = spark.createDataFrame(rows, "n long, k1 long, k2 long").repartition(3)
+    nodes = spark.createDataFrame([(x,) for x in by_node], "doc_id long")
+    for rounds, prefix in ((1, 10**6), (2, 1000), (0, 1500)):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "PREFIX", prefix)
+        assert sorted(r.doc_id for r in neardup.first_wins(nodes, members).collect()) == want
+
+
 def test_near_duplicates(spark):
     base = ["".join(random.Random(k).choices("あいうえおかきくけこ", k=200)) for k in range(4)]
     rows = [(i, t, "a") for i, t in enumerate(base)] + [(10, base[0], "a"), (11, base[1][:-1], "a"), (12, base[2], "b"), (13, "", "a"), (14, None, "a"), (15, "xy", "a"), (16, "xy", "a")]
