@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.operators import quality, ranking, tokens
+from corpuskit.operators import mixing, quality, ranking, tokens
 from corpuskit.operators.lshindex import LshIndex
-from corpuskit.plans import files
+from corpuskit.plans import files, pipeline
 from corpuskit.plans.catalog import JUDGED, LATIN_LIMITS, _folder, _sql_greedy, load, query, sql_strip
-from corpuskit.sources import packed_source, readers
+from corpuskit.plans.catalog_eval import _DRAWS, curriculum
+from corpuskit.sources import packed, packed_source, readers
 from corpuskit.streaming import clean, ingest
 from corpuskit.streaming import neardup as streaming
 
@@ -147,3 +148,39 @@ def l_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f_reasons_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of rejection in a counter's order."""
     return ranking.reason_counts(quality.with_reason(load(spark, sf_dir, "documents"), LATIN_LIMITS), ["doc_id"])
+
+
+@query("s_download", f"SELECT 'own' AS source, count(*) AS documents FROM documents WHERE {sql_strip('text')} <> ''")
+def s_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered corpus written in full, and once more, which adds nothing."""
+    registry, out = {"own": readers.SourceSpec("documents.parquet")}, _folder(spark)
+    readers.download(spark, "own", sf_dir, out, registry=registry)
+    return readers.download(spark, "all", sf_dir, out, registry=registry)
+
+
+#: The documents drawn, in the order of the draws, as the mixed set numbers them.
+_MIXED = f"""WITH {_DRAWS}, found AS (SELECT i, s.source, text FROM sampled s JOIN documents d USING (doc_id) WHERE text <> '')"""
+
+
+@query(
+    "d_mixed_set",
+    f"{_MIXED} SELECT row_number() OVER (ORDER BY i) - 1 AS doc, CAST(least(length(text), 4096) AS BIGINT) AS n_tokens, CAST(unicode(text) AS BIGINT) AS first_id FROM found",
+)
+def d_mixed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curriculum's mix packed into files and read back."""
+    manifest = pipeline.mixed(load(spark, sf_dir, "documents"), tokens.char_encoder(), curriculum(spark), out=_folder(spark), n=2000)
+    return packed.concatenated(spark, manifest).select(F.col("doc_id").alias("doc"), F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first_id"))
+
+
+@query("d_mixed_sources", f"{_MIXED} SELECT source, count(*) AS documents FROM found GROUP BY source")
+def d_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source that the mix's indexes count."""
+    manifest = pipeline.mixed(load(spark, sf_dir, "documents"), tokens.char_encoder(), curriculum(spark), out=_folder(spark), n=2000)
+    return packed.distribution(spark, manifest)
+
+
+@query("d_mixed_batches", f"{_MIXED} SELECT i // 8 AS step, i % 8 AS slot, source, CAST(least(length(text), 64) AS INTEGER) AS n_real FROM found WHERE i < 2000")
+def d_mixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix as padded batches of eight, a draw a step of the curriculum."""
+    drawn = tokens.tokenise(load(spark, sf_dir, "documents"), tokens.char_encoder(), max_len=64)
+    return mixing.batches(mixing.sample(load(spark, sf_dir, "documents"), 2000, curriculum(spark)), drawn, 8, 64).select("step", "slot", "source", "n_real")
