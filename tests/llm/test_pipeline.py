@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     queries = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in queries) == 1
     assert "pipeline" in queries and 4 <= len(corpus_pipeline.STAGES) <= 5
 
