@@ -3,7 +3,8 @@
 A sparse logistic regression over word 1- and 2-grams names the licence family of a paragraph or
 ``unknown``; its probabilities are calibrated by a temperature fitted on held-out examples. A
 prediction holds only if the paragraph also has most of the word pairs of one of the family's
-templates. Distinct paragraphs are classified once, whatever the number of documents with them.
+templates; of a short template it must have the words in order and close together, as everyday prose may
+hold its pairs by chance. Distinct paragraphs are classified once, whatever the number of documents with them.
 
 The model is fitted on the driver from the templates below: changed, shortened and surrounded
 copies for each family, scattered template words and everyday uses for ``unknown``. Its features are
@@ -14,22 +15,27 @@ that).
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.common import spread_join
 from corpuskit.plans.durable import cut
 
-
 COVERAGE = 0.6
 MIN_PROBABILITY = 0.5
 UNKNOWN = "unknown"
 SEED = 5
 VARIANTS = 8
+#: Words of a short template at most, and words that may stand between two of its words.
+SHORT, GAP = 12, 3
+#: Rows of keys and families, or of keys and a text's notices, that are broadcast at most.
+BROADCAST = 200_000
 
 #: Notices by which works declare their licences.
 TEMPLATES = {
@@ -112,6 +118,28 @@ def gates() -> tuple[str, ...]:
 GATES = gates()
 
 
+def ordered_pattern(family: str) -> str:
+    """A pattern of texts in lower case with a part of a short template of the family in its order.
+
+    The part has ``COVERAGE`` of the template's pairs. What reserves all rights does not deny it and
+    goes on, if at all, with whom they are reserved to.
+    """
+    out, between = [], rf"[^a-z0-9]+(?:[a-z0-9.]+[^a-z0-9]+){{0,{GAP}}}?"
+    for words in (words_of(t) for t in TEMPLATES[family]):
+        if len(words) <= SHORT:
+            n = math.ceil(COVERAGE * (len(words) - 1)) + 1
+            out += [between.join(map(re.escape, words[i : i + n])) for i in range(len(words) - n + 1) if "rights" not in words]
+    if family == "Proprietary":
+        out.append(r"(?<!not )all[^a-z0-9]+rights[^a-z0-9]+reserved(?![^\S\n]+(?!by |to |worldwide)[a-z])")
+    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(set(out)))})(?![a-z0-9])" if out else "(?!)"
+
+
+def _in_order(family: Column, paragraph: Column) -> Column:
+    """Whether a paragraph in lower case has a short template's words in order."""
+    first, *rest = TEMPLATES
+    return reduce(lambda c, f: c.when(family == f, paragraph.rlike(ordered_pattern(f))), rest, F.when(family == first, paragraph.rlike(ordered_pattern(first))))
+
+
 def examples(seed: int = SEED) -> list[tuple[list[str], str]]:
     """Labelled word lists made from the templates and everyday sentences by fixed rules."""
     rng, out = random.Random(seed), []
@@ -182,14 +210,17 @@ def _gated(text: Column) -> Column:
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """``(paragraph_key, family, probability, coverage)`` of the confirmed paragraphs of ``paragraphs(paragraph_key, paragraph)``."""
+    """``(paragraph_key, family, probability, coverage, sure)`` of the paragraphs of ``paragraphs(paragraph_key, paragraph)`` with most pairs of a template.
+
+    ``sure`` are those that have most pairs of a long one; others are yet to be looked at for the order of words.
+    """
     spark = paragraphs.sparkSession
     families, grams, weights, bias = trained()
     columns = ", ".join(f"w{i} double" for i in range(len(families)))
     table = spark.createDataFrame([(g, *map(float, weights[i])) for i, g in enumerate(grams)], f"gram string, {columns}")
     templates = [(f, i, p) for f, ts in TEMPLATES.items() for i, t in enumerate(ts) for p in sorted(pairs_of(t))]
-    sizes = {(f, i): len(pairs_of(t)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)}
-    pairs = spark.createDataFrame([(p, f, i, sizes[f, i]) for f, i, p in templates], "gram string, family string, template int, size int")
+    sizes = {(f, i): (len(pairs_of(t)), len(words_of(t)) > SHORT) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)}
+    pairs = spark.createDataFrame([(p, f, i, *sizes[f, i]) for f, i, p in templates], "gram string, family string, template int, size int, long boolean")
 
     words = F.regexp_extract_all("paragraph", F.lit(WORDS), F.lit(0))
     both = F.expr("array_distinct(concat(words, transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1]))))")
@@ -200,10 +231,18 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     scored = scored.withColumn("z", z).withColumn("best", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x.z - F.col("best.z")))
     scored = scored.select("paragraph_key", F.col("best.family").alias("family"), (1 / total).alias("probability")).where(F.col("family") != UNKNOWN)
-    held = each.join(pairs, "gram").groupBy("paragraph_key", "family", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("coverage"))
-    held = held.groupBy("paragraph_key", "family").agg(F.max("coverage").alias("coverage"))
+    held = each.join(pairs, "gram").groupBy("paragraph_key", "family", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("coverage"), F.first("long").alias("long"))
+    best = F.max(F.when(F.col("long"), F.col("coverage")))
+    held = held.groupBy("paragraph_key", "family").agg(F.max("coverage").alias("coverage"), F.coalesce(best >= COVERAGE, F.lit(False)).alias("sure"))
     found = scored.where(F.col("probability") >= MIN_PROBABILITY).join(held, ["paragraph_key", "family"])
-    return found.where(F.col("coverage") >= COVERAGE).select("paragraph_key", "family", "probability", "coverage")
+    return found.where(F.col("coverage") >= COVERAGE).select("paragraph_key", "family", "probability", "coverage", "sure")
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, table_key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with a cut table of distinct keys; where it is large, rows of a key that many have are dealt over tasks."""
+    if table.count() <= BROADCAST:
+        return rows.join(F.broadcast(table), F.col(key) == F.col(table_key), how)
+    return spread_join(rows, table, key, table_key, ["doc_id", "text_key"], how)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,12 +259,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def hits(paragraphs: Column, rows: DataFrame) -> DataFrame:
         each = rows.select("doc_id", "text_key", F.explode(paragraphs).alias("paragraph")).withColumn("paragraph_key", F.xxhash64("paragraph"))
-        found = cut(classify(each.groupBy("paragraph_key").agg(F.min("paragraph").alias("paragraph"))))
-        return each.select("doc_id", "text_key", "paragraph_key").join(found, "paragraph_key")
+        found = cut(classify(each.select("paragraph_key", "paragraph").distinct()).withColumnRenamed("paragraph_key", "found_key"))
+        met = _meet(each, found, "paragraph_key", "found_key").where(F.col("sure") | _in_order(F.col("family"), F.col("paragraph")))
+        return met.select("doc_id", "text_key", "paragraph_key", "family", "probability", "coverage")
 
     lines = cut(hits(_paragraphs(F.col("text")), rows))
-    known = lines.groupBy(F.col("text_key").alias("known_key")).agg(F.collect_set("paragraph_key").alias("found"))
-    rest = rows.join(known, F.col("text_key") == F.col("known_key"), "left")
+    known = cut(lines.groupBy(F.col("text_key").alias("known_key")).agg(F.collect_set("paragraph_key").alias("found")))
+    rest = _meet(rows, known, "text_key", "known_key", "left")
     runs = hits(_runs(F.col("text"), F.coalesce("found", F.array().cast("array<long>"))), rest)
     return (
         lines.unionByName(runs).groupBy("doc_id", "text_key")

@@ -1,6 +1,7 @@
 """Operators on documents: brute force on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -495,8 +496,25 @@ def test_license_scan_against_plain_rules(spark):
         best = families[int(np.argmax(z))]
         if len(w) < 2 or best == licenses.UNKNOWN or np.exp(z - z.max()).sum() > 1 / licenses.MIN_PROBABILITY:
             return None
-        cover = max(len(licenses.pairs_of(t) & licenses.pairs_of(text)) / len(licenses.pairs_of(t)) for t in licenses.TEMPLATES[best])
-        return best if cover >= licenses.COVERAGE else None
+        enough = [t for t in licenses.TEMPLATES[best] if len(licenses.pairs_of(t) & licenses.pairs_of(text)) / len(licenses.pairs_of(t)) >= licenses.COVERAGE]
+        if not enough:
+            return None
+        short = [licenses.words_of(t) for t in licenses.TEMPLATES[best] if len(licenses.words_of(t)) <= licenses.SHORT]
+        sure = any(len(licenses.words_of(t)) > licenses.SHORT for t in enough)
+        return best if sure or any(in_order(w, t) for t in short) or best == "Proprietary" and re.search(r"all rights reserved(?! [a-z])", " ".join(text.lower().split(" "))) else None
+
+    def in_order(words, template):
+        """Whether some 60 % of a template's pairs stand in order, at most three words between two of its words."""
+        if "rights" in template:
+            return False
+        n = math.ceil(0.6 * (len(template) - 1)) + 1
+        for i in range(len(template) - n + 1):
+            ends = {k for k, w in enumerate(words) if w == template[i]}
+            for t in template[i + 1 : i + n]:
+                ends = {k for e in ends for k in range(e + 1, e + 5) if k < len(words) and words[k] == t}
+            if ends:
+                return True
+        return False
 
     def scanned(text):
         lines, found, runs, run = text.lower().split("\n"), {}, [], []
@@ -539,6 +557,50 @@ def test_license_notices_wrapped_over_lines(spark):
     assert got[91].n_paragraphs == 2
 
 
+PROSE = """Her MIT license plate was released under the sofa.
+Not all rights reserved seats were taken.
+All rights reserved seats are at the front.
+He released the brake under the bridge, and the MIT student showed her license.
+The license of the driver from MIT was under the seat when the dog was released.
+The BSD license plates were counted, the birds released under the moon.
+The Apache scouts held a license for version 2.0 of the map, licensed by nobody under the sun.
+A copy of the license was obtained at the office; you may call them.
+The public license office, version 3 of the building, was licensed under protest by the general.
+The Mozilla source was subject to debate, and the public terms were never a license.
+This work by the author is related to the rights of neighbours, to some extent possible.
+The creative work of the commons is licensed to the international team.
+Permission is hereby asked to use the room, free of worry, by the person in charge.
+The above notice and the copyright office share all of the software money.
+No part of the cake may be eaten without the written word of the cook.
+The free software library was redistributed among schools under new terms by the general public.
+We licensed the patent under CC, by post, and paid 4.0 euros.
+The ISC released its report; the license is under review.""".split("\n")
+
+
+def test_prose_with_the_pairs_of_notices(spark):
+    """Lines that hold most word pairs of a short template, but in another order or far apart, are no notices."""
+    lines, filler = list(PROSE), "quietly during some long winter months"
+    for words in (licenses.words_of(t) for ts in licenses.TEMPLATES.values() for t in ts if len(licenses.words_of(t)) <= licenses.SHORT and "rights" not in t):
+        half = len(words) // 2
+        lines += [" ".join([*words[half:], filler, *words[:half]]), " ".join([*words[:half], filler, *words[half:]])]
+    assert len(lines) > 50
+    data = [(i, f"Some prose.\n\n{x}\n\nMore prose.") for i, x in enumerate(lines)]
+    assert [(lines[r.doc_id], r.families) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()] == []
+    kept = ["Licensed under the terms of the MIT license.", "Available under CC BY-SA 4.0.", "(c) 2020 Someone. All rights reserved.", "All rights reserved by the author", "ALL RIGHTS RESERVED", "# SPDX-License-Identifier: MIT"]
+    data = [(i, f"Some prose.\n{x}\nMore prose.") for i, x in enumerate(kept)]
+    assert {r.doc_id for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()} == set(range(len(kept)))
+
+
+def test_notices_that_most_documents_have(spark, monkeypatch):
+    """Joins by the notice and by the text give the same rows where their tables are too large to broadcast."""
+    notices = [t for ts in licenses.TEMPLATES.values() for t in ts][:6]
+    data = [(i, f"prose {i % 9}\n{notices[i % 2]}\n{notices[i % 6]}") for i in range(1200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, licenses.scan(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST", 0)
+    assert sorted(map(str, licenses.scan(docs).collect())) == want and len(want) == 1200
+
+
 def test_pipeline_keeps_texts_without_a_learnt_profile(spark):
     data = [(i, "some words of prose", None) for i in range(8)] + [(20, "12 34", None), (21, None, None), (22, "", None)]
     kept = corpus_pipeline.identify_language(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), "")
