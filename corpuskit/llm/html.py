@@ -35,13 +35,25 @@ SEED = 11
 ENDS = 60
 
 #: Fixed values of the HTML standard: elements that start a block of their own.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset((
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog",
+    "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3",
+    "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol",
+    "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+))
 #: Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style title textarea template iframe noframes noembed svg math object canvas audio video head".split())
+SKIPPED = frozenset((
+    "script", "style", "title", "textarea", "template", "iframe", "noframes", "noembed", "svg", "math", "object",
+    "canvas", "audio", "video", "head", "noscript",
+))
 #: Those of them that end at their end tag alone, and else with the page.
-RAW = frozenset("script style title textarea iframe noframes noembed".split())
+RAW = frozenset((
+    "script", "style", "title", "textarea", "iframe", "noframes", "noembed",
+))
 #: A start tag of the first ends an open element of the second, up to an element of the third.
 _LIST, _TABLE = frozenset(["ul", "ol", "menu", "dir", "dl"]), frozenset(["table"])
 CLOSES = {
@@ -98,6 +110,31 @@ class _Open:
         return tuple(self.stack) if len(self.stack) <= 2 * ENDS else (*self.stack[:ENDS], *self.stack[-ENDS:])
 
 
+@lru_cache(64)
+def _tags(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])", re.IGNORECASE | re.ASCII)
+
+
+def _skipped_end(page: str, name: str, at: int) -> int:
+    """Where the element of this name, of which the content begins at ``at``, ends; -1 if it never does.
+
+    What holds no markup ends at its first end tag; others may hold elements of their own name.
+    """
+    depth = 1
+    while tag := _tags(name).search(page, at):
+        at = page.find(">", tag.end())
+        if at < 0:
+            break
+        if tag[1]:
+            depth -= 1
+        elif name not in RAW and page[at - 1] != "/":
+            depth += 1
+        at += 1
+        if not depth:
+            return at
+    return -1
+
+
 def blocks(page: str) -> list[tuple[tuple, str, float]]:
     """``(path, text, share of linked characters)`` of each block with text, in page order.
 
@@ -109,7 +146,7 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
     tree = _Open()
     current: Block | None = None
     links = at = 0
-    lower, endless = None, set()
+    endless: set[str] = set()
 
     def add(text: str) -> None:
         nonlocal current
@@ -164,13 +201,9 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
             if name == "head":
                 continue  # its texts are skipped one by one; a page may forget to end it
             if name in RAW or not inside.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) != len(page):  # a letter that grows in lower case
-                    lower = "".join(c.lower() if c.isascii() else c for c in page)
-                close = -1 if name in endless else lower.find(f"</{name}", at)
-                gone = page.find(">", close) if close >= 0 else -1
-                if gone >= 0:
-                    at = gone + 1
+                end = -1 if name in endless else _skipped_end(page, name, at)
+                if end >= 0:
+                    at = end
                 else:
                     endless.add(name)
                     at = len(page) if name in RAW else at
@@ -340,33 +373,87 @@ def label(model: Lstm, pages: list[np.ndarray], cells: int = 4096) -> list[np.nd
 
 
 # Training pages. Words that say what a part of a page is; fixed values.
-MENU = "menu nav navigation navbar topnav breadcrumbs breadcrumb pagination pager tabs skip toc".split()
-HEAD = "header masthead banner topbar branding logo site-header".split()
-FOOT = "footer site-footer bottom colophon copyright legal".split()
-SIDE = "sidebar side related widget rail recommended popular trending more-links secondary tags".split()
-NOTICE = "cookie notice consent gdpr alert popup modal overlay banner-message paywall dialog toast".split()
-AD = "ad ads advert advertisement sponsored promo sponsor banner-ad adsense commercial teaser-ad".split()
-FORM = "search newsletter subscribe signup login form contact-form".split()
-COMMENT = "comments comment discussion replies reply responses disqus comment-list".split()
-SHARE = "share social sharing follow-us".split()
-MAIN = "content main article post entry story body text article-body post-content page main-content".split()
+MENU = (
+    "menu", "nav", "navigation", "navbar", "topnav", "breadcrumbs", "breadcrumb", "pagination", "pager", "tabs",
+    "skip", "toc",
+)
+HEAD = (
+    "header", "masthead", "banner", "topbar", "branding", "logo", "site-header",
+)
+FOOT = (
+    "footer", "site-footer", "bottom", "colophon", "copyright", "legal",
+)
+SIDE = (
+    "sidebar", "side", "related", "widget", "rail", "recommended", "popular", "trending", "more-links", "secondary",
+    "tags",
+)
+NOTICE = (
+    "cookie", "notice", "consent", "gdpr", "alert", "popup", "modal", "overlay", "banner-message", "paywall",
+    "dialog", "toast",
+)
+AD = (
+    "ad", "ads", "advert", "advertisement", "sponsored", "promo", "sponsor", "banner-ad", "adsense", "commercial",
+    "teaser-ad",
+)
+FORM = (
+    "search", "newsletter", "subscribe", "signup", "login", "form", "contact-form",
+)
+COMMENT = (
+    "comments", "comment", "discussion", "replies", "reply", "responses", "disqus", "comment-list",
+)
+SHARE = (
+    "share", "social", "sharing", "follow-us",
+)
+MAIN = (
+    "content", "main", "article", "post", "entry", "story", "body", "text", "article-body", "post-content", "page",
+    "main-content",
+)
 PHRASES = {
-    "menu": "Home|About us|Contact|News|Products|Services|Login|Archive|Next page|Previous|Shop|Blog|FAQ|Start|Kontakt|Accueil|Inicio".split("|"),
-    "notice": "We use cookies to improve your experience.|Accept all|This site uses cookies.|Please enable JavaScript.|You have 3 free articles left.|By continuing you agree to our privacy policy.".split("|"),
-    "foot": "All rights reserved.|Privacy policy|Terms of use|Imprint|Copyright 2021|© 2023|Powered by|Cookie settings".split("|"),
-    "form": "Your name|E-mail|Subscribe|Search|Send|Sign up for our newsletter|Password|Submit".split("|"),
-    "ad": "Buy now|Advertisement|Sponsored|Shop today and save|Click here|Special offer".split("|"),
-    "side": "Related articles|Most read|Read more|Tags|Popular posts|Follow us|See also|Newsletter".split("|"),
-    "comment": "Reply|Great post!|Thanks for sharing|I disagree with this|Posted by|2 hours ago|Leave a comment|3 comments".split("|"),
-    "share": "Share|Tweet|Print|E-mail this|Like|Pin it".split("|"),
+    "menu": (
+        "Home", "About us", "Contact", "News", "Products", "Services", "Login", "Archive", "Next page", "Previous",
+        "Shop", "Blog", "FAQ", "Start", "Kontakt", "Accueil", "Inicio",
+    ),
+    "notice": (
+        "We use cookies to improve your experience.", "Accept all", "This site uses cookies.",
+        "Please enable JavaScript.", "You have 3 free articles left.",
+        "By continuing you agree to our privacy policy.",
+    ),
+    "foot": (
+        "All rights reserved.", "Privacy policy", "Terms of use", "Imprint", "Copyright 2021", "© 2023",
+        "Powered by", "Cookie settings",
+    ),
+    "form": (
+        "Your name", "E-mail", "Subscribe", "Search", "Send", "Sign up for our newsletter", "Password", "Submit",
+    ),
+    "ad": (
+        "Buy now", "Advertisement", "Sponsored", "Shop today and save", "Click here", "Special offer",
+    ),
+    "side": (
+        "Related articles", "Most read", "Read more", "Tags", "Popular posts", "Follow us", "See also", "Newsletter",
+    ),
+    "comment": (
+        "Reply", "Great post!", "Thanks for sharing", "I disagree with this", "Posted by", "2 hours ago",
+        "Leave a comment", "3 comments",
+    ),
+    "share": (
+        "Share", "Tweet", "Print", "E-mail this", "Like", "Pin it",
+    ),
 }
 
 
 #: Words of which half of the invented pages are made, so that known words do not mark a block as one that is not main text.
 COMMON = (
-    "the of and to in is that it was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part hello world "
-    "le la les des et est une pour dans que qui sur pas plus avec sont der die das und ist nicht ein eine mit auf für von sich auch el los las una por con para más como pero sus este"
-).split()
+    "the", "of", "and", "to", "in", "is", "that", "it", "was", "for", "on", "are", "as", "with", "his", "they", "at",
+    "be", "this", "have", "from", "or", "one", "had", "by", "word", "but", "not", "what", "all", "were", "we",
+    "when", "your", "can", "said", "there", "use", "an", "each", "which", "she", "do", "how", "their", "if", "will",
+    "up", "other", "about", "out", "many", "then", "them", "these", "so", "some", "her", "would", "make", "like",
+    "him", "into", "time", "has", "look", "two", "more", "write", "go", "see", "number", "no", "way", "could",
+    "people", "my", "than", "first", "water", "been", "call", "who", "oil", "its", "now", "find", "long", "down",
+    "day", "did", "get", "come", "made", "may", "part", "hello", "world", "le", "la", "les", "des", "et", "est",
+    "une", "pour", "dans", "que", "qui", "sur", "pas", "plus", "avec", "sont", "der", "die", "das", "und", "ist",
+    "nicht", "ein", "eine", "mit", "auf", "für", "von", "sich", "auch", "el", "los", "las", "una", "por", "con",
+    "para", "más", "como", "pero", "sus", "este",
+)
 
 
 class _Page:
@@ -566,6 +653,41 @@ class _Page:
             if r.random() < 0.12:
                 self.leaf(r.choice(["h2", "h3"]), self.words(r.randint(1, 6)), True)
             self.leaf(r.choice(["p", "p", "p", "p", "div", "blockquote"]), self.words(max(2, int(r.lognormvariate(3, 1)))), True, end=True)
+            if r.random() < 0.12:
+                self.listing()
+        for _ in range(r.choice([0, 0, 1, 1, 2])):  # short last paragraphs
+            words = self.words(r.randint(1, 3))
+            self.leaf("p", words if r.random() < 0.5 else words.lower().rstrip("."), True)
+
+    def listing(self) -> None:
+        """Code, terms with their meanings, or a list in the text."""
+        r, kind = self.r, self.r.choice(["pre", "dl", "ul", "ol"])
+        if kind == "pre":
+            self.leaf("pre", self.words(r.randint(1, 30)), True)
+            return
+        self.put(f"<{kind}>")
+        for _ in range(r.randint(1, 5)):
+            for tag in ("dt", "dd") if kind == "dl" else ("li",):
+                self.leaf(tag, self.words(r.randint(1, 3 if tag == "dt" else 15)), True)
+        self.put(f"</{kind}>")
+
+    def manual(self) -> None:
+        """Documentation: a table of contents beside the text in one wrapper, by name or by its links alone."""
+        r = self.r
+        self.put(f"<div{self.mark(['wrapper', 'container', 'layout', 'page', 'row'])}>")
+        if r.random() < 0.85:
+            tag = r.choice(["div", "div", "nav", "aside"])
+            self.put(f"<{tag}{self.mark(['toc', 'contents', 'table-of-contents', 'sidebar', 'nav', 'docs-nav'])}>")
+            self.links("menu", r.randint(2, 9))
+            self.put(f"</{tag}>")
+        self.put(f"<div{self.mark(['doc', 'docs', 'document', 'markdown-body', 'content', 'section', 'rst-content'])}>")
+        for _ in range(r.randint(1, 4)):
+            self.leaf(r.choice(["h1", "h2", "h2", "h3"]), self.words(r.randint(1, 4)), True)
+            for _ in range(r.randint(0, 3)):
+                self.leaf("p", self.words(max(1, int(r.lognormvariate(2.3, 1)))), True)
+            if r.random() < 0.6:
+                self.listing()
+        self.put("</div></div>")
 
     def plain(self) -> None:
         """A page without named parts: bare paragraphs, wrappers that mean nothing, tables that lay out."""
@@ -573,7 +695,9 @@ class _Page:
         shape = r.choice(["bare", "bare", "wrapped", "wrapped", "table", "semantic"])
         if r.random() < 0.15:
             self.note()
-        if shape == "table":
+        if r.random() < 0.2:
+            self.manual()
+        elif shape == "table":
             self.put("<table><tr>")
             if r.random() < 0.6:
                 self.leaf("td", "<br>".join(f'<a href="#">{x}</a>' for x in self.junk("menu", r.randint(2, 7))), False)
@@ -618,7 +742,7 @@ class _Page:
                 self.insert()
         if r.random() < 0.4:
             self.box("ad", AD, ["div"])
-        self.main()
+        self.manual() if r.random() < 0.1 else self.main()
         if r.random() < 0.25 and self.named:
             self.box("comment", COMMENT, ["section", "div"])
         for p in (0.3, 0.1):

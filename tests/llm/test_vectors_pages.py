@@ -271,3 +271,26 @@ def test_lstm_gradient():
         seen[k] = ((up - loss()) / 2e-3, adam[k][0][at] / 0.1)
     for numeric, analytic in seen.values():
         assert analytic == pytest.approx(numeric, rel=0.05, abs=1e-4)
+
+
+def test_skipped_elements_end_where_they_end():
+    texts = lambda page: [b[1] for b in html.blocks(page)]
+    assert texts("<svg><svg></svg><text>leak</text></svg><p>a</p>") == ["a"]
+    assert texts("<title>x</titlex></title><p>b</p>") == ["b"]
+    assert texts("<template><template/>x</template><p>c</p><object><p>inner") == ["c", "inner"]
+    assert texts("<p>d</p><NOSCRIPT>Enable</noscript ><p>e</p><script>if (a<b) '</scripty>'</script><p>f") == ["d", "e", "f"]
+
+
+MANUALS = {
+    '<div class="wrapper"><div class="toc"><ul><li><a href="#a">Intro</a></li><li><a href="#b">Usage</a></li></ul></div><div class="doc"><h2>Intro</h2><p>This tool reads files.</p>'
+    "<pre>run tool x</pre><h2>Usage</h2><dl><dt>-v</dt><dd>prints more</dd></dl></div></div>": "Intro\nThis tool reads files.\nrun tool x\nUsage\n-v\nprints more",
+    '<body><div class="container"><nav class="docs-nav"><a href="/a">Install</a> <a href="/b">API</a></nav><div class="markdown-body"><h1>Install</h1><p>Get it.</p>'
+    "<ul><li>Linux</li><li>Mac</li></ul><p>Done.</p></div></div></body>": "Install\nGet it.\nLinux\nMac\nDone.",
+    "<p>a <!--> b</p><p>c</p>": "a b\nc",
+    "<article><h1>Title here</h1><p>Some text of the article that goes on.</p><noscript>Enable JavaScript to view.</noscript><p>More of it.</p></article>": "Title here\nSome text of the article that goes on.\nMore of it.",
+}
+
+
+@pytest.mark.parametrize("page", MANUALS)
+def test_documentation_pages(page):
+    assert html.main_text(html.trained(), [page]) == [MANUALS[page]]
