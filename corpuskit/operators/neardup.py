@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.functions.lots import lots
 from corpuskit.plans.durable import cut
 
 PRIME = (1 << 31) - 1
@@ -111,12 +112,27 @@ def signatures(docs: DataFrame, keys: list[str], text_col: str = "text", n: int
 
     @F.pandas_udf("array<bigint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda x: minhash(x, n, permutations))
+        for texts in lots(batches):
+            yield pd.Series([minhash(x, n, permutations) for x in texts])
 
     return docs.where(F.length(text_col) > 0).select(*keys, sign(text_col).alias("signature"))
 
 
+def _sets(batches: Iterator[pd.Series], n: int = SHINGLE) -> Iterator[pd.Series]:
+    for texts in lots(batches):
+        yield pd.Series([shingle_hashes(x, n) for x in texts])
+
+
+def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """``keys`` and ``shingles``, the distinct shingle hashes, of the rows with text."""
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _sets(batches, n)
+
+    return docs.where(F.length(text_col) > 0).select(*keys, hashes(text_col).alias("shingles"))
+
+
 def memberships(signed: DataFrame, order: str = "doc_id", scope: list[str] | None = None, threshold: float = 0.8, permutations: int = PERMUTATIONS) -> tuple[DataFrame, DataFrame]:
     """``(nodes, members)``: the first row of each signature, and the band buckets of each as ``(n, k1, k2)``.
 

@@ -332,13 +332,8 @@ def p_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     pairs = durable.cut(neardup.collisions(neardup.signatures(docs, ["doc_id"])))
     met = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).distinct()
-
-    @F.pandas_udf("array<bigint>")
-    def hashes(texts):
-        return texts.map(neardup.shingle_hashes)
-
-    sets = durable.cut(docs.join(met, "doc_id", "left_semi").select("doc_id", hashes("text").alias("s")))
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    sets = durable.cut(neardup.shingle_sets(docs.join(met, "doc_id", "left_semi"), ["doc_id"]))
+    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return rows.select("a", "b", F.round(A.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 

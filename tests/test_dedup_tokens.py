@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pandas as pd
 
+from corpuskit.functions.lots import LOT_CHARS
 from corpuskit.operators import mixing, neardup, tokens
 from corpuskit.plans import durable
 from corpuskit.sources import packed, readers
@@ -145,3 +147,13 @@ def test_curriculum(spark):
     assert len(drawn) == 200 and all(r.source == "a" for r in drawn if r.step < 10)
     per_epoch = [(r.source, r.epoch, r.doc_id) for r in drawn]
     assert len(per_epoch) == len(set(per_epoch))
+
+
+def test_shingle_sets_come_in_small_runs(spark):
+    batch = pd.Series([random.Random(k).randbytes(50_000).hex() for k in range(45)])
+    found = list(neardup._sets(iter([batch, pd.Series([], dtype=object), pd.Series(["xyz"])])))
+    assert [h for part in found for h in map(list, part)] == [list(neardup.shingle_hashes(x)) for x in [*batch, "xyz"]]
+    assert max(sum(len(h) for h in part) for part in found) <= LOT_CHARS < sum(len(x) for x in batch)
+    docs = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None), (4, "ab")], "doc_id long, text string")
+    got = {r.doc_id: r.shingles for r in neardup.shingle_sets(docs, ["doc_id"]).collect()}
+    assert got == {1: list(neardup.shingle_hashes("abcdef")), 4: list(neardup.shingle_hashes("ab"))}
