@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import arrays as A
+from corpuskit.functions.lots import lots
 from corpuskit.plans.durable import cut, numbered, running
 
 Encoder = Callable[[list[str]], list[Sequence[int]]]
@@ -45,8 +46,8 @@ def tokenise(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len:
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.array(x[:max_len], np.int32) for x in encoder(texts.fillna("").tolist())])
+        for texts in lots(batches):
+            yield pd.Series([np.array(x[:max_len], np.int32) for x in encoder(texts)])
 
     docs = docs.where(F.length(text_col) > 0) if drop_empty else docs
     # Else a filter on the result would be moved below the projection and compute it a second time.
@@ -59,8 +60,8 @@ def counted(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len:
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([len(x[:max_len]) for x in encoder(texts.fillna("").tolist())], dtype="int64")
+        for texts in lots(batches):
+            yield pd.Series([len(x[:max_len]) for x in encoder(texts)], dtype="int64")
 
     docs = docs.where(F.length(text_col) > 0).withColumn("n_tokens", count.asNondeterministic()(text_col))
     return docs.where("n_tokens > 0")

@@ -22,6 +22,17 @@ from corpuskit.plans.durable import cut
 WIDTH = {"uint16": 2, "uint32": 4}
 #: Ids that a part holds, about.
 PART_IDS = 1 << 28
+#: Ids of a batch that a reader hands to Spark, about; a longer document is a batch of its own.
+BATCH_IDS = 1 << 19
+
+
+def runs(bounds: np.ndarray, ids: int) -> Iterator[tuple[int, int]]:
+    """``(low, high)``: documents by their bounds, one after another, as many at a time as have ``ids`` ids, one at least."""
+    low = 0
+    while low < len(bounds) - 1:
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + ids, side="right")) - 1)
+        yield low, high
+        low = high
 
 
 def write_packed(tokens: DataFrame, folder: str, order: str = "doc_id", source: str | None = None, parts: int | None = None) -> DataFrame:
@@ -90,7 +101,11 @@ class PackedFile:
         return self.index["num_documents"]
 
     def get_document(self, i: int) -> np.ndarray:
-        low, high = self.bounds[i], self.bounds[i + 1]
+        return self.get_ids(i, i + 1)
+
+    def get_ids(self, first: int, end: int) -> np.ndarray:
+        """Ids of the documents from ``first`` to below ``end``, one after another."""
+        low, high = self.bounds[first], self.bounds[end]
         return np.frombuffer(self.file.read_at((high - low) * self.width, low * self.width), f"<u{self.width}")
 
 
@@ -101,10 +116,11 @@ def read_packed(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 file = PackedFile(row["path"])
-                for low in range(0, len(file), 1000):
-                    docs = range(low, min(low + 1000, len(file)))
-                    ids = [file.get_document(i).astype(np.int64) for i in docs]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(ids), pa.int32()), pa.array(list(docs), pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["part", "doc", "tokens"])
+                bounds = np.array(file.bounds, np.int64)
+                for low, high in runs(bounds, BATCH_IDS):
+                    places = pa.array(bounds[low : high + 1] - bounds[low], pa.int32())
+                    tokens = pa.ListArray.from_arrays(places, pa.array(file.get_ids(low, high).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * (high - low), pa.int32()), pa.array(range(low, high), pa.int64()), tokens], ["part", "doc", "tokens"])
 
     return manifest.select("part", "path").repartition(max(1, manifest.count())).mapInArrow(read, "part int, doc long, tokens array<long>")
 

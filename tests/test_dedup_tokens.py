@@ -157,3 +157,16 @@ def test_shingle_sets_come_in_small_runs(spark):
     docs = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None), (4, "ab")], "doc_id long, text string")
     got = {r.doc_id: r.shingles for r in neardup.shingle_sets(docs, ["doc_id"]).collect()}
     assert got == {1: list(neardup.shingle_hashes("abcdef")), 4: list(neardup.shingle_hashes("ab"))}
+
+
+def test_encoders_see_small_runs(spark):
+    """An encoder gets about a million characters at a time, however many rows a batch has."""
+
+    def encode(texts):
+        assert sum(map(len, texts)) <= LOT_CHARS or len(texts) == 1
+        return [[len(x)] for x in texts]
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "IF(id = 7, repeat('a', 3000000), repeat('b', 50000)) AS text").coalesce(1)
+    want = {i: 3_000_000 if i == 7 else 50_000 for i in range(60)}
+    assert {r.doc_id: r.tokens[0] for r in tokens.tokenise(docs, encode, max_len=None).select("doc_id", "tokens").collect()} == want
+    assert tokens.counted(docs, encode, max_len=None).where("n_tokens = 1").count() == 60
