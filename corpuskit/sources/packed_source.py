@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from corpuskit.sources.packed import WIDTH
+from corpuskit.sources.packed import BATCH_IDS, WIDTH, runs
 
 #: Bytes of ids of a reading task, about.
 RANGE_BYTES = 128 << 20
-#: Ids of a batch that a reader hands to Spark, about.
-BATCH_IDS = 1 << 22
 MANIFEST = re.compile(r"_manifest-\d{6}\.json")
 
 
@@ -89,9 +87,10 @@ class PackedWriter(DataSourceArrowWriter):
         with fs.open_output_stream(f"{base}/{stem}.bin") as out:
             for batch in iterator:
                 tokens = batch.column("tokens")
-                out.write(self._ids(tokens).tobytes())
-                sizes = tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                bounds.frombytes((np.cumsum(sizes) + bounds[-1]).tobytes())
+                ends = np.append(0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy().astype(np.int64)))
+                for low, high in runs(ends, BATCH_IDS):
+                    out.write(self._ids(tokens.slice(low, high - low)).tobytes())
+                bounds.frombytes((ends[1:] + bounds[-1]).tobytes())
                 if self.with_source:
                     for pair in batch.column("source").value_counts().to_pylist():
                         name = str(pair["values"])
@@ -170,18 +169,15 @@ class PackedReader(DataSourceReader):
             return
         fs, base = pyarrow.fs.FileSystem.from_uri(self.folder)
         path, width = f"{base}/{partition.stem}", WIDTH[partition.dtype]
-        runs = [(partition.low, partition.high)] if partition.only is None else [(x, x + 1) for x in partition.only]
+        wanted = [(partition.low, partition.high)] if partition.only is None else [(x, x + 1) for x in partition.only]
         with fs.open_input_file(f"{path}.bin") as ids:
-            for low, high in runs:
+            for low, high in wanted:
                 bounds = self._bounds(fs, path, low, high)
-                at = 0
-                while at < high - low:
-                    stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BATCH_IDS, side="right")) - 1)
+                for at, stop in runs(bounds, BATCH_IDS):
                     data = ids.read_at(int(bounds[stop] - bounds[at]) * width, int(bounds[at]) * width)
                     tokens = pa.LargeListArray.from_arrays(bounds[at : stop + 1] - bounds[at], np.frombuffer(data, f"<u{width}").astype(np.int64))
                     numbers = np.arange(low + at, low + stop) + partition.base
                     yield pa.RecordBatch.from_arrays([pa.array(numbers), tokens.cast(pa.list_(pa.int64()))], ["doc", "tokens"])
-                    at = stop
 
     def _bounds(self, fs: pyarrow.fs.FileSystem, path: str, low: int, high: int) -> np.ndarray:
         """Places of the documents from ``low`` to ``high``, the end of the last included."""

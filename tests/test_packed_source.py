@@ -109,3 +109,23 @@ def test_files_without_a_manifest(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     P.save(tokens(spark, []), f"file://{tmp_path}/set")
     assert P.load(spark, f"file://{tmp_path}/set").count() == 0
+
+
+def test_batches_of_ids_are_small(tmp_path, monkeypatch):
+    """A writer takes the ids of a batch, and a reader gives them, half a million at a time, but whole documents."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    sizes = [200_000, 0, 300_000, 1, 900_000, 7] + [1000] * 1500
+    ids = [np.full(n, i % 65_536, np.int32) for i, n in enumerate(sizes)]
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    writer, lots, own = P.PackedWriter(f"file://{tmp_path}/set", SimpleNamespace(names=["tokens"]), "uint16", True), [], P.PackedWriter._ids
+    monkeypatch.setattr(P.PackedWriter, "_ids", lambda self, tokens: lots.append((len(tokens), len(tokens.flatten()))) or own(self, tokens))
+    writer.commit([writer.write(iter([pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.list_(pa.int32()))], ["tokens"])]))])
+    reader = P.PackedReader(f"file://{tmp_path}/set", 1 << 30)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    for n, size in [*lots, *((len(b), len(b.column("tokens").flatten())) for b in batches)]:
+        assert size <= 1 << 19 or n == 1
+    back = [x for b in batches for x in b.column("tokens")]
+    assert len(back) == len(ids) + 1 and len(back[-1]) == 0
+    assert all(np.array_equal(x.values.to_numpy(), y) for x, y in zip(back, ids))
