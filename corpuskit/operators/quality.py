@@ -64,8 +64,10 @@ def mean_line(text: Column) -> Column:
 
 def clean_filter(docs: DataFrame, min_ratio: float = 0.3, script: str = T.CJK, text_col: str = "text") -> DataFrame:
     """Cleaned documents: rows without text before or after cleaning, or with too little of the script, go."""
-    docs = docs.where(F.coalesce(F.length(text_col), F.lit(0)) > 0).withColumn(text_col, T.clean(F.col(text_col)))
-    return docs.where((F.length(text_col) > 0) & (T.script_ratio(F.col(text_col), script) >= min_ratio))
+    docs = docs.where(F.coalesce(F.length(text_col), F.lit(0)) > 0)
+    fine = lambda x: (F.length(x) > 0) & (T.script_ratio(x, script) >= min_ratio)
+    # Else a filter on the cleaned text would be moved below the projection and clean again for each of its tests.
+    return docs.withColumn(text_col, F.explode(F.filter(F.array(T.clean(F.col(text_col))), fine)))
 
 
 def with_reason(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:

@@ -58,3 +58,11 @@ def test_reasons_in_order(spark):
 
 def test_mean_line_counts_unstripped_lines(spark):
     assert one(spark, quality.mean_line(F.col("t")), " ab \n\n 　\ncd", "\n") == [pytest.approx(3.0), None]
+
+
+def test_texts_are_cleaned_once(spark):
+    """The filter's tests take the cleaned text and do not clean it again."""
+    docs = spark.createDataFrame([(1, "<b>Plain text!</b>"), (2, "<b></b>"), (3, None), (4, "12345 a"), (5, "")], "doc_id long, text string").repartition(2)
+    kept = quality.clean_filter(docs, 0.3, T.LATIN)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("translate(") == 1
+    assert kept.columns == ["doc_id", "text"] and [tuple(r) for r in kept.collect()] == [(1, "Plain text！")]
