@@ -254,8 +254,10 @@ _PARTS = "SELECT doc_id, unnest(string_split(text || chr(10) || chr(10) || text,
 def s_text_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text twice, a blank line between: paragraphs of over 50 characters, numbered over the table."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), "text").alias("text"))
-    found = durable.numbered(readers.paragraphs(docs), ["doc_id", "pos"], "n")
-    return found.select(F.concat(F.lit("wiki_"), F.col("n").cast("string")).alias("id"), "doc_id", F.length("paragraph").cast("long").alias("n_chars"))
+    # Paragraphs are found once, and only what is asked of them is cut, sorted and numbered.
+    sizes = durable.cut(readers.paragraphs(docs).select("doc_id", "pos", F.length("paragraph").cast("long").alias("n_chars")))
+    found = durable.numbered(sizes, ["doc_id", "pos"], "n")
+    return found.select(F.concat(F.lit("wiki_"), F.col("n").cast("string")).alias("id"), "doc_id", "n_chars")
 
 
 @query("s_packed_roundtrip", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, CAST(length(text) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) AS BIGINT) AS id_sum FROM documents WHERE text <> ''")

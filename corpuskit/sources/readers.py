@@ -105,8 +105,9 @@ def paragraphs(texts: DataFrame, text_col: str = "text", min_len: int = 50) -> D
     parts = F.split(F.col(text_col), rf"\n(?:[{T.PYWS}&&[^\n]]*\n)+")
     out = texts.select("*", F.posexplode(parts).alias("pos", "paragraph"))
     edge = rf"^(?:[{T.PYWS}&&[^\n]]*\n)+|(?:\n[{T.PYWS}&&[^\n]]*)+$"
-    out = out.withColumn("paragraph", F.regexp_replace("paragraph", edge, ""))
-    return out.where((F.length("paragraph") > min_len) & (T.strip(F.col("paragraph")) != ""))
+    fine = lambda p: (F.length(p) > min_len) & p.rlike(f"[^{T.PYWS}]")
+    # As in ``quality.clean_filter``: the edges are taken off once, not for each test.
+    return out.withColumn("paragraph", F.explode(F.filter(F.array(F.regexp_replace("paragraph", edge, "")), fine)))
 
 
 def read_paragraphs(spark: SparkSession, path: str, min_len: int = 50) -> DataFrame:

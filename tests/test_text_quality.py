@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from corpuskit.functions import text as T
 from corpuskit.operators import quality
+from corpuskit.sources import readers
 from pyspark.sql import functions as F
 
 SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace()]
@@ -66,3 +67,11 @@ def test_texts_are_cleaned_once(spark):
     kept = quality.clean_filter(docs, 0.3, T.LATIN)
     assert kept._jdf.queryExecution().executedPlan().toString().count("translate(") == 1
     assert kept.columns == ["doc_id", "text"] and [tuple(r) for r in kept.collect()] == [(1, "Plain text！")]
+
+
+def test_paragraph_edges_are_taken_off_once(spark):
+    rows = [(1, "\n \nfirst one\n\nab\n \nsecond\nof two lines\n"), (2, None), (3, " " * 9 + "\n\n" + "x" * 5)]
+    found = readers.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), "text", 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") == 1
+    want = [(1, 1, "first one"), (1, 3, "second\nof two lines"), (3, 1, "xxxxx")]
+    assert sorted((r.doc_id, r.pos, r.paragraph) for r in found.collect()) == want
