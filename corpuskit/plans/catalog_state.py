@@ -20,8 +20,11 @@ BATCHES = 3
 def in_batches(docs: DataFrame, order: str = "doc_id") -> list[DataFrame]:
     """All documents in ``BATCHES`` ranges of ascending order."""
     top = docs.agg(F.max(order)).first()[0] or 0
-    number = F.expr(f"{order} * {BATCHES} div {top + 1}")
-    return [docs.where(number == i) for i in range(BATCHES)]
+    edges = [-(-i * (top + 1) // BATCHES) for i in range(1, BATCHES)]
+    ranges = [F.col(order) < edges[0], *[(F.col(order) >= low) & (F.col(order) < high) for low, high in zip(edges, edges[1:])], F.col(order) >= edges[-1]]
+    # A range of a table in order lies in few of its partitions, so its rows are dealt out again.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // BATCHES))
+    return [docs.where(x).repartition(parts) for x in ranges]
 
 
 @query("p_incremental", _sql_greedy(""))

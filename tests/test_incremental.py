@@ -137,3 +137,14 @@ def test_first_of_text_over_restarts(spark, tmp_path):
         found.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     want = frame(spark, rows).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     assert sorted(r.doc_id for r in spark.read.parquet(f"{base}/out").collect()) == sorted(r.doc_id for r in want.collect())
+
+
+def test_batches_are_dealt_to_all_tasks(spark):
+    """A batch is a range of the ids, whatever their sign, and its rows lie in all partitions."""
+    from corpuskit.plans.catalog_state import in_batches
+
+    parts = in_batches(spark.range(-5, 3000, 1, 8).toDF("doc_id"))
+    assert [sorted(r.doc_id for r in p.collect()) for p in parts] == [list(range(-5, 1000)), list(range(1000, 2000)), list(range(2000, 3000))]
+    for p in parts:
+        assert p.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism
+    assert sum(p.count() for p in in_batches(spark.range(-4, 0).toDF("doc_id"))) == 4
