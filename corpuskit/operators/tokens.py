@@ -7,11 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import arrays as A
-from corpuskit.functions.lots import lots
+from corpuskit.functions.lots import arrow_lots
 from corpuskit.plans.durable import cut, numbered, running
 
 Encoder = Callable[[list[str]], list[Sequence[int]]]
@@ -41,13 +42,18 @@ def _sentencepiece(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+
 def tokenise(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len: int | None = 4096, drop_empty: bool = True) -> DataFrame:
     """Adds ``tokens``, cut after ``max_len`` ids; rows without text or ids go."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in lots(batches):
-            yield pd.Series([np.array(x[:max_len], np.int32) for x in encoder(texts)])
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrow_lots(batches):
+            yield _lists([np.asarray(x[:max_len], np.int32) for x in encoder(texts)])
 
     docs = docs.where(F.length(text_col) > 0) if drop_empty else docs
     # Else a filter on the result would be moved below the projection and compute it a second time.
@@ -58,10 +64,10 @@ def tokenise(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len:
 def counted(docs: DataFrame, encoder: Encoder, text_col: str = "text", max_len: int | None = 4096) -> DataFrame:
     """As ``tokenise``, but adds only ``n_tokens``, the number of ids, in place of the ids."""
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in lots(batches):
-            yield pd.Series([len(x[:max_len]) for x in encoder(texts)], dtype="int64")
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrow_lots(batches):
+            yield pa.array([len(x[:max_len]) for x in encoder(texts)], pa.int64())
 
     docs = docs.where(F.length(text_col) > 0).withColumn("n_tokens", count.asNondeterministic()(text_col))
     return docs.where("n_tokens > 0")

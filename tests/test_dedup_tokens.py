@@ -1,9 +1,11 @@
+import gc
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from corpuskit.functions.lots import LOT_CHARS
+from corpuskit.functions.lots import LOT_CHARS, arrow_lots
 from corpuskit.operators import mixing, neardup, tokens
 from corpuskit.plans import durable
 from corpuskit.sources import packed, readers
@@ -170,3 +172,26 @@ def test_encoders_see_small_runs(spark):
     want = {i: 3_000_000 if i == 7 else 50_000 for i in range(60)}
     assert {r.doc_id: r.tokens[0] for r in tokens.tokenise(docs, encode, max_len=None).select("doc_id", "tokens").collect()} == want
     assert tokens.counted(docs, encode, max_len=None).where("n_tokens = 1").count() == 60
+
+
+def test_only_a_run_of_a_batch_is_python_strings(spark):
+    """A worker makes strings of about a million characters at a time, not of all texts that an Arrow batch brings."""
+
+    def held(texts):
+        lists = [x for x in gc.get_objects() if type(x) is list and x and type(x[0]) is str and len(x[0]) == 500_000]
+        return [[max(map(len, lists), default=0)] if x else [] for x in texts]
+
+    docs = spark.range(61).selectExpr("id AS doc_id", "IF(id = 60, 'end', IF(id = 5, NULL, IF(id = 6, '', repeat('a', 500000)))) AS text").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = {r.doc_id: r.tokens for r in tokens.tokenise(docs, held, max_len=None, drop_empty=False).select("doc_id", "tokens").collect()}
+        sizes = [r.n_tokens for r in tokens.counted(docs, held, max_len=None).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 61 and found[5] == found[6] == [] and sizes == [1] * 59
+    assert max(x for ids in found.values() for x in ids) <= 4
+
+
+def test_runs_of_arrow_batches():
+    batches = [pa.array(["ab", None, "", "cdé", "x" * 9, "", "y"]), pa.array([], pa.string()), pa.array(["z", None], pa.large_string())]
+    assert list(arrow_lots(iter(batches), 5)) == [["ab", "", "", "cdé"], ["x" * 9], ["", "y"], ["z", ""]]
