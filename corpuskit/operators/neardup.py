@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.lots import lots
-from corpuskit.plans.durable import cut
+from corpuskit.plans.durable import BROADCAST, cut
 
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
@@ -29,6 +29,14 @@ LOT = 512
 #: Rounds over all undecided nodes before prefixes are decided, and the nodes of a prefix.
 ROUNDS = 12
 PREFIX = 200_000
+#: Characters and nodes of a chunk of a bucket, about; the pairs of two chunks are compared at once.
+CHUNK_CHARS = 1 << 21
+CHUNK_NODES = 1024
+#: Shingles of a unit that are columns of one matrix, and pairs that are given out together.
+COLUMNS = 2048
+OUT = 1 << 16
+#: Ids that are broadcast at most to choose texts.
+IDS = 1_000_000
 
 
 def permutation_constants(n: int = PERMUTATIONS) -> tuple[list[int], list[int]]:
@@ -155,6 +163,102 @@ def collisions(signed: DataFrame, order: str = "doc_id", scope: list[str] | None
     return left.join(right, ["k1", "k2"]).where("a < b").select("a", "b").distinct()
 
 
+def _meetings(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of items that each set of ``left`` has in common with each of ``right``, by products of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # An item of one set alone meets nothing, and gets no column.
+    often = counts > 1
+    shared, width = often[column], int(often.sum())
+    owner, column = owner[shared], (np.cumsum(often) - 1)[column[shared]]
+    by = np.argsort(column)
+    owner, column = owner[by], column[by]
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, width, COLUMNS):
+        start, end = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(sets), min(COLUMNS, width - low)), np.float32)
+        has[owner[start:end], column[start:end] - low] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _unit(rows: pa.Table, n: int) -> pa.RecordBatch:
+    """``(a, b, jaccard)`` of a unit's pairs, but for those that share a bucket before this one, where they are found."""
+    g, i, j = (rows.column(c)[0].as_py() for c in ("g1", "i", "j"))
+    ids, own = rows.column("n").to_numpy(), rows.column("own").to_numpy()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    a, b = ids[left][:, None], ids[right][None, :]
+    open_ = a < b if i == j else a != b
+    buckets = rows.column("buckets").combine_chunks()
+    row, bucket = np.repeat(np.arange(len(ids)), buckets.value_lengths().to_numpy()), buckets.flatten().to_numpy()
+    row, bucket = row[bucket < g], bucket[bucket < g]
+    by = np.argsort(bucket, kind="stable")
+    for same in np.split(row[by], np.flatnonzero(np.diff(bucket[by])) + 1):
+        open_[np.ix_(np.isin(left, same), np.isin(right, same))] = False
+    x, y = np.nonzero(open_)
+    if len(x):
+        sets = [shingle_hashes(t, n).astype(np.int32) for t in rows.column("text").to_pylist()]
+        sizes, k = np.array([len(s) for s in sets]), _meetings(sets, left, right)[x, y]
+        x, y, k = x[k > 0], y[k > 0], k[k > 0]
+        score = k / (sizes[left[x]] + sizes[right[y]] - k)
+    else:
+        score = np.zeros(0)
+    x, y = ids[left[x]], ids[right[y]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score)], ["a", "b", "jaccard"])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit, which follow one another."""
+    last, held = None, []
+    for batch in filter(len, batches):
+        keys = np.stack([batch.column(c).to_numpy() for c in ("g1", "g2", "i", "j")], axis=1)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for low, high in zip([0, *ends], ends):
+            if held and tuple(keys[low]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[low])
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similarities(docs: DataFrame, members: DataFrame, order: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """``(a, b, jaccard)``: the pairs of ``collisions`` with the exact similarity of their shingle sets.
+
+    Texts go to buckets and never to pairs. Buckets with the same nodes are one; a large one is cut into
+    chunks, and a unit of work is two of its chunks (or one with itself), so a text goes once to each
+    chunk of each of its buckets. A unit compares all of its pairs, each of them in the first bucket that
+    it shares. What is shuffled grows with the texts and their chunks; the pairs are only given out.
+    """
+    members = members.where("n IS NOT NULL")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "n")).alias(f"g{seed}") for seed in (1, 2)]
+    buckets = members.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), *marks).where("size > 1")
+    met = cut(members.join(buckets, ["k1", "k2"]).groupBy("n").agg(F.collect_set(F.struct("g1", "g2")).alias("buckets")))
+    ids = F.broadcast(met.select("n")) if met.count() <= IDS else met.select("n")
+    texts = docs.where(F.length(text_col) > 0).select(F.col(order).alias("n"), F.col(text_col).alias("text")).join(ids, "n", "left_semi")
+    sizes = texts.select("n", F.length("text").alias("chars")).join(met, "n").select("chars", F.inline("buckets"))
+    chunks = F.greatest(F.ceil(F.sum("chars") / CHUNK_CHARS), F.ceil(F.count(F.lit(1)) / CHUNK_NODES)).alias("chunks")
+    large = cut(sizes.groupBy("g1", "g2").agg(chunks).where("chunks > 1"))
+    rows = texts.join(met, "n").select("n", "text", F.col("buckets.g1").alias("buckets"), F.inline("buckets"))
+    rows = rows.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["g1", "g2"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("n"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    unit = ["g1", "g2", "i", "j"]
+    rows = rows.select("g1", "g2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "buckets", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found in (_unit(x, n) for x in _units(batches)):
+            held, size = [*held, found], size + len(found)
+            if size >= OUT or len(held) >= OUT // 64:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(compare, "a long, b long, jaccard double")
+
+
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which nodes stay among those that come, in order, with their buckets; a node's rows follow one another."""
     taken: set[tuple[int, int]] = set()

@@ -330,13 +330,10 @@ def p_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p_jaccard_pairs", f"WITH {_sql_pairs('')}, sized AS (SELECT doc_id, count(*) AS n FROM hashed GROUP BY doc_id), met AS (SELECT a, b, count(*) AS k FROM pair JOIN hashed x ON x.doc_id = a JOIN hashed y ON y.doc_id = b AND x.h = y.h GROUP BY a, b) SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM met JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b")
 def p_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact similarity of the candidate pairs, their shingle hashes computed for these texts alone."""
+    """Exact similarity of the candidate pairs, found where their texts meet in a bucket."""
     docs = load(spark, sf_dir, "documents")
-    pairs = durable.cut(neardup.collisions(neardup.signatures(docs, ["doc_id"])))
-    met = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).distinct()
-    sets = durable.cut(neardup.shingle_sets(docs.join(met, "doc_id", "left_semi"), ["doc_id"]))
-    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return rows.select("a", "b", F.round(A.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    members = neardup.memberships(neardup.signatures(docs, ["doc_id"]))[1]
+    return neardup.similarities(docs, members).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("p_greedy", _sql_greedy("source"))

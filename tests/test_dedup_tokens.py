@@ -4,10 +4,11 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from corpuskit.functions.lots import LOT_CHARS, arrow_lots
 from corpuskit.operators import mixing, neardup, tokens
-from corpuskit.plans import durable
+from corpuskit.plans import catalog, durable
 from corpuskit.sources import packed, readers
 from pyspark.sql import functions as F
 
@@ -195,3 +196,60 @@ def test_only_a_run_of_a_batch_is_python_strings(spark):
 def test_runs_of_arrow_batches():
     batches = [pa.array(["ab", None, "", "cdé", "x" * 9, "", "y"]), pa.array([], pa.string()), pa.array(["z", None], pa.large_string())]
     assert list(arrow_lots(iter(batches), 5)) == [["ab", "", "", "cdé"], ["x" * 9], ["", "y"], ["z", ""]]
+
+
+def _near_copies(spark, folder, copies, chars):
+    """Families of near copies, one of each copied exactly, next to short and unlike texts."""
+    rng, rows = random.Random(5), []
+    for family in range(2):
+        base = "".join(rng.choices("abcdefgh ", k=chars))
+        for k in range(copies):
+            cuts = sorted(rng.sample(range(chars), 1 + k % 3 * 2))
+            rows.append("".join(base[x:y] + rng.choice("xyz") for x, y in zip([0, *cuts], [*cuts, chars])))
+        rows.append(rows[-1])
+    rows += ["", None, "ab", "abc", "ab", *("".join(rng.choices("ijklmn", k=200)) for _ in range(20))]
+    rng.shuffle(rows)
+    spark.createDataFrame([(7 * i, x) for i, x in enumerate(rows)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return {7 * i: set(neardup.shingle_hashes(x).tolist()) for i, x in enumerate(rows) if x}
+
+
+@pytest.mark.parametrize(("nodes", "columns", "chars", "out"), [(1024, 2048, 1 << 21, 1 << 16), (3, 7, 1 << 21, 64), (1024, 50, 900, 5)])
+def test_similarities_are_those_of_all_pairs(spark, tmp_path, monkeypatch, nodes, columns, chars, out):
+    """Each candidate pair once, with the similarity of its sets, whatever the chunks, the matrices and the batches."""
+    for name, value in (("CHUNK_NODES", nodes), ("COLUMNS", columns), ("CHUNK_CHARS", chars), ("OUT", out)):
+        monkeypatch.setattr(neardup, name, value)
+    sets = _near_copies(spark, tmp_path, 20, 400)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pairs = [tuple(r) for r in neardup.collisions(neardup.signatures(docs, ["doc_id"])).collect()]
+    members = neardup.memberships(neardup.signatures(docs, ["doc_id"]))[1]
+    got = [tuple(r) for r in neardup.similarities(docs, members).collect()]
+    assert len(pairs) > 200
+    assert sorted(got) == sorted((a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a, b in pairs)
+
+
+def test_batches_cut_units_anywhere():
+    """A unit's rows may come in several batches, and a batch may hold several units."""
+    keys = [(1, 1, 0, 0)] * 5 + [(1, 2, 0, 0)] + [(2, 2, 0, 0)] * 3 + [(2, 2, 0, 1)] * 4
+    table = pa.table({c: pa.array([k[p] for k in keys], pa.int64()) for p, c in enumerate(("g1", "g2", "i", "j"))})
+    for size in (1, 2, 3, 5, 100):
+        found = [tuple(x.slice(0, 1).to_pylist()[0].values()) + (len(x),) for x in neardup._units(iter([pa.RecordBatch.from_pylist([], table.schema), *table.to_batches(size)]))]
+        assert found == [(1, 1, 0, 0, 5), (1, 2, 0, 0, 1), (2, 2, 0, 0, 3), (2, 2, 0, 1, 4)]
+
+
+def test_jaccard_pairs_shuffle_no_text_for_each_pair(spark, tmp_path):
+    """A large family of near copies costs its texts a few times, not its pairs; its table is taken as too large to broadcast."""
+    sets = _near_copies(spark, tmp_path, 90, 3000)
+    context, limit = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    context.setJobGroup("jaccard_pairs", "")
+    try:
+        rows = catalog.QUERIES["p_jaccard_pairs"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("jaccard_pairs") for s in tracker.getJobInfo(j).stageIds}
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert len(rows) > 3000
+    assert all(abs(r.jaccard - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-6 for r in rows)
+    assert 0 < shuffled < 10_000_000
